@@ -95,3 +95,13 @@ def text_records(
     if with_gray:
         fields.append(F.col("_raster.gray"))
     return out.select(*fields)
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a table over all cores if its scan has fewer splits than there are cores.
+
+    Only a table below ``cores`` splits qualifies, so the shuffle is small by construction; a table
+    with more splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
