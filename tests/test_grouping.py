@@ -143,7 +143,9 @@ def test_expand_join_left_keeps_everything(spark):
 
 def test_positions(spark):
     df = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("k")).repartition(7)
-    got = [(r.pos, r.k) for r in with_position(df, ["k"], "pos").collect()]
+    numbered, seen = with_position(df, ["k"], "pos", longest=F.max(F.length("k")))
+    assert seen == {"rows": 1000, "longest": 64}
+    got = [(r.pos, r.k) for r in numbered.collect()]
     assert [k for _, k in sorted(got)] == sorted(k for _, k in got)
     assert sorted(p for p, _ in got) == list(range(1000))
 

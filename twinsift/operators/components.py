@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.operators.lookup import HOT_ROWS, expand_join
-from twinsift.operators.storage import stage
+from twinsift.operators.storage import stage, stage_measured
 
 
 def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)`` for every node that has an edge.
 
     Each round, every node moves to the node with the lowest random rank among itself and its
-    neighbours, and the edges move along; loops and repeats vanish. A move never leaves the
-    component and never tears one apart, so when no edge is left the composed moves are the answer.
+    neighbours, then to where that one moves, and the edges move along; loops and repeats vanish. A
+    move never leaves the component and never tears one apart, so when no edge is left the composed
+    moves are the answer.
     With a fresh random rank per round the graph shrinks by a constant factor, so all rounds
     together cost about as much as the first, also on long chains.
 
@@ -24,23 +25,22 @@ def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     edges = edges.where(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
-    edges = stage(edges.distinct(), "edges")
-    moves: list[tuple[DataFrame, int]] = []
-    left = edges.count()
-    if left == 0:
+    rows = F.count(F.lit(1))
+    edges, seen = stage_measured(edges, "edges", rows=rows)
+    if seen["rows"] == 0:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    while left:
-        step = stage(_moves(edges, len(moves)), "moves")
-        moves.append((step, step.count()))
-        edges = stage(_follow(edges, step, left, hot_rows), "edges")
-        left = edges.count()
+    moves: list[tuple[DataFrame, int]] = []
+    while seen["rows"]:
+        step = _jump(_moves(edges, len(moves)), 2 * seen["rows"], hot_rows)
+        step, size = stage_measured(step, "moves", rows=rows, degree=F.max("degree"))
+        moves.append((step, size["rows"]))
+        edges, seen = stage_measured(_follow(edges, step, size["degree"], hot_rows), "edges", rows=rows)
     return _compose(moves, hot_rows)
 
 
 def _moves(edges: DataFrame, turn: int) -> DataFrame:
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(
-        edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
-    )
+    ends = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("ab", "ba")]
+    both = edges.select(F.explode(F.array(*ends)).alias("_e")).select("_e.node", "_e.other")
     rank = lambda c: F.xxhash64(c, F.lit(turn))
     best = both.groupBy("node").agg(
         F.min_by("other", rank("other")).alias("other"), F.count(F.lit(1)).alias("degree")
@@ -49,10 +49,19 @@ def _moves(edges: DataFrame, turn: int) -> DataFrame:
     return best.select("node", target.alias("target"), "degree")
 
 
-def _follow(edges: DataFrame, step: DataFrame, left: int, hot_rows: int) -> DataFrame:
+def _jump(step: DataFrame, most: int, hot_rows: int) -> DataFrame:
+    """Each node moves on to its target's target. Only neighbours move to a node: degree bounds them."""
+    onward = step.select(
+        F.col("node").alias("target"), F.col("target").alias("_next"), (F.col("degree") + 1).alias("_n")
+    )
+    jumped = expand_join(step, onward, "target", "_n", max_weight=most, hot_rows=hot_rows)
+    return jumped.select("node", F.col("_next").alias("target"), "degree")
+
+
+def _follow(edges: DataFrame, step: DataFrame, degree: int, hot_rows: int) -> DataFrame:
     for end in ("a", "b"):
         to = step.select(F.col("node").alias(end), F.col("target").alias(f"_{end}"), "degree")
-        edges = expand_join(edges, to, end, "degree", left_rows=left, hot_rows=hot_rows).drop("degree")
+        edges = expand_join(edges, to, end, "degree", max_weight=degree, hot_rows=hot_rows).drop("degree")
     moved = edges.where(F.col("_a") != F.col("_b"))
     return moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
 
@@ -68,7 +77,7 @@ def _compose(moves: list[tuple[DataFrame, int]], hot_rows: int) -> DataFrame:
         else:
             final = final.withColumnRenamed("node", "target").withColumn("n", F.lit(1))
         final = expand_join(
-            step.select("node", "target"), final, "target", "n", how="left", left_rows=rows,
+            step.select("node", "target"), final, "target", "n", how="left", max_weight=rows,
             hot_rows=hot_rows,
         ).select("node", F.coalesce("component", "target").alias("component"))
     return final

@@ -11,7 +11,7 @@ from twinsift.functions import kernels
 from twinsift.functions.bits import hamming
 from twinsift.operators.hamming import BLOCK_ROWS, HOT_BUCKET, hamming_join
 from twinsift.operators.lookup import HOT_ROWS, expand_join
-from twinsift.operators.storage import stage
+from twinsift.operators.storage import stage, stage_measured
 from twinsift.schemas import HASH_BITS
 
 # Groups up to this many distinct fingerprints are solved from one bounded array.
@@ -57,12 +57,12 @@ def max_hamming(
         F.max("phash").alias("high"),
         F.bit_or("phash").bitwiseXOR(F.bit_and("phash")).alias("varying"),
     )
-    stats = stage(stats, "group-stats")
+    stats, seen = stage_measured(stats, "group-stats", most=F.max("n"))
     tiny = stats.where("n <= 2").select("component", hamming("low", "high").alias("max_hamming"))
     some = stats.where((F.col("n") > 2) & (F.col("n") <= small_group)).select("component", "n")
     large = stats.where(F.col("n") > small_group)
     out = tiny.union(_small(sets.join(some.select("component"), "component", "left_semi")))
-    if large.isEmpty():
+    if seen["most"] <= small_group:
         return out
     return out.union(_large(sets, large, hot_rows, hot_bucket))
 

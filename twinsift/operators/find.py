@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.bits import hamming
 from twinsift.operators.hamming import hamming_join
-from twinsift.operators.storage import stage
+from twinsift.operators.storage import stage, stage_measured
 from twinsift.schemas import DEFAULT_THRESHOLD
 
 # Fixed order of the match tiers.
@@ -99,8 +99,10 @@ def find_batch(
     ).withColumn("tier", F.lit("pixel"))
 
     asked = distinct.where("q_phash is not null").select(F.col("q_phash").alias("phash")).distinct()
-    known = stage(records.where("phash is not null").select("phash").distinct(), "record-phashes")
-    near = hamming_join(asked, known, threshold, known.count())
+    known, seen = stage_measured(
+        records.where("phash is not null").select("phash").distinct(), "record-phashes", rows=F.count(F.lit(1))
+    )
+    near = hamming_join(asked, known, threshold, seen["rows"])
     near = near.select(F.col("p_phash").alias("q_phash"), F.col("b_phash").alias("phash"))
     perceptual = (
         records.join(near, "phash")

@@ -12,7 +12,7 @@ from twinsift.operators.diameter import max_hamming
 from twinsift.operators.hamming import HOT_BUCKET, similar_pairs
 from twinsift.operators.lookup import HOT_ROWS, expand_join
 from twinsift.operators.positions import with_position
-from twinsift.operators.storage import stage
+from twinsift.operators.storage import stage, stage_measured
 from twinsift.schemas import DEFAULT_THRESHOLD, HASH_BITS, check_strictness
 
 GROUP_COLUMNS = [
@@ -56,7 +56,10 @@ def prune_pixel_hash(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"))
         .where("_n >= 2")
     )
-    out = expand_join(records, shared, "phash", "_n", how="left", hot_rows=hot_rows)
+    shared, seen = stage_measured(shared, "shared-phashes", most=F.max("_n"))
+    out = expand_join(
+        records, shared, "phash", "_n", how="left", max_weight=seen["most"], hot_rows=hot_rows
+    )
     kept = F.when(F.col("_n").isNotNull(), F.col("pixel_sha256"))
     return out.withColumn("pixel_sha256", kept).select(*records.columns)
 
@@ -84,12 +87,13 @@ def _summaries(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _number(groups: DataFrame, strictness: str) -> DataFrame:
-    numbered = with_position(groups, ["first_path"], "group_id")
-    return (
-        numbered.withColumn("strictness", F.lit(strictness))
-        .withColumn("auto_deletable", F.lit(strictness != "perceptual"))
+def _number(groups: DataFrame, strictness: str) -> tuple[DataFrame, int]:
+    """Groups with ids from 0 by smallest member path, and the size of the largest group."""
+    numbered, seen = with_position(groups, ["first_path"], "group_id", most=F.max("n_members"))
+    numbered = numbered.withColumn("strictness", F.lit(strictness)).withColumn(
+        "auto_deletable", F.lit(strictness != "perceptual")
     )
+    return numbered, seen["most"]
 
 
 def _member_rows(rows: DataFrame) -> DataFrame:
@@ -102,11 +106,11 @@ def group_equal(records: DataFrame, strictness: str, hot_rows: int = HOT_ROWS) -
     """Groups of records with the same content hash (``exact``) or pixel hash (``pixel``)."""
     key = {"exact": "sha256", "pixel": "pixel_sha256"}[strictness]
     rows = records.where(F.col(key).isNotNull())
-    groups = _number(_summaries(rows, key), strictness)
-    groups = stage(groups.withColumn("max_hamming", F.lit(None).cast("int")), "groups")
+    groups, most = _number(_summaries(rows, key), strictness)
+    groups = groups.withColumn("max_hamming", F.lit(None).cast("int"))
     members = expand_join(
         rows.select(key, "path", "bytes"), groups.select(key, "group_id", "keeper", "n_members"),
-        key, "n_members", hot_rows=hot_rows,
+        key, "n_members", max_weight=most, hot_rows=hot_rows,
     )
     return Grouping(strictness, None, groups.select(*GROUP_COLUMNS), _member_rows(members), records)
 
@@ -144,7 +148,7 @@ def fingerprint_components(
         upper.select(F.col("node").alias("component"), F.col("component").alias("top")).join(sizes, "component"),
         "upper",
     )
-    labelled = expand_join(merged, upper, "component", "n", how="left", left_rows=rows, hot_rows=hot_rows)
+    labelled = expand_join(merged, upper, "component", "n", how="left", max_weight=rows, hot_rows=hot_rows)
     return labelled.select("phash", F.coalesce("top", "component").alias("component"))
 
 
@@ -163,8 +167,8 @@ def _window_links(fingerprints: DataFrame, threshold: int, hot_rows: int) -> Dat
         .agg(F.min("phash").alias("head"), F.count(F.lit(1)).alias("n"))
         .where("n >= 2")
     )
-    heads = stage(heads, "windows")
-    linked = expand_join(rows, heads, ["window", "key"], "n", hot_rows=hot_rows)
+    heads, seen = stage_measured(heads, "windows", most=F.max("n"))
+    linked = expand_join(rows, heads, ["window", "key"], "n", max_weight=seen["most"], hot_rows=hot_rows)
     return linked.select(F.col("phash").alias("a"), F.col("head").alias("b"))
 
 
@@ -186,26 +190,29 @@ def group_perceptual(
     that are farther apart than the threshold; ``max_hamming`` shows by how much.
     """
     rows = records.where(F.col("phash").isNotNull())
-    fingerprints = stage(rows.groupBy("phash").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
-    distinct = fingerprints.count()
+    fingerprints, seen = stage_measured(
+        rows.groupBy("phash").agg(F.count(F.lit(1)).alias("n")), "fingerprints",
+        rows=F.count(F.lit(1)), most=F.max("n"),
+    )
+    distinct = seen["rows"]
     labels = fingerprint_components(fingerprints, threshold, distinct, hot_rows=hot_rows, **tuning)
     labels = stage(labels.join(fingerprints, "phash"), "labels")
 
-    labelled = expand_join(rows, labels, "phash", "n", hot_rows=hot_rows)
+    labelled = expand_join(rows, labels, "phash", "n", max_weight=seen["most"], hot_rows=hot_rows)
     groups = stage(_summaries(labelled, "component"), "summaries")
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
     groups = groups.join(sizes, "component")
     inside = labels.join(groups.select("component"), "component", "left_semi")
     widest = max_hamming(inside.select("component", "phash"), hot_rows=hot_rows)
-    groups = stage(_number(groups.join(widest, "component"), "perceptual"), "groups")
+    groups, _ = _number(groups.join(widest, "component"), "perceptual")
 
     tagged = expand_join(
         labels, groups.select("component", "group_id", "keeper", "n_nodes"), "component", "n_nodes",
-        left_rows=distinct, hot_rows=hot_rows,
+        max_weight=distinct, hot_rows=hot_rows,
     )
     members = expand_join(
         rows.select("phash", "path", "bytes"), tagged.select("phash", "group_id", "keeper", "n"),
-        "phash", "n", hot_rows=hot_rows,
+        "phash", "n", max_weight=seen["most"], hot_rows=hot_rows,
     )
     return Grouping("perceptual", threshold, groups.select(*GROUP_COLUMNS), _member_rows(members), records)
 

@@ -110,7 +110,9 @@ def _explode_own(df: DataFrame, bands: list[Band], phash: str, band: str, key: s
 
 def _explode_near(df: DataFrame, bands: list[Band], phash: str, band: str, key: str) -> DataFrame:
     """One row per band and per key within the band's radius."""
-    df = _explode_own(df, bands, phash, band, key)
+    # A short fingerprint table may sit in one file; its expansion is what takes time.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = _explode_own(df.repartition(tasks, phash), bands, phash, band, key)
     flips = F
     for b in bands:
         literal = F.array(*[F.lit(v).cast("bigint") for v in b.flips()])

@@ -18,7 +18,7 @@ def expand_join(
     on: str | list[str],
     weight: str,
     how: str = "inner",
-    left_rows: int | None = None,
+    max_weight: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``left JOIN right`` where ``right`` has one row per key and knows the key's row count in ``left``.
@@ -28,11 +28,11 @@ def expand_join(
     are at most ``rows(left) / hot_rows`` such keys, so the table of hot keys is small by
     construction and may be broadcast. All other rows join as usual. No row is dropped or capped.
 
-    ``left_rows`` (when known) skips the check for hot keys: fewer rows than ``hot_rows`` in total
-    cannot hide a hot key.
+    ``max_weight`` is a known upper bound of ``weight`` (the row count of ``left`` is one); where it
+    rules out hot keys, they are not searched for.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if left_rows is not None and left_rows <= hot_rows:
+    if max_weight is not None and max_weight <= hot_rows:
         return left.join(right, keys, how)
     parts = F.ceil(F.col(weight) / hot_rows).cast("int")
     hot = right.where(F.col(weight) > hot_rows).select(*keys, parts.alias(_PARTS))

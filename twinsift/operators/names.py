@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsift.operators.lookup import HOT_ROWS, expand_join
 from twinsift.operators.positions import with_position
-from twinsift.operators.storage import stage
+from twinsift.operators.storage import stage, stage_measured
 
 
 def unique_paths(
@@ -23,7 +23,7 @@ def unique_paths(
     for the same text, the earlier row keeps it and the number is struck from the other name. Ranks
     are fixed, so a round is one aggregation; rounds end when nobody clashes, normally at once.
     """
-    ranked = with_position(df, [base, order], "_pos")
+    ranked, _ = with_position(df, [base, order], "_pos")
     firsts = ranked.groupBy(base).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     ranked = expand_join(ranked, firsts, base, "_n", hot_rows=hot_rows)
     ranked = ranked.withColumn("_rank", F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first", "_n")
@@ -40,8 +40,8 @@ def unique_paths(
             .select(base, F.col("_number").alias("_struck"))
             .distinct()
         )
-        losers = stage(losers, "struck-names")
-        if losers.isEmpty():
+        losers, seen = stage_measured(losers, "struck-names", rows=F.count(F.lit(1)))
+        if seen["rows"] == 0:
             return named.drop("_rank", "_number")
         struck = stage((losers if struck is None else struck.union(losers)).distinct(), "struck-names")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _local_fallback: dict[str, str] = {}
@@ -36,7 +36,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Run ``df`` once, keep the result as Parquet in the shared folder and return a reader of it."""
+    return _write(df, df, name)
+
+
+def stage_measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`stage`, with aggregates observed while writing. They cost no job of their own."""
+    seen = Observation()
+    observed = df.observe(seen, *[column.alias(key) for key, column in metrics.items()])
+    staged = _write(observed, df, name)
+    return staged, {key: value or 0 for key, value in seen.get.items()}
+
+
+def _write(df: DataFrame, plain: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(plain.schema).parquet(path)

@@ -20,7 +20,7 @@ from twinsift.operators.hamming import similar_pairs
 from twinsift.operators.index import cache_hits, cache_misses, collect_garbage, index, latest, orphans, read_index, to_records
 from twinsift.operators.names import unique_paths
 from twinsift.operators.report import scan_report
-from twinsift.operators.storage import scratch_path, stage
+from twinsift.operators.storage import scratch_path, stage, stage_measured
 from twinsift.schemas import HASH_ALGO
 from twinsift.sources.text import balanced, text_raster, text_records
 from twinsift.sources.vectors import vector_rasters
@@ -58,6 +58,11 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_records(turns, F.format_string("%s/%d/%d", "role", "conv_id", "turn"))
 
 
+def _index(spark: SparkSession, sf_dir: str, make=_documents) -> DataFrame:
+    """The records as a written index table: texts are read and hashed once, however often it is used."""
+    return stage(make(spark, sf_dir), "records")
+
+
 def _hex(df: DataFrame) -> DataFrame:
     return df.withColumn("phash", phash_hex("phash"))
 
@@ -100,7 +105,7 @@ def phash_codec(spark, sf_dir):
 
 
 def pixel_prune(spark, sf_dir):
-    pruned = prune_pixel_hash(_with_reversed(spark, sf_dir))
+    pruned = prune_pixel_hash(_index(spark, sf_dir, _with_reversed))
     return _hex(pruned.select("path", "pixel_sha256", "phash"))
 
 
@@ -116,38 +121,40 @@ def exact_groups(spark, sf_dir):
 
 
 def exact_members(spark, sf_dir):
-    return scan(_documents(spark, sf_dir), "exact").members.select(*MEMBER_OUTPUT)
+    return scan(_index(spark, sf_dir), "exact").members.select(*MEMBER_OUTPUT)
 
 
 def conversation_groups(spark, sf_dir):
-    return _groups(scan(_turns(spark, sf_dir), "perceptual", 12))
+    return _groups(scan(_index(spark, sf_dir, _turns), "perceptual", 12))
 
 
 def pixel_groups(spark, sf_dir):
-    return _groups(scan(prune_pixel_hash(_with_reversed(spark, sf_dir)), "pixel"))
+    return _groups(scan(prune_pixel_hash(_index(spark, sf_dir, _with_reversed)), "pixel"))
 
 
 def pixel_members(spark, sf_dir):
-    return scan(prune_pixel_hash(_with_reversed(spark, sf_dir)), "pixel").members.select(*MEMBER_OUTPUT)
+    return scan(prune_pixel_hash(_index(spark, sf_dir, _with_reversed)), "pixel").members.select(*MEMBER_OUTPUT)
 
 
 def perceptual_groups_t4(spark, sf_dir):
-    return _groups(scan(_documents(spark, sf_dir), "perceptual", 4))
+    return _groups(scan(_index(spark, sf_dir), "perceptual", 4))
 
 
 def perceptual_members_t4(spark, sf_dir):
-    return scan(_documents(spark, sf_dir), "perceptual", 4).members.select(*MEMBER_OUTPUT)
+    return scan(_index(spark, sf_dir), "perceptual", 4).members.select(*MEMBER_OUTPUT)
 
 
 def perceptual_groups(spark, sf_dir):
-    return _groups(scan(_documents(spark, sf_dir), "perceptual"))
+    return _groups(scan(_index(spark, sf_dir), "perceptual"))
 
 
 def _pairs(spark, sf_dir, threshold):
     """Similar pairs of distinct fingerprints; copies are counted, not multiplied out."""
     docs = _documents(spark, sf_dir).select("phash")
-    nodes = stage(docs.groupBy("phash").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
-    pairs = similar_pairs(nodes, threshold, nodes.count())
+    nodes, seen = stage_measured(
+        docs.groupBy("phash").agg(F.count(F.lit(1)).alias("n")), "fingerprints", rows=F.count(F.lit(1))
+    )
+    pairs = similar_pairs(nodes, threshold, seen["rows"])
     a, b = phash_hex("a"), phash_hex("b")
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("phash").alias(side), F.col("n").alias(f"n_{side}")), side)
@@ -168,12 +175,12 @@ def hamming_pairs_t10(spark, sf_dir):
 
 
 def keepers(spark, sf_dir):
-    members = scan(_documents(spark, sf_dir), "exact").members
+    members = scan(_index(spark, sf_dir), "exact").members
     return members.where("is_keeper").select("group_id", "path", "bytes")
 
 
 def scan_stats(spark, sf_dir):
-    records = stage(_documents(spark, sf_dir), "records")
+    records = _index(spark, sf_dir)
     out = None
     for strictness, threshold in (("exact", None), ("pixel", None), ("perceptual", 4)):
         rows = prune_pixel_hash(records) if strictness == "pixel" else records
@@ -186,7 +193,7 @@ def scan_stats(spark, sf_dir):
 
 
 def _clean(spark, sf_dir):
-    return plan_clean(prune_pixel_hash(stage(_with_reversed(spark, sf_dir), "records")))
+    return plan_clean(prune_pixel_hash(_index(spark, sf_dir, _with_reversed)))
 
 
 def deletion_plan(spark, sf_dir):
@@ -195,7 +202,7 @@ def deletion_plan(spark, sf_dir):
 
 def deletion_plan_lookup(spark, sf_dir):
     """The plan of groups whose records are only partly known: unknown paths count zero bytes."""
-    records = stage(_with_reversed(spark, sf_dir), "records")
+    records = _index(spark, sf_dir, _with_reversed)
     grouping = scan(records, "pixel")
     known = records.where(~F.col("path").startswith("reversed/"))
     return plan_deletions(known, grouping.groups, grouping.members)
@@ -211,7 +218,7 @@ def clean_stats(spark, sf_dir):
 
 def reconcile_groups(spark, sf_dir):
     """Remove the exact duplicates, then group what is left again."""
-    records = stage(_documents(spark, sf_dir), "records")
+    records = _index(spark, sf_dir)
     removed = plan_clean(records, "exact").plan
     return _groups(reconcile(records, removed, "perceptual", 4))
 
@@ -225,18 +232,18 @@ def _first_record(records: DataFrame) -> DataFrame:
 
 def find_similar(spark, sf_dir):
     """Everything like the record with the smallest path, itself left out."""
-    records = stage(_with_reversed(spark, sf_dir), "records")
+    records = _index(spark, sf_dir, _with_reversed)
     query = _first_record(records).first()
     return find(query, records, 16, query_path=query["path"]).matches
 
 
 def find_top(spark, sf_dir):
-    records = stage(_with_reversed(spark, sf_dir), "records")
+    records = _index(spark, sf_dir, _with_reversed)
     return find(_first_record(records), records, 24, top=25).matches
 
 
 def find_stats(spark, sf_dir):
-    records = stage(_with_reversed(spark, sf_dir), "records")
+    records = _index(spark, sf_dir, _with_reversed)
     return find(_first_record(records), records, 24, top=25).stats()
 
 
@@ -247,12 +254,12 @@ def find_topn_batch(spark, sf_dir):
         F.col("path").cast("bigint").alias("query_id"), "sha256", "pixel_sha256", "phash",
         F.lit(None).cast("string").alias("query_path"),
     )
-    return find_batch(queries, stage(_documents(spark, sf_dir), "records"), 10, top=3)
+    return find_batch(queries, _index(spark, sf_dir), 10, top=3)
 
 
 def find_neighbours(spark, sf_dir):
     """Every document looked up among all documents, without itself."""
-    records = stage(_documents(spark, sf_dir), "records")
+    records = _index(spark, sf_dir)
     queries = records.select(
         F.col("path").alias("query_id"), "sha256", "pixel_sha256", "phash", F.col("path").alias("query_path")
     )
@@ -454,13 +461,13 @@ def event_times(spark, sf_dir):
 
 def scan_document(spark, sf_dir):
     """The full tagged report of an exact scan as JSON lines."""
-    records = stage(_documents(spark, sf_dir), "records")
+    records = _index(spark, sf_dir)
     skipped = index(_hashed_pages(spark, sf_dir)).skipped
     return scan_report(scan(records, "exact"), skipped, "documents", records)
 
 
 def scan_summary(spark, sf_dir):
-    records = stage(_documents(spark, sf_dir), "records")
+    records = _index(spark, sf_dir)
     skipped = index(_hashed_pages(spark, sf_dir)).skipped
     return scan_report(scan(records, "perceptual", 4), skipped, "documents")
 
