@@ -86,7 +86,7 @@ def test_pixel_prune_hides_cross_size_twins_from_scan_only(spark):
 def test_plan_of_given_groups(spark):
     df = records(spark, [rec("a", 10), rec("b", 20), rec("c", 30)])
     members = spark.createDataFrame([(0, p, "a") for p in "abcx"], "group_id long, path string, keeper string")
-    groups = spark.createDataFrame([(0, True, "a")], "group_id long, auto_deletable boolean, keeper string")
+    groups = spark.createDataFrame([(0, True, 4)], "group_id long, auto_deletable boolean, n_members long")
     plan = {r.path: r.bytes for r in plan_deletions(df, groups, members).collect()}
     assert plan == {"b": 20, "c": 30, "x": 0}
     held = groups.withColumn("auto_deletable", F.lit(False))

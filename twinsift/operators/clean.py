@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.paths import inside_root
 from twinsift.operators.group import Grouping, scan
+from twinsift.operators.lookup import HOT_ROWS, expand_join
 
 PLAN_COLUMNS = ["path", "group_id", "bytes", "keeper"]
 
@@ -27,18 +28,18 @@ class CleanPlan:
         return clean_stats(self._records, self.grouping.groups, self.plan, self.rejected)
 
 
-def plan_deletions(records: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+def plan_deletions(
+    records: DataFrame, groups: DataFrame, members: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Members other than the keeper, of groups that may be removed without a look.
 
     ``members(group_id, path, keeper)`` may come from elsewhere than ``records``; a path the records
     do not know counts zero bytes.
     """
-    allowed = groups.where("auto_deletable").select("group_id", "keeper")
+    allowed = groups.where("auto_deletable").select("group_id", "n_members")
     size = records.select("path", F.col("bytes").alias("_bytes"))
-    # The keeper is a column of the members, so the group table is only needed as a filter.
-    planned = members.where(F.col("path") != F.col("keeper")).join(
-        allowed.select("group_id"), "group_id", "left_semi"
-    )
+    surplus = members.where(F.col("path") != F.col("keeper"))
+    planned = expand_join(surplus, allowed, "group_id", "n_members", hot_rows=hot_rows)
     return (
         planned.select("path", "group_id", "keeper")
         .join(size, "path", "left")

@@ -59,19 +59,21 @@ def max_hamming(
     )
     stats, seen = stage_measured(stats, "group-stats", most=F.max("n"))
     tiny = stats.where("n <= 2").select("component", hamming("low", "high").alias("max_hamming"))
-    some = stats.where((F.col("n") > 2) & (F.col("n") <= small_group)).select("component", "n")
-    large = stats.where(F.col("n") > small_group)
-    out = tiny.union(_small(sets.join(some.select("component"), "component", "left_semi")))
+    sized = expand_join(
+        sets, stats.where("n > 2").select("component", "n", "varying", "low"), "component", "n",
+        max_weight=seen["most"], hot_rows=hot_rows,
+    )
+    out = tiny.union(_small(sized.where(F.col("n") <= small_group)))
     if seen["most"] <= small_group:
         return out
-    return out.union(_large(sets, large, hot_rows, hot_bucket))
+    large = stage(sized.where(F.col("n") > small_group), "large-groups")
+    return out.union(_large(large, stats.where(F.col("n") > small_group), hot_rows, hot_bucket))
 
 
 def _large(sets: DataFrame, stats: DataFrame, hot_rows: int, hot_bucket: int) -> DataFrame:
     def attach(rows: DataFrame, per_group: DataFrame) -> DataFrame:
         return expand_join(rows, per_group, "component", "n", hot_rows=hot_rows)
 
-    sets = stage(attach(sets, stats), "large-groups")
     shape = ["n", "varying"]
 
     def farthest(rows: DataFrame, origin: str) -> DataFrame:
@@ -124,7 +126,7 @@ def _large(sets: DataFrame, stats: DataFrame, hot_rows: int, hot_bucket: int) ->
     live = stage(live.select("component", "phash", "varying", "gap", "found"), "live")
     banded = live.where(F.col("gap") <= _MAX_COMPLEMENT)
     blocked = live.where(F.col("gap") > _MAX_COMPLEMENT)
-    wider = _wider_by_bands(banded, hot_bucket).union(_wider_by_blocks(blocked))
+    wider = _wider_by_bands(banded, hot_bucket).union(_wider_by_blocks(blocked, hot_rows))
     return known.union(wider).groupBy("component").agg(F.max("max_hamming").alias("max_hamming"))
 
 
@@ -144,11 +146,13 @@ def _wider_by_bands(live: DataFrame, hot_bucket: int) -> DataFrame:
     return pairs.groupBy(F.col("p_component").alias("component")).agg(F.max(width).alias("max_hamming"))
 
 
-def _wider_by_blocks(live: DataFrame) -> DataFrame:
-    sizes = live.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    sizes = stage(sizes, "block-counts")
-    # At most one row per group of more than SMALL_GROUP rows; the optimizer broadcasts it if small.
-    rows = live.select("component", "phash").join(sizes, "component")
+def _wider_by_blocks(live: DataFrame, hot_rows: int) -> DataFrame:
+    count = F.count(F.lit(1))
+    sizes = live.groupBy("component").agg(count.alias("n"), F.ceil(count / BLOCK_ROWS).cast("int").alias("blocks"))
+    sizes, seen = stage_measured(sizes, "block-counts", most=F.max("n"))
+    rows = expand_join(
+        live.select("component", "phash"), sizes, "component", "n", max_weight=seen["most"], hot_rows=hot_rows
+    )
     block: Column = F.pmod(F.xxhash64("phash"), F.col("blocks")).cast("int")
     a = rows.select("component", F.col("phash").alias("a"), block.alias("x"), "blocks")
     b = a.withColumnRenamed("a", "b")

@@ -202,7 +202,10 @@ def group_perceptual(
     groups = stage(_summaries(labelled, "component"), "summaries")
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
     groups = groups.join(sizes, "component")
-    inside = labels.join(groups.select("component"), "component", "left_semi")
+    inside = expand_join(
+        labels.select("component", "phash"), groups.select("component", "n_nodes"), "component", "n_nodes",
+        max_weight=distinct, hot_rows=hot_rows,
+    )
     widest = max_hamming(inside.select("component", "phash"), hot_rows=hot_rows)
     groups, _ = _number(groups.join(widest, "component"), "perceptual")
 

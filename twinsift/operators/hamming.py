@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import ceil, comb
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from twinsift.schemas import HASH_BITS
 
 # Band keys holding more build rows than this are split by a second band, then salted.
 HOT_BUCKET = 50_000
+# Most hot keys per band, which bounds what is broadcast about them.
+MOST_HOT = 20_000
 # Rows per block of the fallback join.
 BLOCK_ROWS = 8_192
 # A verified candidate costs about this share of a shuffled probe row.
@@ -115,8 +118,7 @@ def _explode_near(df: DataFrame, bands: list[Band], phash: str, band: str, key:
     df = _explode_own(df.repartition(tasks, phash), bands, phash, band, key)
     flips = F
     for b in bands:
-        literal = F.array(*[F.lit(v).cast("bigint") for v in b.flips()])
-        flips = flips.when(F.col(band) == b.number, literal)
+        flips = flips.when(F.col(band) == b.number, F.lit(np.array(b.flips(), dtype=np.int64)))
     return df.withColumn("_flip", F.explode(flips)).withColumn(
         key, F.col(key).bitwiseXOR(F.col("_flip"))
     ).drop("_flip")
@@ -165,7 +167,9 @@ def hamming_join(
     if rows <= hot_bucket:
         return _finish(_meet(p, b, keys, accept), distance)
 
-    # Keys with more than hot_bucket build rows: at most bands * rows / hot_bucket of them.
+    # Keys with more than hot_bucket build rows. Their number is at most bands * rows / hot_bucket,
+    # and the second term keeps that below bands * MOST_HOT however many rows there are.
+    hot_bucket = max(hot_bucket, rows // MOST_HOT)
     hot = (
         b.groupBy(*[F.col(f"b_{k}").alias(k) for k in keys])
         .agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 # A key with more rows than this is spread over several tasks.
 HOT_ROWS = 2_000_000
+# Most hot keys that are ever broadcast; a longer list raises the bar for being hot.
+MAX_HOT_KEYS = 200_000
 _SALT = "_salt"
 _PARTS = "_parts"
 
@@ -24,9 +26,9 @@ def expand_join(
     """``left JOIN right`` where ``right`` has one row per key and knows the key's row count in ``left``.
 
     Keys whose ``weight`` passes ``hot_rows`` are salted: their ``left`` rows are spread over
-    ``ceil(weight / hot_rows)`` sub-keys and the single ``right`` row is repeated that often. There
-    are at most ``rows(left) / hot_rows`` such keys, so the table of hot keys is small by
-    construction and may be broadcast. All other rows join as usual. No row is dropped or capped.
+    ``ceil(weight / hot_rows)`` sub-keys and the single ``right`` row is repeated that often. The
+    hot keys are counted first: at most ``MAX_HOT_KEYS`` are broadcast, and ``hot_rows`` grows until
+    that holds. All other rows join as usual. No row is dropped or capped.
 
     ``max_weight`` is a known upper bound of ``weight`` (the row count of ``left`` is one); where it
     rules out hot keys, they are not searched for.
@@ -34,10 +36,14 @@ def expand_join(
     keys = [on] if isinstance(on, str) else list(on)
     if max_weight is not None and max_weight <= hot_rows:
         return left.join(right, keys, how)
+    hot_keys = right.where(F.col(weight) > hot_rows).count()
+    if hot_keys == 0:
+        return left.join(right, keys, how)
+    while hot_keys > MAX_HOT_KEYS:
+        hot_rows *= 4
+        hot_keys = right.where(F.col(weight) > hot_rows).count()
     parts = F.ceil(F.col(weight) / hot_rows).cast("int")
     hot = right.where(F.col(weight) > hot_rows).select(*keys, parts.alias(_PARTS))
-    if hot.isEmpty():
-        return left.join(right, keys, how)
 
     hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*_cheap_columns(left)), F.col(_PARTS).cast("bigint")).cast("int")
