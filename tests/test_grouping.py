@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import brute_components, brute_pairs, distance, rec, records
 from twinsift.functions.bits import signed64
+from twinsift.operators import components
 from twinsift.operators.components import connected_components
 from twinsift.operators.diameter import max_hamming
 from twinsift.operators.group import fingerprint_components, prune_pixel_hash, scan
@@ -196,8 +197,9 @@ def test_hot_band_keys_are_split_exactly(spark, threshold):
     assert set(got) == brute_pairs(values, threshold)
 
 
-@pytest.mark.parametrize("hot_rows", [3, 10**6])
-def test_components_equal_union_find(spark, hot_rows):
+@pytest.mark.parametrize("hot_rows,short", [(3, 10**6), (10**6, 10**6), (3, 0)])
+def test_components_equal_union_find(spark, monkeypatch, hot_rows, short):
+    monkeypatch.setattr(components, "SHORT_TABLE", short)
     rng = random.Random(2)
     nodes = list(range(120))
     edges = [(i, i + 1) for i in range(0, 39)]  # a long chain

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.operators.lookup import HOT_ROWS, expand_join
 from twinsift.operators.storage import stage, stage_measured
 
+# On edge tables up to this length a round looks three steps far instead of one: starting a round
+# costs more than its rows, and fewer rounds are needed. On longer tables one step moves least data.
+SHORT_TABLE = 5_000_000
+
 
 def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)`` for every node that has an edge.
 
-    Each round, every node moves to the node with the lowest random rank among itself and its
-    neighbours, then to where that one moves, and the edges move along; loops and repeats vanish. A
-    move never leaves the component and never tears one apart, so when no edge is left the composed
-    moves are the answer.
+    Each round, every node moves to the node with the lowest random rank within a step or three, and
+    the edges move along; loops and repeats vanish. A move never leaves the component and never tears
+    one apart, so when no edge is left the composed moves are the answer.
     With a fresh random rank per round the graph shrinks by a constant factor, so all rounds
     together cost about as much as the first, also on long chains.
 
@@ -31,31 +34,35 @@ def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     moves: list[tuple[DataFrame, int]] = []
     while seen["rows"]:
-        step = _jump(_moves(edges, len(moves)), 2 * seen["rows"], hot_rows)
+        hops = 3 if seen["rows"] <= SHORT_TABLE else 1
+        step = _moves(edges, len(moves), hops, 2 * seen["rows"], hot_rows)
         step, size = stage_measured(step, "moves", rows=rows, degree=F.max("degree"))
         moves.append((step, size["rows"]))
         edges, seen = stage_measured(_follow(edges, step, size["degree"], hot_rows), "edges", rows=rows)
     return _compose(moves, hot_rows)
 
 
-def _moves(edges: DataFrame, turn: int) -> DataFrame:
+def _moves(edges: DataFrame, turn: int, hops: int, most: int, hot_rows: int) -> DataFrame:
+    """Each node's target: the node of lowest rank within ``hops`` steps."""
     ends = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in ("ab", "ba")]
     both = edges.select(F.explode(F.array(*ends)).alias("_e")).select("_e.node", "_e.other")
     rank = lambda c: F.xxhash64(c, F.lit(turn))
-    best = both.groupBy("node").agg(
-        F.min_by("other", rank("other")).alias("other"), F.count(F.lit(1)).alias("degree")
-    )
-    target = F.when(rank("other") < rank("node"), F.col("other")).otherwise(F.col("node"))
-    return best.select("node", target.alias("target"), "degree")
 
+    def lower(mine: str, theirs: str) -> Column:
+        return F.when(rank(theirs) < rank(mine), F.col(theirs)).otherwise(F.col(mine))
 
-def _jump(step: DataFrame, most: int, hot_rows: int) -> DataFrame:
-    """Each node moves on to its target's target. Only neighbours move to a node: degree bounds them."""
-    onward = step.select(
-        F.col("node").alias("target"), F.col("target").alias("_next"), (F.col("degree") + 1).alias("_n")
-    )
-    jumped = expand_join(step, onward, "target", "_n", max_weight=most, hot_rows=hot_rows)
-    return jumped.select("node", F.col("_next").alias("target"), "degree")
+    step = both.groupBy("node").agg(
+        F.min_by("other", rank("other")).alias("_best"), F.count(F.lit(1)).alias("degree")
+    ).select("node", lower("node", "_best").alias("target"), "degree")
+    for _ in range(hops - 1):
+        reached = step.select(F.col("node").alias("other"), F.col("target").alias("_via"), "degree")
+        seen = expand_join(both, reached, "other", "degree", max_weight=most, hot_rows=hot_rows)
+        # The neighbours' targets cover everything one step farther than their own reach.
+        best = seen.groupBy("node").agg(
+            F.min_by("_via", rank("_via")).alias("_best"), F.count(F.lit(1)).alias("degree")
+        )
+        step = best.select("node", lower("node", "_best").alias("target"), "degree")
+    return step
 
 
 def _follow(edges: DataFrame, step: DataFrame, degree: int, hot_rows: int) -> DataFrame:
