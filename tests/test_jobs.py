@@ -16,7 +16,9 @@ from twinsift.operators.find import find, find_batch
 from twinsift.operators.group import prune_pixel_hash, scan
 from twinsift.operators.index import cache_hits, cache_misses, collect_garbage, index, latest, orphans, read_index, refresh
 from twinsift.operators.names import unique_paths
-from twinsift.operators.report import asset_data, asset_path, scan_report, write_report
+from twinsift.operators.report import (
+    asset_data, asset_path, clean_report, compare_report, find_report, scan_report, write_report,
+)
 from twinsift.schemas import HASH_ALGO, HASH_INDEX_SCHEMA
 
 POOL = [
@@ -267,3 +269,24 @@ def test_asset_references(spark):
 
 def test_helpers_agree():
     assert distance(0, -1) == 64 and signed64((1 << 64) - 1) == -1
+
+
+def test_find_clean_and_compare_reports(spark):
+    pool = records(spark, POOL)
+    skipped = spark.createDataFrame([("z", "broken")], "path string, reason string")
+    docs = find_report(find(pool.where("path = 'q.png'"), pool, 10, query_path="q.png"), skipped, "root")
+    lines = [json.loads(r.json) for r in docs.orderBy("section", "sort_key").collect()]
+    assert [d["path"] for d in lines if d["section"] == "match"] == [
+        "copy.png", "reencoded.png", "other-dims.png", "near-a.png", "near-b.png",
+    ]
+    assert [d["sha256"] for d in lines if d["section"] == "query"] == ["Q"]
+    assert {d["matched"] for d in lines if d["section"] == "stats"} == {5}
+    lines = [json.loads(r.json) for r in clean_report(plan_clean(pool), "root").collect()]
+    assert {d["path"] for d in lines if d["section"] == "planned"} == {"q.png", "reencoded.png", "other-dims.png"}
+    compared = spark.createDataFrame(
+        [("a", "b", False, False, False, None, None, None, None, 3, "incomparable")],
+        "a string, b string, sha_equal boolean, dims_equal boolean, comparable boolean, pixel_equal boolean, "
+        "pixel_diff_ratio double, ssim double, psnr double, hamming int, verdict string",
+    )
+    (pair,) = [json.loads(r.json) for r in compare_report(compared, now_rfc3339()).where("section = 'pair'").collect()]
+    assert pair["ssim"] is None and pair["hammingDistance"] == 3

@@ -34,6 +34,10 @@ class Found:
     matches: DataFrame
     _records: DataFrame
 
+    @property
+    def query_schema(self):
+        return self._records.schema
+
     def stats(self, skipped: DataFrame | None = None) -> DataFrame:
         return find_stats(self._records, self.matches, skipped)
 

@@ -296,7 +296,47 @@ def _report(strictness: str, threshold: str, groups: str, images: bool) -> str:
     return "\nUNION ALL ".join(parts)
 
 
+_HEAD = """'schemaVersion': 1, 'producer': {'app': 'twinsift', 'appVersion': '1', 'decoder': 'spark-image',
+    'hashAlgo': 'dhash-1'}, 'root': 'documents'"""
+_IMAGE = f"""'path': path, 'bytes': bytes, 'width': width, 'height': height, 'format': format, 'sha256': sha256,
+    'pixelSha256': pixel_sha256, 'phash': {_hex('phash')}"""
+
+
+def _line(kind: str, section: str, key: str, body: str, source: str) -> str:
+    return f"""SELECT '{section}' AS section, {key} AS sort_key,
+    to_json({{'kind': '{kind}', 'section': '{section}', {body}}})::VARCHAR AS json {source}"""
+
+
+def _find_report() -> str:
+    counts = """'scanned': (SELECT count(*) FROM rec), 'skipped': (SELECT count(*) FROM prow WHERE bad),
+    'matched': (SELECT count(*) FROM top)"""
+    match = """'path': path, 'bytes': bytes, 'width': width, 'height': height, 'format': format, 'tier': tier,
+    'hammingDistance': hamming"""
+    parts = [
+        _line("find", "head", "''", f"{_HEAD}, 'threshold': 24", ""),
+        _line("find", "query", "''", _IMAGE, "FROM one"),
+        _line("find", "stats", "''", counts, ""),
+        _line("find", "match", f"({_RANK}) || ' ' || lpad(hamming::VARCHAR, 2, '0') || ' ' || path", match, "FROM top"),
+        _line("find", "skipped", "path", "'path': path, 'reason': 'no extension'", "FROM prow WHERE bad"),
+    ]
+    return f"{_find_top(24, 25)}, {_PAGES} " + " UNION ALL ".join(parts)
+
+
+def _clean_report() -> str:
+    counts = """'scanned': (SELECT count(*) FROM rec), 'groups': (SELECT count(*) FROM g), 'planned': count(*),
+    'rejected': 0, 'reclaimableBytes': sum(bytes)::BIGINT"""
+    target = "'path': path, 'groupId': group_id, 'bytes': bytes, 'keeper': keeper"
+    parts = [
+        _line("clean", "head", "''", f"{_HEAD}, 'strictness': 'pixel', 'dryRun': true", ""),
+        _line("clean", "stats", "''", counts, "FROM g_m WHERE NOT is_keeper"),
+        _line("clean", "planned", "lpad(group_id::VARCHAR, 20, '0') || ' ' || path", target, "FROM g_m WHERE NOT is_keeper"),
+    ]
+    return f"WITH {_TWO}, {_PRUNED}, {_grouped('pruned', 'pixel_sha256')} " + " UNION ALL ".join(parts)
+
+
 ORACLES: dict[str, str] = {
+    "find_document": _find_report(),
+    "clean_document": _clean_report(),
     "sha256_content": "SELECT doc_id, sha256(text) AS sha256, strlen(text)::INTEGER AS bytes FROM documents",
     "text_fingerprint": f"""WITH {_REC} SELECT path, bytes, width, height, sha256, pixel_sha256,
         {_hex('phash')} AS phash FROM rec""",

@@ -19,7 +19,7 @@ from twinsift.operators.group import prune_pixel_hash, scan
 from twinsift.operators.hamming import similar_pairs
 from twinsift.operators.index import cache_hits, cache_misses, collect_garbage, index, latest, orphans, read_index, to_records
 from twinsift.operators.names import unique_paths
-from twinsift.operators.report import scan_report
+from twinsift.operators.report import clean_report, find_report, scan_report
 from twinsift.operators.storage import scratch_path, stage, stage_measured
 from twinsift.schemas import HASH_ALGO
 from twinsift.sources.text import balanced, text_raster, text_records
@@ -466,6 +466,16 @@ def scan_document(spark, sf_dir):
     return scan_report(scan(records, "exact"), skipped, "documents", records)
 
 
+def find_document(spark, sf_dir):
+    records = _index(spark, sf_dir, _with_reversed)
+    skipped = index(_hashed_pages(spark, sf_dir)).skipped
+    return find_report(find(_first_record(records), records, 24, top=25), skipped, "documents")
+
+
+def clean_document(spark, sf_dir):
+    return clean_report(_clean(spark, sf_dir), "documents")
+
+
 def scan_summary(spark, sf_dir):
     records = _index(spark, sf_dir)
     skipped = index(_hashed_pages(spark, sf_dir)).skipped
@@ -485,6 +495,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         latest_index, incremental_hits, incremental_misses, orphan_entries, index_after_gc,
         skipped_items, indexed_pages, stream_index,
         unique_names, page_formats, page_paths, readable_sizes, event_times,
-        scan_document, scan_summary,
+        scan_document, scan_summary, find_document, clean_document,
     )
 }

@@ -63,7 +63,7 @@ def _text_raster(text: pa.Array) -> pa.Array:
 
 
 def text_raster(text: Column | str) -> Column:
-    """Struct (gray, pixel_sha256, phash) of a text. A null text is an empty raster."""
+    """Struct (gray, pixel_sha256, phash) of a text."""
     return _text_raster(text)
 
 
@@ -77,8 +77,9 @@ def text_records(
 ) -> DataFrame:
     """Records of a table of texts: width in characters, height 1, size in UTF-8 bytes.
 
-    One narrow pass: no shuffle, and only the text and the columns in ``path`` and ``width`` are read.
+    Rows without a text are left out. One narrow pass: no shuffle, and only the text and the columns in ``path`` and ``width`` are read.
     """
+    df = df.where(F.col(text).isNotNull())
     width = F.char_length(text) if width is None else width
     raster = text_raster(F.col(text))
     out = df.select(
@@ -87,7 +88,8 @@ def text_records(
         width.cast("int").alias("width"),
         F.lit(1).alias("height"),
         F.lit(format).alias("format"),
-        F.sha2(text, 256).alias("sha256"),
+        # Never null here; saying so spares later not-null filters from hashing a second time.
+        F.coalesce(F.sha2(text, 256), F.lit("")).alias("sha256"),
         raster.alias("_raster"),
     )
     fields = ["path", "bytes", "width", "height", "format", "sha256"]
