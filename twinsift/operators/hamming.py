@@ -17,13 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.bits import hamming, signed64
-from twinsift.operators.storage import stage
+from twinsift.operators.lookup import MAX_HOT_KEYS
+from twinsift.operators.storage import stage, stage_measured
 from twinsift.schemas import HASH_BITS
 
-# Band keys holding more build rows than this are split by a second band, then salted.
+# Band keys holding more build rows than this are split by further bands.
 HOT_BUCKET = 50_000
-# Most hot keys per band, which bounds what is broadcast about them.
-MOST_HOT = 20_000
 # Rows per block of the fallback join.
 BLOCK_ROWS = 8_192
 # A verified candidate costs about this share of a shuffled probe row.
@@ -92,45 +91,80 @@ def choose_bands(threshold: int, rows: int) -> list[Band] | None:
     return best
 
 
-def _key(phash: Column, band: Band) -> Column:
-    return phash.bitwiseAND(F.lit(signed64(band.mask)).cast("bigint"))
+def _split_cost(bands: list[Band], level: int, threshold: int) -> float:
+    """Share of a bucket that a row still meets after splitting it by the bands not used yet."""
+    left = len(bands) - level
+    if left == 0:
+        return 1.0
+    width = HASH_BITS / len(bands)
+    radii = [r for r in _radii(left, threshold) if r >= 0]
+    return sum(sum(comb(round(width), k) for k in range(r + 1)) for r in radii) / 2**width
 
 
-def _own_keys(bands: list[Band], phash: Column) -> Column:
-    return F.array(
-        *[F.struct(F.lit(b.number).alias("band"), _key(phash, b).alias("key")) for b in bands]
-    )
+def _pieces(level: int, bands: list[Band], threshold: int, side: str) -> tuple[Column, Column, int, int]:
+    """Whether the row's current band may be used at this level, and whether it has the wide radius.
 
-
-def _explode_own(df: DataFrame, bands: list[Band], phash: str, band: str, key: str) -> DataFrame:
-    return (
-        df.withColumn("_k", F.explode(_own_keys(bands, F.col(phash))))
-        .withColumn(band, F.col("_k.band"))
-        .withColumn(key, F.col("_k.key"))
-        .drop("_k")
-    )
+    ``level`` bands are fixed already; the others must cover the whole threshold among themselves.
+    The first few of them (in band order) get a radius one wider than the rest.
+    """
+    share, extra = divmod(threshold + 1, len(bands) - level)
+    band = F.col(f"{side}_band{level}")
+    used = [F.col(f"{side}_band{k}") for k in range(level)]
+    place = band
+    free = F.lit(True)
+    for earlier in used:
+        place = place - (earlier < band).cast("int")
+        free = free & (earlier != band)
+    wide = place < extra
+    return (free & wide if share == 0 else free), wide, share - 1, share
+
+
+def _explode_own(df: DataFrame, bands: list[Band], level: int, threshold: int, side: str) -> DataFrame:
+    """One row per usable band with the row's own key."""
+    phash, band, key = F.col(f"{side}_phash"), f"{side}_band{level}", f"{side}_key{level}"
+    own = [
+        F.struct(
+            F.lit(b.number).alias("band"),
+            phash.bitwiseAND(F.lit(signed64(b.mask)).cast("bigint")).alias("key"),
+        )
+        for b in bands
+    ]
+    df = df.withColumn("_k", F.explode(F.array(*own)))
+    df = df.withColumn(band, F.col("_k.band")).withColumn(key, F.col("_k.key")).drop("_k")
+    usable, *_ = _pieces(level, bands, threshold, side)
+    return df.where(usable)
 
 
-def _explode_near(df: DataFrame, bands: list[Band], phash: str, band: str, key: str) -> DataFrame:
-    """One row per band and per key within the band's radius."""
-    # A short fingerprint table may sit in one file; its expansion is what takes time.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = _explode_own(df.repartition(tasks, phash), bands, phash, band, key)
+def _explode_near(df: DataFrame, bands: list[Band], level: int, threshold: int) -> DataFrame:
+    """One row per usable band and per key within the band's radius."""
+    df = _explode_own(df, bands, level, threshold, "p")
+    _, wide, narrow_radius, wide_radius = _pieces(level, bands, threshold, "p")
     flips = F
     for b in bands:
-        flips = flips.when(F.col(band) == b.number, F.lit(np.array(b.flips(), dtype=np.int64)))
-    return df.withColumn("_flip", F.explode(flips)).withColumn(
-        key, F.col(key).bitwiseXOR(F.col("_flip"))
-    ).drop("_flip")
-
-
-def _first_match(bands: list[Band]) -> Column:
-    """Number of the first band in which the pair is within the radius: each pair is kept there only."""
+        here = F.col(f"p_band{level}") == b.number
+        for condition, radius in ((here & wide, wide_radius), (here, narrow_radius)):
+            values = Band(b.number, b.shift, b.width, max(radius, 0)).flips()
+            flips = flips.when(condition, F.lit(np.array(values, dtype=np.int64)))
+    key = f"p_key{level}"
+    df = df.withColumn("_flip", F.explode(flips))
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.col("_flip"))).drop("_flip")
+
+
+def _first_match(bands: list[Band], level: int, threshold: int) -> Column:
+    """First usable band in which the pair is within the radius: the pair is kept there only."""
+    share, extra = divmod(threshold + 1, len(bands) - level)
+    used = [F.col(f"p_band{k}") for k in range(level)]
     differ = F.col("p_phash").bitwiseXOR(F.col("b_phash"))
     first = F
     for b in bands:
-        near = F.bit_count(differ.bitwiseAND(F.lit(signed64(b.mask)).cast("bigint"))) <= b.radius
-        first = first.when(near, F.lit(b.number))
+        place = F.lit(b.number)
+        free = F.lit(True)
+        for earlier in used:
+            place = place - (earlier < b.number).cast("int")
+            free = free & (earlier != b.number)
+        radius = F.when(place < extra, share).otherwise(share - 1)
+        apart = F.bit_count(differ.bitwiseAND(F.lit(signed64(b.mask)).cast("bigint")))
+        first = first.when(free & (apart <= radius), F.lit(b.number))
     return first
 
 
@@ -149,42 +183,57 @@ def hamming_join(
     pair. The result has all probe columns prefixed ``p_``, all build columns prefixed ``b_`` and
     ``distance``. ``keep`` is an extra condition on the prefixed columns, applied inside the join.
     ``rows`` is the number of build rows; it picks the layout.
+
+    Band keys with more than ``hot_bucket`` build rows are taken out of the join and split by the
+    bands not used yet, which must cover the whole threshold among themselves; that repeats while
+    keys stay overfull. Where splitting stops helping, build rows are salted and probe rows repeated.
     """
     p = probe.select(*[F.col(c).alias(f"p_{c}") for c in probe.columns])
     b = build.select(*[F.col(c).alias(f"b_{c}") for c in build.columns])
+    out = [*p.columns, *b.columns]
     distance = hamming("p_phash", "b_phash")
     accept = distance <= threshold
     if keep is not None:
         accept = accept & keep
     bands = choose_bands(threshold, rows)
     if bands is None:
-        return _block_join(p, b, on, accept, rows).withColumn("distance", distance)
-
-    p = _explode_near(p, bands, "p_phash", "p_band", "p_key")
-    b = _explode_own(b, bands, "b_phash", "b_band", "b_key")
-    keys = [*on, "band", "key"]
-    accept = accept & (_first_match(bands) == F.col("p_band"))
-    if rows <= hot_bucket:
-        return _finish(_meet(p, b, keys, accept), distance)
-
-    # Keys with more than hot_bucket build rows. Their number is at most bands * rows / hot_bucket,
-    # and the second term keeps that below bands * MOST_HOT however many rows there are.
-    hot_bucket = max(hot_bucket, rows // MOST_HOT)
-    hot = (
-        b.groupBy(*[F.col(f"b_{k}").alias(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > hot_bucket)
-    )
-    hot = stage(hot, "hot-bands")
-    if hot.isEmpty():
-        return _finish(_meet(p, b, keys, accept), distance)
-    cold = _meet(_only(p, hot, keys, "p", "left_anti"), _only(b, hot, keys, "b", "left_anti"), keys, accept)
-    warm = _split_hot(
-        _only(p, hot, keys, "p", "left_semi"),
-        _only(b, hot, keys, "b", "left_semi"),
-        keys, bands, threshold, accept, hot_bucket,
-    )
-    return _finish(cold.unionByName(warm), distance)
+        return _block_join(p, b, on, accept, rows).select(*out, distance.alias("distance"))
+
+    # A short fingerprint table may sit in one file; its expansion is what takes time.
+    p = p.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p_phash")
+    keys = list(on)
+    pairs: DataFrame | None = None
+    for level in range(len(bands)):
+        p = _explode_near(p, bands, level, threshold)
+        b = _explode_own(b, bands, level, threshold, "b")
+        keys += [f"band{level}", f"key{level}"]
+        accept = accept & (_first_match(bands, level, threshold) == F.col(f"p_band{level}"))
+        hot = None if level == 0 and rows <= hot_bucket else _hot_keys(b, keys, hot_bucket)
+        if hot is None:
+            return _join_all(pairs, _meet(p, b, keys, accept).select(*out), distance)
+        cold = _meet(_only(p, hot, keys, "p", "left_anti"), _only(b, hot, keys, "b", "left_anti"), keys, accept)
+        pairs = cold.select(*out) if pairs is None else pairs.unionByName(cold.select(*out))
+        p = stage(_only(p, hot, keys, "p", "left_semi"), "hot-probes")
+        b = stage(_only(b, hot, keys, "b", "left_semi"), "hot-rows")
+        if _split_cost(bands, level + 1, threshold) > 0.5:
+            break
+    return _join_all(pairs, _salted(p, b, keys, accept, hot, hot_bucket).select(*out), distance)
+
+
+def _join_all(pairs: DataFrame | None, last: DataFrame, distance: Column) -> DataFrame:
+    return (last if pairs is None else pairs.unionByName(last)).withColumn("distance", distance)
+
+
+def _hot_keys(b: DataFrame, keys: list[str], hot_bucket: int) -> DataFrame | None:
+    """Keys with more build rows than allowed; the bar rises until the list is short enough to send out."""
+    counts = b.groupBy(*[F.col(f"b_{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    hot, seen = stage_measured(counts.where(F.col("n") > hot_bucket), "hot-keys", rows=F.count(F.lit(1)))
+    found = seen["rows"]
+    while found > MAX_HOT_KEYS:
+        hot_bucket *= 4
+        hot = hot.where(F.col("n") > hot_bucket)
+        found = hot.count()
+    return hot if found else None
 
 
 def _only(df: DataFrame, hot: DataFrame, keys: list[str], side: str, how: str) -> DataFrame:
@@ -197,58 +246,18 @@ def _meet(p: DataFrame, b: DataFrame, keys: list[str], accept: Column) -> DataFr
     return p.join(b, [*same, accept])
 
 
-def _finish(pairs: DataFrame, distance: Column) -> DataFrame:
-    return pairs.withColumn("distance", distance).drop("p_band", "p_key", "b_band", "b_key")
-
-
-def _split_hot(
-    p: DataFrame, b: DataFrame, keys: list[str], bands: list[Band], threshold: int,
-    accept: Column, hot_bucket: int,
+def _salted(
+    p: DataFrame, b: DataFrame, keys: list[str], accept: Column, hot: DataFrame, hot_bucket: int
 ) -> DataFrame:
-    """Pairs of overfull band keys: the other bands must cover the whole distance among themselves.
+    parts = F.ceil(F.col("n") / hot_bucket).cast("int").alias("parts")
 
-    The refined keys (band, key, other band, its key) hold a small share of the bucket each. Where
-    even those are overfull, the build rows are salted and the probe rows repeated per salt.
-    """
-    results = []
-    for first in bands:
-        others = [o for o in bands if o.number != first.number]
-        if others:
-            radii = _radii(len(others), threshold)
-            others = [Band(o.number, o.shift, o.width, r) for o, r in zip(others, radii) if r >= 0]
-        usable = others and max(o.volume for o in others) <= _MAX_FLIPS
-        pf = p.where(F.col("p_band") == first.number)
-        bf = b.where(F.col("b_band") == first.number)
-        condition = accept
-        refined = list(keys)
-        if usable:
-            pf = _explode_near(pf, others, "p_phash", "p_sub", "p_subkey")
-            bf = _explode_own(bf, others, "b_phash", "b_sub", "b_subkey")
-            refined += ["sub", "subkey"]
-            condition = condition & (_first_match(others) == F.col("p_sub"))
-        sizes = (
-            bf.groupBy(*[F.col(f"b_{k}").alias(k) for k in refined])
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > hot_bucket)
-            .select(*refined, F.ceil(F.col("n") / hot_bucket).cast("int").alias("parts"))
-        )
-        sizes = F.broadcast(stage(sizes, "hot-subbands"))
-        pf = _with_parts(pf, sizes, refined, "p")
-        pf = pf.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        bf = _with_parts(bf, sizes, refined, "b")
-        bf = bf.withColumn("b_salt", F.pmod(F.xxhash64("b_phash"), F.col("parts")).cast("int"))
-        pairs = _meet(pf.drop("parts"), bf.drop("parts"), [*refined, "salt"], condition)
-        results.append(pairs.drop("p_sub", "p_subkey", "b_sub", "b_subkey", "p_salt", "b_salt"))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _with_parts(df: DataFrame, sizes: DataFrame, keys: list[str], side: str) -> DataFrame:
-    names = [f"{side}_{k}" for k in keys]
-    sizes = sizes.select(*[F.col(k).alias(f"{side}_{k}") for k in keys], "parts")
-    return df.join(sizes, names, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    def with_parts(df: DataFrame, side: str) -> DataFrame:
+        names = hot.select(*[F.col(k).alias(f"{side}_{k}") for k in keys], parts)
+        return df.join(F.broadcast(names), [f"{side}_{k}" for k in keys])
+
+    p = with_parts(p, "p").withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    b = with_parts(b, "b").withColumn("b_salt", F.pmod(F.xxhash64("b_phash"), F.col("parts")).cast("int"))
+    return _meet(p.drop("parts"), b.drop("parts"), [*keys, "salt"], accept)
 
 
 def _block_join(p: DataFrame, b: DataFrame, on: tuple[str, ...], accept: Column, rows: int) -> DataFrame:
