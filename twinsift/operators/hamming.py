@@ -199,12 +199,12 @@ def hamming_join(
     if bands is None:
         return _block_join(p, b, on, accept, rows).select(*out, distance.alias("distance"))
 
-    # A short fingerprint table may sit in one file; its expansion is what takes time.
-    p = p.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p_phash")
+    tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = list(on)
     pairs: DataFrame | None = None
     for level in range(len(bands)):
-        p = _explode_near(p, bands, level, threshold)
+        # A short table may sit in one file; its expansion and the candidates are what takes time.
+        p = _explode_near(p.repartition(tasks, "p_phash"), bands, level, threshold)
         b = _explode_own(b, bands, level, threshold, "b")
         keys += [f"band{level}", f"key{level}"]
         accept = accept & (_first_match(bands, level, threshold) == F.col(f"p_band{level}"))
