@@ -290,3 +290,9 @@ def test_find_clean_and_compare_reports(spark):
     )
     (pair,) = [json.loads(r.json) for r in compare_report(compared, now_rfc3339()).where("section = 'pair'").collect()]
     assert pair["ssim"] is None and pair["hammingDistance"] == 3
+
+
+def test_public_names():
+    import twinsift
+
+    assert all(callable(getattr(twinsift, name)) for name in twinsift.__all__)

@@ -1,25 +1,32 @@
-"""Finding, explaining and planning the removal of duplicate records with Spark."""
+"""Finding, explaining and planning the removal of duplicate records with Spark.
 
-from twinsift.functions.bits import dhash9x8, hamming, hamming_hex, phash_from_hex, phash_hex
-from twinsift.functions.paths import human_size, normalize_ext, verdict
-from twinsift.functions.raster import flatten_on_white, pair_scores, raster_hashes, to_gray
-from twinsift.operators.clean import plan_clean, plan_deletions, reconcile
-from twinsift.operators.compare import compare_pairs, with_raster_hashes
-from twinsift.operators.find import find, find_batch
-from twinsift.operators.group import prune_pixel_hash, scan
-from twinsift.operators.hamming import similar_pairs
-from twinsift.operators.index import cache_hits, cache_misses, collect_garbage, index, orphans, refresh
-from twinsift.operators.names import unique_paths
-from twinsift.sources.images import folder_rasters, hash_folder, list_images
-from twinsift.sources.text import text_records
-from twinsift.sources.vectors import vector_rasters
-from twinsift.streaming.ingest import index_stream, stream_images
+Names are loaded on first use: Python workers import the package for its column functions and should
+not pay for the rest.
+"""
 
-__all__ = [
-    "cache_hits", "cache_misses", "collect_garbage", "compare_pairs", "dhash9x8", "find", "find_batch",
-    "flatten_on_white", "folder_rasters", "hamming", "hamming_hex", "hash_folder", "human_size", "index",
-    "index_stream", "list_images", "normalize_ext", "orphans", "pair_scores", "phash_from_hex", "phash_hex",
-    "plan_clean", "plan_deletions", "prune_pixel_hash", "raster_hashes", "reconcile", "refresh", "scan",
-    "similar_pairs", "stream_images", "text_records", "to_gray", "unique_paths", "vector_rasters", "verdict",
-    "with_raster_hashes",
-]
+from importlib import import_module
+
+_WHERE = {
+    "functions.bits": ["dhash9x8", "hamming", "hamming_hex", "phash_from_hex", "phash_hex"],
+    "functions.paths": ["human_size", "normalize_ext", "verdict"],
+    "functions.raster": ["flatten_on_white", "pair_scores", "raster_hashes", "to_gray"],
+    "operators.clean": ["plan_clean", "plan_deletions", "reconcile"],
+    "operators.compare": ["compare_pairs", "with_raster_hashes"],
+    "operators.find": ["find", "find_batch"],
+    "operators.group": ["prune_pixel_hash", "scan"],
+    "operators.hamming": ["similar_pairs"],
+    "operators.index": ["cache_hits", "cache_misses", "collect_garbage", "index", "orphans", "refresh"],
+    "operators.names": ["unique_paths"],
+    "sources.images": ["folder_rasters", "hash_folder", "list_images"],
+    "sources.text": ["text_records"],
+    "sources.vectors": ["vector_rasters"],
+    "streaming.ingest": ["index_stream", "stream_images"],
+}
+_MODULE_OF = {name: module for module, names in _WHERE.items() for name in names}
+__all__ = sorted(_MODULE_OF)
+
+
+def __getattr__(name: str):
+    if name not in _MODULE_OF:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_MODULE_OF[name]}"), name)
