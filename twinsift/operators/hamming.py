@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import ceil, comb
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +134,11 @@ def _explode_own(df: DataFrame, bands: list[Band], level: int, threshold: int, s
     return df.where(usable)
 
 
+def _bigints(values: list[int]) -> Column:
+    """A constant array. One parsed expression; the smallest BIGINT has no literal of its own."""
+    return F.expr("array(" + ", ".join(f"{v}L" if v >= 0 else f"({v + 1}L - 1L)" for v in values) + ")")
+
+
 def _explode_near(df: DataFrame, bands: list[Band], level: int, threshold: int) -> DataFrame:
     """One row per usable band and per key within the band's radius."""
     df = _explode_own(df, bands, level, threshold, "p")
@@ -144,7 +148,7 @@ def _explode_near(df: DataFrame, bands: list[Band], level: int, threshold: int)
         here = F.col(f"p_band{level}") == b.number
         for condition, radius in ((here & wide, wide_radius), (here, narrow_radius)):
             values = Band(b.number, b.shift, b.width, max(radius, 0)).flips()
-            flips = flips.when(condition, F.lit(np.array(values, dtype=np.int64)))
+            flips = flips.when(condition, _bigints(values))
     key = f"p_key{level}"
     df = df.withColumn("_flip", F.explode(flips))
     return df.withColumn(key, F.col(key).bitwiseXOR(F.col("_flip"))).drop("_flip")
