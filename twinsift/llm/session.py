@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Rows that travel to a Python worker at once. With texts of some kilobytes a batch stays at a few megabytes.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:

@@ -28,6 +28,8 @@ from twinsift.llm.session import map_batches, string
 from twinsift.llm.words import ALNUM, blocks, find_words
 
 WINDOW = 10
+# Bytes of training text in one suffix array, whole documents each.
+SHARD_BYTES = 1 << 20
 # Most bytes of benchmark text that travel to the tasks at once.
 QUERY_BYTES = 8 << 20
 
@@ -199,7 +201,7 @@ def _one_block(docs: DataFrame, columns: list[str], shared: Broadcast) -> DataFr
         before = batch.column(batch.num_columns - 1).to_pylist() if earlier else [[]] * batch.num_rows
         n_words, n_hit, ids, matches = [], [], [], []
         text = batch.column(batch.schema.get_field_index("text"))
-        for first, last, data, offsets in blocks(text):
+        for first, last, data, offsets in blocks(text, SHARD_BYTES):
             words = find_words(data, offsets, ALNUM)
             counts = np.diff(words.offsets)
             for k, found in enumerate(find_matches(words, queries)):

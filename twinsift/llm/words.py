@@ -17,7 +17,7 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 # Most bytes of text that one pass of array work covers; a longer single text is one pass.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 _LOWER = np.arange(256, dtype=np.uint8)
