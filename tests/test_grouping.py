@@ -219,11 +219,9 @@ def test_merge_first_gives_the_same_components(spark, threshold):
     values = clustered(random.Random(threshold), 200, 8)
     df = frame(spark, values)
     want = brute_components(values, [(a, b) for a, b, _ in brute_pairs(values, threshold)])
-    for merge_first in (0, 10**6):
+    for hot_rows, hot_bucket in ((5, 20), (10**6, 10**6)):
         found = {}
-        labels = fingerprint_components(
-            df, threshold, len(values), merge_first=merge_first, hot_rows=5, hot_bucket=20
-        )
+        labels = fingerprint_components(df, threshold, len(values), hot_rows=hot_rows, hot_bucket=hot_bucket)
         for r in labels.collect():
             found.setdefault(r.component, set()).add(r.phash)
         assert {frozenset(g) for g in found.values()} == want

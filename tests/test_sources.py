@@ -1,5 +1,6 @@
 """Adapters and the image folder, batch and streaming."""
 
+import hashlib
 import struct
 import zlib
 
@@ -8,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsift.functions import kernels
+from twinsift.operators.clean import plan_clean
 from twinsift.operators.group import scan
 from twinsift.operators.index import index, latest, read_index, refresh, to_records
 from twinsift.sources.images import folder_rasters, hash_folder, hash_listed, list_images
-from twinsift.sources.text import text_raster, text_records
+from twinsift.sources.text import hashed_texts, text_raster, text_records
 from twinsift.sources.vectors import vector_rasters
 from twinsift.streaming.ingest import stream_images
 
@@ -115,12 +117,14 @@ def test_text_adapter_equals_builtin_form(spark, sf_dir):
     cells = docs.select("doc_id", "text", F.explode(cell).alias("c")).groupBy("doc_id", "c").count()
     want = {}
     for r in cells.collect():
-        want.setdefault(r.doc_id, [0] * 72)[r.c] = min(r["count"], 255)
+        want.setdefault(r.doc_id, [0] * 72)[r.c] = r["count"]
     got = docs.select("doc_id", text_raster("text").alias("r")).collect()
     assert len(got) == docs.count()
     for r in got:
-        grid = want.get(r.doc_id, [0] * 72)
+        counts = want.get(r.doc_id, [0] * 72)
+        grid = [v * 255 // max(counts) for v in counts] if max(counts) > 255 else counts
         assert list(r.r.gray) == grid
+        assert r.r.pixel_sha256 == hashlib.sha256(",".join(map(str, counts)).encode()).hexdigest()
         assert r.r.phash == kernels.grid_bits(np.array([grid], np.uint8))[0]
 
 
@@ -129,8 +133,23 @@ def test_text_records_odd_values(spark):
     rows = {r.path: r for r in text_records(df, F.col("name"), with_gray=True).collect()}
     assert (sum(rows["a"].gray), sum(rows["b"].gray)) == (3, 0)
     assert (rows["c"].bytes, rows["c"].width, rows["b"].phash) == (5, 3, 0)
-    many = spark.createDataFrame([("a", "z " * 300)], "name string, text string")
-    assert max(text_records(many, F.col("name"), with_gray=True).first().gray) == 255
+    many = spark.createDataFrame([("a", "z " * 300 + "y"), ("b", "z " * 400 + "y")], "name string, text string")
+    a, b = text_records(many, F.col("name"), with_gray=True).orderBy("path").collect()
+    assert max(a.gray) == max(b.gray) == 255 and a.pixel_sha256 != b.pixel_sha256
+
+
+def test_texts_that_differ_beyond_255_tokens_are_not_planned(spark):
+    rows = [("a", "spam " * 300), ("b", "spam " * 400), ("c", "spam " * 400 + " ")]
+    records = text_records(spark.createDataFrame(rows, "name string, text string"), F.col("name"))
+    assert [r.path for r in plan_clean(records, "pixel").plan.collect()] == ["b"]
+
+
+def test_no_text_is_lost(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None), ("c", "")], "name string, text string")
+    out = index(hashed_texts(df, F.col("name")))
+    assert sorted(r.path for r in out.records.collect()) == ["a", "c"]
+    assert [tuple(r) for r in out.skipped.collect()] == [("b", "no text")]
+    assert text_records(df, F.col("name")).count() == 2
 
 
 def test_vector_adapter(spark):

@@ -18,7 +18,7 @@ _WHERE = {
     "operators.index": ["cache_hits", "cache_misses", "collect_garbage", "index", "orphans", "refresh"],
     "operators.names": ["unique_paths"],
     "sources.images": ["folder_rasters", "hash_folder", "list_images"],
-    "sources.text": ["text_records"],
+    "sources.text": ["hashed_texts", "text_records"],
     "sources.vectors": ["vector_rasters"],
     "streaming.ingest": ["index_stream", "stream_images"],
 }

@@ -19,8 +19,6 @@ GROUP_COLUMNS = [
     "group_id", "strictness", "keeper", "first_path", "n_members", "reclaimable_bytes",
     "auto_deletable", "max_hamming",
 ]
-# From this many distinct fingerprints on, crowded regions are merged before pairs are formed.
-MERGE_FIRST = 20_000
 
 
 @dataclass
@@ -119,29 +117,29 @@ def fingerprint_components(
     fingerprints: DataFrame,
     threshold: int,
     rows: int,
-    merge_first: int = MERGE_FIRST,
     hot_rows: int = HOT_ROWS,
     hot_bucket: int = HOT_BUCKET,
 ) -> DataFrame:
     """``(phash, component)`` of the graph that links fingerprints within ``threshold`` bits.
 
-    ``component`` is one of the component's fingerprints. Small inputs link all similar pairs. Larger
-    ones first merge crowded regions at linear cost: fingerprints that agree outside a window of
-    ``threshold`` bits are within the threshold for certain, so each links to the smallest of its
-    window key. Pairs are then formed between different merged regions only, and the join keeps one
-    per pair of regions, so a dense cluster never lists its own pairs.
+    ``component`` is one of the component's fingerprints. First crowded regions merge at linear cost:
+    fingerprints that agree outside a window of ``threshold`` bits are within the threshold for
+    certain, so each links to the smallest of its window key. Pairs are then formed between different
+    merged regions only. Each task reduces its pairs to pairs of regions before anything is written,
+    so a dense cluster lists neither its own pairs nor all pairs with its neighbours.
     """
     only = fingerprints.select("phash")
     if threshold >= HASH_BITS:
         least = only.agg(F.min("phash")).first()[0]
         return only.withColumn("component", F.lit(least).cast("bigint"))
-    if rows < merge_first or threshold == 0:
-        edges = similar_pairs(only, threshold, rows, hot_bucket=hot_bucket).select("a", "b")
-        return _label(only, connected_components(edges, hot_rows))
+    if threshold == 0:
+        return only.withColumn("component", F.col("phash"))
 
     merged = stage(_label(only, connected_components(_window_links(only, threshold, hot_rows), hot_rows)), "merged")
     across = similar_pairs(merged, threshold, rows, differ_in="component", hot_bucket=hot_bucket)
-    links = across.select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))
+    links = across.select(
+        F.least("a_component", "b_component").alias("a"), F.greatest("a_component", "b_component").alias("b")
+    ).distinct()
     upper = connected_components(links, hot_rows)
     sizes = merged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     upper = stage(

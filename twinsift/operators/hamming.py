@@ -229,20 +229,17 @@ def _join_all(pairs: DataFrame | None, last: DataFrame, distance: Column) -> Dat
 
 
 def _hot_keys(b: DataFrame, keys: list[str], hot_bucket: int) -> DataFrame | None:
-    """Keys with more build rows than allowed; the bar rises until the list is short enough to send out."""
+    """Keys with more build rows than allowed; a short list is marked to be sent out, a long one joins by key."""
     counts = b.groupBy(*[F.col(f"b_{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
     hot, seen = stage_measured(counts.where(F.col("n") > hot_bucket), "hot-keys", rows=F.count(F.lit(1)))
-    found = seen["rows"]
-    while found > MAX_HOT_KEYS:
-        hot_bucket *= 4
-        hot = hot.where(F.col("n") > hot_bucket)
-        found = hot.count()
-    return hot if found else None
+    if not seen["rows"]:
+        return None
+    return hot.hint("broadcast") if seen["rows"] <= MAX_HOT_KEYS else hot
 
 
 def _only(df: DataFrame, hot: DataFrame, keys: list[str], side: str, how: str) -> DataFrame:
     names = hot.select(*[F.col(k).alias(f"{side}_{k}") for k in keys])
-    return df.join(F.broadcast(names), [f"{side}_{k}" for k in keys], how)
+    return df.join(names, [f"{side}_{k}" for k in keys], how)
 
 
 def _meet(p: DataFrame, b: DataFrame, keys: list[str], accept: Column) -> DataFrame:
@@ -257,7 +254,7 @@ def _salted(
 
     def with_parts(df: DataFrame, side: str) -> DataFrame:
         names = hot.select(*[F.col(k).alias(f"{side}_{k}") for k in keys], parts)
-        return df.join(F.broadcast(names), [f"{side}_{k}" for k in keys])
+        return df.join(names, [f"{side}_{k}" for k in keys])
 
     p = with_parts(p, "p").withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     b = with_parts(b, "b").withColumn("b_salt", F.pmod(F.xxhash64("b_phash"), F.col("parts")).cast("int"))

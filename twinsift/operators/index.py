@@ -26,16 +26,25 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
-def latest(index: DataFrame) -> DataFrame:
-    """Newest entry per path. An aggregate, so repeats are folded before the shuffle."""
-    rest = [c for c in index.columns if c != "path"]
-    order = F.struct("indexed_at", "mtime_ns", "sha256")
+# What decides whether an entry is still valid, and which of two entries is newer.
+_CHECKED = ["size", "mtime_ns", "hash_algo"]
+_NEWER = ["indexed_at", "mtime_ns", "size", "hash_algo"]
+
+
+def latest(index: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Newest entry per path. An aggregate, so repeats are folded before the shuffle.
+
+    ``columns`` (all by default) are the ones to carry. Entries equal in all of ``_NEWER`` differ in
+    hashes at most, so the hash breaks ties only where hashes are asked for.
+    """
+    rest = [c for c in (index.columns if columns is None else columns) if c != "path"]
+    order = F.struct(*_NEWER, *[c for c in ("sha256",) if c in rest])
     newest = index.groupBy("path").agg(F.max_by(F.struct(*rest), order).alias("_e"))
     return newest.select("path", *[F.col(f"_e.{c}").alias(c) for c in rest])
 
 
-def _usable(index: DataFrame, hash_algo: str) -> DataFrame:
-    return latest(index).where(F.col("hash_algo") == hash_algo)
+def _usable(index: DataFrame, hash_algo: str, columns: list[str] | None = None) -> DataFrame:
+    return latest(index, columns).where(F.col("hash_algo") == hash_algo)
 
 
 def cache_hits(listing: DataFrame, index: DataFrame, hash_algo: str = HASH_ALGO) -> DataFrame:
@@ -45,7 +54,7 @@ def cache_hits(listing: DataFrame, index: DataFrame, hash_algo: str = HASH_ALGO)
 
 def cache_misses(listing: DataFrame, index: DataFrame, hash_algo: str = HASH_ALGO) -> DataFrame:
     """Listed items without a valid entry. ``listing`` carries metadata only, never content."""
-    return listing.join(_usable(index, hash_algo).select(*_KEY), _KEY, "left_anti")
+    return listing.join(_usable(index, hash_algo, _CHECKED).select(*_KEY), _KEY, "left_anti")
 
 
 def orphans(index: DataFrame, listing: DataFrame) -> DataFrame:
@@ -57,8 +66,9 @@ def orphans(index: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def collect_garbage(index: DataFrame, listing: DataFrame) -> DataFrame:
-    """The index without orphans."""
-    return latest(index).join(orphans(index, listing).select("path"), "path", "left_anti")
+    """The index without orphans; all of it when the listing is empty (a failed listing)."""
+    newest = latest(index)
+    return newest if listing.isEmpty() else newest.join(listing.select("path"), "path", "left_semi")
 
 
 def to_entries(records: DataFrame, keys: DataFrame, hash_algo: str = HASH_ALGO) -> DataFrame:

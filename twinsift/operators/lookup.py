@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 # A key with more rows than this is spread over several tasks.
 HOT_ROWS = 2_000_000
-# Most hot keys that are ever broadcast; a longer list raises the bar for being hot.
+# Most hot keys that are broadcast; a longer list is joined like any other table.
 MAX_HOT_KEYS = 200_000
 _SALT = "_salt"
 _PARTS = "_parts"
@@ -27,8 +27,8 @@ def expand_join(
 
     Keys whose ``weight`` passes ``hot_rows`` are salted: their ``left`` rows are spread over
     ``ceil(weight / hot_rows)`` sub-keys and the single ``right`` row is repeated that often. The
-    hot keys are counted first: at most ``MAX_HOT_KEYS`` are broadcast, and ``hot_rows`` grows until
-    that holds. All other rows join as usual. No row is dropped or capped.
+    hot keys are counted first: up to ``MAX_HOT_KEYS`` are broadcast, a longer list is joined by key.
+    All other rows join as usual. No row is dropped or capped.
 
     ``max_weight`` is a known upper bound of ``weight`` (the row count of ``left`` is one); where it
     rules out hot keys, they are not searched for.
@@ -39,13 +39,10 @@ def expand_join(
     hot_keys = right.where(F.col(weight) > hot_rows).count()
     if hot_keys == 0:
         return left.join(right, keys, how)
-    while hot_keys > MAX_HOT_KEYS:
-        hot_rows *= 4
-        hot_keys = right.where(F.col(weight) > hot_rows).count()
     parts = F.ceil(F.col(weight) / hot_rows).cast("int")
     hot = right.where(F.col(weight) > hot_rows).select(*keys, parts.alias(_PARTS))
 
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot) if hot_keys <= MAX_HOT_KEYS else hot
     spread = F.pmod(F.xxhash64(*_cheap_columns(left)), F.col(_PARTS).cast("bigint")).cast("int")
     salted = (
         left.join(hot, keys, "left").withColumn(_SALT, F.coalesce(spread, F.lit(0))).drop(_PARTS)

@@ -7,6 +7,7 @@ file sizes for its join choices, and keeps column pruning and filter pushdown fo
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,11 @@ _local_fallback: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints. Only a local session may make its own."""
+    """The folder the cluster names for checkpoints. Only a one-process session may make its own."""
     configured = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {_CONF} to a folder that the driver and every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_fallback:
@@ -34,6 +35,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/twinsift-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete the intermediate tables of this application. Results that still read them fail afterwards."""
+    folder = f"{scratch_root(spark)}/twinsift-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Run ``df`` once, keep the result as Parquet in the shared folder and return a reader of it."""
     return _write(df, df, name)

@@ -29,10 +29,12 @@ def _hashed(name: str, source: str, key: str) -> str:
 {name}_tok AS (SELECT {key}, unnest(string_split(text, ' ')) AS t FROM {source}),
 {name}_cell AS (SELECT {key}, ('0x' || substr(md5(t), 1, 8))::BIGINT % 72 AS c, count(*) AS n
     FROM {name}_tok WHERE t <> '' GROUP BY ALL),
-{name}_full AS (SELECT s.{key}, r.c, least(coalesce(x.n, 0), 255)::INTEGER AS v
+{name}_full AS (SELECT s.{key}, r.c, coalesce(x.n, 0) AS v
     FROM {source} s CROSS JOIN range(72) r(c) LEFT JOIN {name}_cell x ON x.{key} = s.{key} AND x.c = r.c),
-{name}_grid AS (SELECT {key}, list(v ORDER BY c) AS gray FROM {name}_full GROUP BY {key}),
-{name} AS (SELECT {key}, gray, sha256(array_to_string(gray, ',')) AS pixel_sha256, {_bits('gray')} AS phash
+{name}_raw AS (SELECT {key}, list(v ORDER BY c) AS counts FROM {name}_full GROUP BY {key}),
+{name}_grid AS (SELECT {key}, counts, CASE WHEN list_max(counts) > 255
+    THEN list_transform(counts, lambda v: v * 255 // list_max(counts)) ELSE counts END AS gray FROM {name}_raw),
+{name} AS (SELECT {key}, gray, sha256(array_to_string(counts, ',')) AS pixel_sha256, {_bits('gray')} AS phash
     FROM {name}_grid)"""
 
 

@@ -22,7 +22,7 @@ from twinsift.operators.names import unique_paths
 from twinsift.operators.report import clean_report, find_report, scan_report
 from twinsift.operators.storage import scratch_path, stage, stage_measured
 from twinsift.schemas import HASH_ALGO
-from twinsift.sources.text import balanced, text_raster, text_records
+from twinsift.sources.text import balanced, hashed_texts, text_raster, text_records
 from twinsift.sources.vectors import vector_rasters
 from twinsift.streaming.ingest import index_stream
 
@@ -406,11 +406,8 @@ def stream_index(spark, sf_dir):
     )
 
     def hash_batch(batch: DataFrame) -> DataFrame:
-        rows = text_records(batch, _doc_path(), width=F.col("n_chars"))
-        return (
-            rows.withColumn("size", F.col("bytes")).withColumn("mtime_ns", F.lit(0).cast("bigint"))
-            .withColumn("error", F.when(F.col("width") <= 0, "empty"))
-        )
+        rows = hashed_texts(batch, _doc_path(), width=F.col("n_chars"))
+        return rows.withColumn("size", F.col("bytes")).withColumn("mtime_ns", F.lit(0).cast("bigint"))
 
     at = scratch_path(spark, "stream-index")
     index_stream(stream, hash_batch, f"{at}/index", f"{at}/retry", f"{at}/checkpoint").awaitTermination()

@@ -1,6 +1,7 @@
 """Text adapter: any table of texts becomes records with a 9x8 token raster.
 
-Each token falls into one of 72 cells by hash; a cell's gray value is its token count, at most 255.
+Each token falls into one of 72 cells by hash. The pixel hash covers the token counts of the cells as
+they are; a cell's gray value is its count, scaled to the fullest cell where that holds over 255.
 """
 
 from __future__ import annotations
@@ -47,9 +48,11 @@ def _text_raster(text: pa.Array) -> pa.Array:
     real = pc.not_equal(tokens, "")
     tokens, owner = tokens.filter(real), owner.filter(real).to_numpy(zero_copy_only=False)
     counts = np.bincount(owner * GRID_CELLS + _cells(tokens), minlength=rows * GRID_CELLS)
-    gray = np.minimum(counts, 255).astype(np.uint8).reshape(rows, GRID_CELLS)
+    counts = counts.reshape(rows, GRID_CELLS)
+    most = counts.max(axis=1, keepdims=True, initial=0)
+    gray = np.where(most > 255, counts * 255 // np.maximum(most, 1), counts).astype(np.uint8)
     digests = [
-        hashlib.sha256(",".join(map(str, row)).encode()).hexdigest() for row in gray.tolist()
+        hashlib.sha256(",".join(map(str, row)).encode()).hexdigest() for row in counts.tolist()
     ]
     phash = kernels.grid_bits(gray) if rows else np.array([], dtype=np.int64)
     return pa.StructArray.from_arrays(
@@ -67,7 +70,7 @@ def text_raster(text: Column | str) -> Column:
     return _text_raster(text)
 
 
-def text_records(
+def hashed_texts(
     df: DataFrame,
     path: Column,
     text: str = "text",
@@ -75,28 +78,35 @@ def text_records(
     format: str = "txt",
     with_gray: bool = False,
 ) -> DataFrame:
-    """Records of a table of texts: width in characters, height 1, size in UTF-8 bytes.
+    """Hashed rows of a table of texts: width in characters, height 1, size in UTF-8 bytes, ``error``.
 
-    Rows without a text are left out. One narrow pass: no shuffle, and only the text and the columns in ``path`` and ``width`` are read.
+    A row without a text has an ``error``, so ``index`` lists it as skipped. One narrow pass: no shuffle,
+    and only the text and the columns in ``path`` and ``width`` are read.
     """
-    df = df.where(F.col(text).isNotNull())
+    missing = F.col(text).isNull()
     width = F.char_length(text) if width is None else width
     raster = text_raster(F.col(text))
     out = df.select(
         path.alias("path"),
-        F.octet_length(text).cast("bigint").alias("bytes"),
-        width.cast("int").alias("width"),
+        F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("bytes"),
+        F.when(missing, 0).otherwise(width).cast("int").alias("width"),
         F.lit(1).alias("height"),
         F.lit(format).alias("format"),
         # Never null here; saying so spares later not-null filters from hashing a second time.
         F.coalesce(F.sha2(text, 256), F.lit("")).alias("sha256"),
         raster.alias("_raster"),
+        F.when(missing, "no text").alias("error"),
     )
     fields = ["path", "bytes", "width", "height", "format", "sha256"]
     fields += [F.col("_raster.pixel_sha256"), F.col("_raster.phash")]
     if with_gray:
         fields.append(F.col("_raster.gray"))
-    return out.select(*fields)
+    return out.select(*fields, "error")
+
+
+def text_records(df: DataFrame, path: Column, text: str = "text", **options) -> DataFrame:
+    """Records of the rows that have a text; see :func:`hashed_texts` for those that have none."""
+    return hashed_texts(df.where(F.col(text).isNotNull()), path, text, **options).drop("error")
 
 
 def balanced(df: DataFrame) -> DataFrame:
