@@ -8,19 +8,24 @@ similarity.
 Each of ``TREES`` independent trees starts with all classes in its root and sends a class to the child
 named by one minwise token. Two sets of similarity s meet in a child with probability s, and sets that
 share little part at once. Nodes whose classes are already known to belong together need no
-comparison. A node is small when few of its classes lie outside its largest known group: it is
-compared exhaustively, each outside class with every class of another group. Larger nodes branch again
-on further tokens, picked by the node's name; whatever is still large at the last level is compared
-the same way, so no candidate is cut off. Pairs whose sketches cannot reach the threshold are left out
-and the rest confirmed on the full sets.
+comparison. A node is small when at most ``SMALL`` of its classes lie outside its largest known group:
+those are compared with each other and, in blocks, with every class of that group. Larger nodes branch
+again on further tokens, picked by the node's name; whatever is still large at the last level is cut
+into runs that are all compared with each other, so no candidate is cut off.
 
-To keep links linear in a group of copies, first every class is compared with a few leaders of its
-nodes (the classes of least rank there), and the links found make the known groups. No node's pairs
-are listed while its classes are of one group.
+A block is compared in two steps inside a task. The bits name the classes that may reach the threshold
+with a class of another group; for those the ``DEPTH`` least hashes of their sets are fetched, which
+are the whole sets but for long texts. Going from the most similar pair down, a pair is handed on only
+if its groups are not yet joined in the block, so a block hands on a spanning forest of its links and
+not its pairs. Every pair handed on is confirmed on the full sets.
+
+To keep blocks few in a group of copies, first every class is compared with the leader of each of its
+nodes (the class of least rank there), and the links found make the known groups.
 
 Recall: a pair at the threshold misses one tree's first level with probability 1/4, so 24 trees miss
 it with 4e-15; through four levels of branching it survives with about 0.4 per tree and is missed
-with 5e-6. A pair passes the sketch test with all but 1e-8.
+with 5e-6. A pair passes the test on bits with all but 1e-8, and the one on the least hashes of a long
+text with all but 1e-6.
 
 Texts without words (null, empty) have empty sets: they link with nothing. Rows with one ``doc_id``
 are one document, so they belong to one component; rows without ``doc_id`` stay alone, with a null
@@ -47,11 +52,16 @@ SHINGLE = 5
 PERCENT = 75
 TREES = 24
 COORDINATES = 128
-# Independent rankings that name a node's leaders.
-RANKINGS = 3
-# A node with at most so many classes outside its largest known group is compared exhaustively.
-SMALL = 32
-LEVELS = 8
+# A node with at most so many classes outside its largest known group is compared exhaustively, in
+# blocks of those and as many of the group.
+SMALL = 768
+LEVELS = 10
+# Least hashes of a set that are compared inside a block; all of them for sets up to this size.
+DEPTH = 2_048
+# What a pair must reach inside a block to be confirmed, and from where on it surely joins its groups:
+# for whole sets only a collision of hashes can be wrong, for the others five standard errors.
+WHOLE = (0.745, 0.755)
+PARTS = (0.70, 0.80)
 # Differing bits of two sketches. At similarity 0.75 the mean is 16 of 128 with a deviation of 3.7.
 MOST_BITS = 40
 
@@ -205,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     nodes = _roots(classes)
     links = stage(_confirm(_leader_pairs(nodes), texts, shingle), "links")
     known = connected_components(links)
-    pairs, seen = stage_measured(_crossing_pairs(nodes, known, classes), "pairs", rows=F.count(F.lit(1)))
+    pairs, seen = stage_measured(_crossing_pairs(nodes, known, classes, texts, shingle), "pairs", rows=F.count(F.lit(1)))
     if seen["rows"]:
         links = links.unionByName(_confirm(pairs, texts, shingle))
         known = connected_components(links)
@@ -241,11 +251,9 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(nodes: DataFrame) -> DataFrame:
-    """Every class with the leaders of its nodes, as far as their sketches agree."""
-    leaders = nodes.groupBy("node").agg(
-        *[F.min_by("item", F.xxhash64("item.rep", F.lit(k))).alias(f"_l{k}") for k in range(RANKINGS)]
-    )
-    leaders = stage(leaders, "leaders").select("node", F.explode(F.array_distinct(F.array(*[f"_l{k}" for k in range(RANKINGS)]))).alias("leader"))
+    """Every class with the leader of each of its nodes, as far as their sketches agree. One ranking, so leaders recur."""
+    leaders = nodes.groupBy("node").agg(F.min_by("item", F.xxhash64("item.rep")).alias("leader"))
+    leaders = stage(leaders, "leaders")
     pairs = nodes.join(leaders, "node").where((F.col("item.rep") != F.col("leader.rep")) & _close("item", "leader"))
     return _ordered(pairs, "item", "leader")
 
@@ -255,8 +263,8 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(low.alias("a"), high.alias("b")).distinct()
 
 
-def _crossing_pairs(nodes: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs of different known groups, from the small nodes of all levels."""
+def _crossing_pairs(nodes: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Likely links between different known groups, from the small nodes of all levels."""
     groups = known.select(F.col("node").alias("_rep"), "component")
     rows = nodes.join(groups, F.col("item.rep") == F.col("_rep"), "left").select(
         "node", "item", F.coalesce("component", F.col("item.rep")).alias("group")
@@ -266,37 +274,165 @@ def _crossing_pairs(nodes: DataFrame, known: DataFrame, classes: DataFrame) -> D
     for level in range(LEVELS):
         sized = stage(_sizes(rows), "sizes")
         last = level == LEVELS - 1
-        small = sized if last else sized.where(F.col("outside") <= SMALL)
-        found.append(_compare(rows.join(small, "node")))
+        found.append(_blocks(rows.join(sized if last else sized.where(F.col("outside") <= SMALL), "node")))
         if last:
             break
         large = sized.where(F.col("outside") > SMALL).select("node")
         rows, seen = stage_measured(_branch(rows.join(large, "node"), tokens, level), "branches", rows=F.count(F.lit(1)))
         if not seen["rows"]:
             break
-    pairs = found[0]
+    blocks = found[0]
     for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+        blocks = blocks.unionByName(more)
+    likely = blocks.groupBy("block").agg(F.collect_list(F.struct("item", "group", "side")).alias("rows"))
+    likely = stage(likely.mapInArrow(_likely_rows, _LIKELY), "likely")
+
+    needed = texts.join(likely.select("rep").distinct(), "rep", "left_semi")
+    least = map_batches(needed, _least_hashes(shingle), [T.StructField("set", T.BinaryType())]).drop("text")
+    met = likely.join(stage(least, "sets"), "rep")
+    member = F.struct("rep", "n", "b1", "b2", "group", "side", "set")
+    return met.groupBy("block").agg(F.collect_list(member).alias("rows")).mapInArrow(_forest, "a bigint, b bigint").distinct()
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Cut each node into blocks: a run of the classes outside the main group with a run of all classes.
+
+    ``side`` 0: outside, 1: main group, 2: outside classes of another run, compared with those of side 0.
+    Small nodes have one run of outside classes, so their rows are repeated once per run of the main group.
+    """
+    runs = lambda n: F.greatest(F.ceil(n / SMALL), F.lit(1)).cast("int")
+    main, out = runs(F.col("total") - F.col("outside")), runs(F.col("outside"))
+    own = lambda n: F.pmod(F.xxhash64("item.rep", F.lit(7)), n).cast("int")
+    is_out = F.col("group") != F.col("main")
+    place = lambda x, kind, y, side: F.struct(x.alias("x"), F.lit(kind).alias("kind"), y.alias("y"), F.lit(side).alias("side"))
+    with_main = F.transform(F.sequence(F.lit(0), main - 1), lambda j: place(own(out), 0, j, 0))
+    with_out = F.transform(F.sequence(own(out), out - 1), lambda j: place(own(out), 1, j, 0))
+    under = F.transform(F.filter(F.sequence(F.lit(0), own(out)), lambda i: i < own(out)), lambda i: place(i, 1, own(out), 2))
+    from_main = F.transform(F.sequence(F.lit(0), out - 1), lambda i: place(i, 0, own(main), 1))
+    places = F.when(is_out, F.concat(with_main, F.when(out > 1, F.concat(F.slice(with_out, 2, 1 << 30), under)).otherwise(F.array()))).otherwise(from_main)
+    spread = rows.select("node", "item", "group", F.explode(places).alias("p"))
+    return spread.select(F.xxhash64("node", "p.x", "p.kind", "p.y").alias("block"), "item", "group", F.col("p.side").alias("side"))
+
+
+_LIKELY = "block bigint, rep bigint, n bigint, b1 bigint, b2 bigint, group bigint, side int"
+
+
+def _near_bits(x: int, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    differing = np.bitwise_count(bits ^ bits[x]).sum(axis=1)
+    return (differing <= MOST_BITS) & (100 * np.minimum(n, n[x]) >= PERCENT * np.maximum(n, n[x]))
+
+
+def _partners(x: int, side: np.ndarray) -> np.ndarray:
+    """Rows that class ``x`` of side 0 is compared with: later ones of its own side and all of the others."""
+    return (side > 0) | (np.arange(len(side)) > x)
+
+
+def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block whose bits allow a link to a class of another group."""
+    names = ["rep", "n", "b1", "b2", "group", "side"]
+    for batch in batches:
+        for block, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+            flat = rows.values.flatten()
+            item = dict(zip([f.name for f in rows.values.type.field(0).type], flat[0].flatten()))
+            columns = [*(item[name].to_numpy() for name in names[:4]), flat[1].to_numpy(), flat[2].to_numpy()]
+            rep, n, b1, b2, group, side = columns
+            bits = np.column_stack([b1, b2]).view(np.uint64)
+            keep = np.zeros(len(rep), bool)
+            for x in np.flatnonzero(side == 0):
+                met = _near_bits(x, n, bits) & (group != group[x]) & _partners(x, side)
+                if met.any():
+                    keep |= met
+                    keep[x] = True
+            if keep.any():
+                out = [np.full(int(keep.sum()), block), *(c[keep] for c in columns)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["block", *names])
+
+
+def _least_hashes(shingle: int):
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        out = []
+        for _, _, data, offsets in blocks(batch.column(batch.schema.get_field_index("text"))):
+            hashes, bounds = _sets(data, offsets, shingle)
+            short = (hashes >> np.uint64(32)).astype(np.uint32)
+            # Hashes are in order inside a set, and so are their upper halves.
+            out += [short[a : min(b, a + DEPTH)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        return [pa.array(out, pa.binary())]
+
+    return compute
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block that may be links, without those whose groups the surer ones already join."""
+    for batch in batches:
+        for rows in batch.column(1):
+            pairs = _block_links(rows.values)
+            if pairs:
+                low, high = zip(*[(min(p), max(p)) for p in pairs])
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+
+def _block_links(rows: pa.StructArray) -> list[tuple[int, int]]:
+    rep, n, b1, b2, group, side = (rows.field(k).to_numpy() for k in range(6))
+    sets = [np.frombuffer(v.as_buffer(), np.uint32) for v in rows.field(6)]
+    bits = np.column_stack([b1, b2]).view(np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(value, kind="stable")
+    postings, heads = owner[order], np.append(np.searchsorted(value[order], np.arange(value.max() + 1)), len(value))
+    ends = np.cumsum([len(s) for s in sets])
+    found: list[tuple[float, float, int, int]] = []
+    for x in np.flatnonzero(side == 0):
+        met = np.flatnonzero(_near_bits(x, n, bits) & (group != group[x]) & _partners(x, side))
+        if not len(met):
+            continue
+        own = value[ends[x] - len(sets[x]) : ends[x]]
+        size = heads[own + 1] - heads[own]
+        at = np.repeat(heads[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.bincount(postings[at], minlength=len(sets))[met]
+        share = common / (n[x] + n[met] - common)
+        for y, s in zip(met, share):
+            low, sure = WHOLE
+            if max(n[x], n[y]) > DEPTH:
+                s, (low, sure) = _share_of_parts(sets[x], sets[y]), PARTS
+            if s >= low:
+                found.append((-s, sure, x, y))
+    root: dict[int, int] = {}
+
+    def top(g: int) -> int:
+        while root.get(g, g) != g:
+            root[g] = root.get(root[g], root[g])
+            g = root[g]
+        return g
+
+    pairs = []
+    for s, sure, x, y in sorted(found):
+        g, h = top(int(group[x])), top(int(group[y]))
+        if g != h:
+            pairs.append((int(rep[x]), int(rep[y])))
+            if -s >= sure:
+                root[g] = h
+    return pairs
+
+
+def _share_of_parts(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets below the hash up to which both are known."""
+    limits = [s[-1] for s in (a, b) if len(s) == DEPTH]
+    a, b = (s[s <= min(limits)] for s in (a, b))
+    common = len(np.intersect1d(a, b))
+    return common / max(1, len(a) + len(b) - common)
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
     """Nodes that hold more than one group: the largest group and how many classes lie outside it."""
     per_group = rows.groupBy("node", "group").agg(F.count(F.lit(1)).alias("_n"))
     per_node = per_group.groupBy("node").agg(
-        F.max_by("group", F.struct("_n", "group")).alias("main"), (F.sum("_n") - F.max("_n")).alias("outside")
+        F.max_by("group", F.struct("_n", "group")).alias("main"),
+        F.sum("_n").alias("total"),
+        (F.sum("_n") - F.max("_n")).alias("outside"),
     )
     return per_node.where(F.col("outside") > 0)
 
 
-def _compare(rows: DataFrame) -> DataFrame:
-    outside = rows.where(F.col("group") != F.col("main")).select("node", F.col("item").alias("x"), F.col("group").alias("_gx"))
-    every = rows.select("node", F.col("item").alias("y"), F.col("group").alias("_gy"), "main")
-    once = (F.col("_gy") == F.col("main")) | (F.col("x.rep") < F.col("y.rep"))
-    met = outside.join(every, "node").where((F.col("_gx") != F.col("_gy")) & once & _close("x", "y"))
-    return _ordered(met, "x", "y")
-
-
 def _branch(rows: DataFrame, tokens: DataFrame, level: int) -> DataFrame:
     """Send every class of a large node to one or (for a third of the nodes) two children."""
     pick = lambda k: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(COORDINATES)).cast("int")

@@ -26,12 +26,15 @@ from pyspark.sql import types as T
 
 from twinsift.llm.session import map_batches, string
 from twinsift.llm.words import ALNUM, blocks, find_words
+from twinsift.operators.storage import stage
 
 WINDOW = 10
 # Bytes of training text in one suffix array, whole documents each.
 SHARD_BYTES = 1 << 20
 # Most bytes of benchmark text that travel to the tasks at once.
 QUERY_BYTES = 8 << 20
+# Blocks of queries that meet the texts in one job; longer query sets are cut by written tables.
+QUERY_PASSES = 4
 
 _MATCH = T.StructType(
     [
@@ -185,6 +188,8 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, query_b
     columns = docs.columns
     part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     for part in range(parts):
+        if part and part % QUERY_PASSES == 0:
+            docs = stage(docs, "matched")
         rows = [(r.item_id, r.text) for r in items.where(part_of == part).collect()]
         shared = spark.sparkContext.broadcast(Queries(rows, window))
         docs = _one_block(docs, columns, shared)
