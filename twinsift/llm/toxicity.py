@@ -7,12 +7,14 @@
    letters set apart by single spaces, dots or dashes become character lattices; each sign may stand
    for the letters it resembles, a run of one letter for one or two of it. The Viterbi path under the
    language model and the channel's costs is the restored word. Other words are left as they are.
-3. Scoring: a word's features are itself and its beginnings. A feature's weight is a cautious (lower
-   bound) estimate of how surely a text with it is toxic, from labelled texts; a text scores as its
-   surest word does, passed through a curve that is fitted to the labelled texts.
-
-Whole words are counted by distinct contexts (the words on both sides), so copies of a text count once;
-beginnings by the distinct words that have them, so one word alone does not speak for its beginning.
+3. Scoring: a text's features are its words, their beginnings, and how densely different words with
+   one beginning stand in it. A feature's weight is a cautious (lower bound) estimate of how surely a
+   text with it is toxic, from labelled texts; a text's weight joins those of its three surest words or
+   densities as independent signs, passed through a curve that is fitted to the labelled texts.
+
+Whole words are counted by distinct contexts (the words on both sides), beginnings by the distinct words
+that have them and densities by the distinct sets of those words. So copies of a text count once, and
+one word alone does not speak for its beginning.
 The classifier is fitted on at most ``FIT_ROWS`` rows of each label of at most ``FIT_CHARS``
 characters, picked by hash; only the text of a row is read for its score. Labels are taken from rows
 that are not held out.
@@ -24,6 +26,7 @@ is 0. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -41,11 +44,18 @@ from twinsift.llm.words import blocks
 
 # Rows of each label, toxic and not, that the classifier is fitted on at most.
 FIT_ROWS = (3_000, 9_000)
-FIT_CHARS = 20_000
+FIT_CHARS = 10_000
 REJECT = 0.7
-# Least contexts in toxic texts that a feature needs, and the lengths of word beginnings.
+# Least contexts in toxic texts that a feature needs, the least of a density (each is a whole text), and
+# the lengths of word beginnings.
 MIN_CONTEXTS = 8
-PREFIXES = (4, 5, 6)
+MIN_TEXTS = 4
+PREFIXES = (3, 4, 5, 6)
+# Densities: steps of two, from one word with a beginning in this many words of a text.
+SPARSEST, STEPS = 1024, 8
+# Signs that are joined, the greatest weight of a text (minus the logarithm of the doubt left) and the
+# cells of the curve per unit of weight.
+TOGETHER, MOST, CELLS = 3, 16.0, 4
 # Rows with this remainder of crc32(doc_id) by 3 never lend a label.
 FOLDS, HELD_OUT = 3, 1
 # Words a worker remembers the weight of.
@@ -62,7 +72,7 @@ _SIGN_CLASS = re.escape("".join(RESEMBLES))
 _LETTER = r"[^\W\d_]"
 # A disguise: signs next to letters, three of a letter, or single letters set apart by one sign.
 _SPACED = re.compile(rf"(?<![\w{_SIGN_CLASS}])(?:[{_SIGN_CLASS}]|{_LETTER})(?:([ .\-_])(?:[{_SIGN_CLASS}]|{_LETTER}))(?:\1(?:[{_SIGN_CLASS}]|{_LETTER}))+(?![\w{_SIGN_CLASS}])")
-_MIXED = re.compile(rf"(?<![\w@.\-])(?=[{_SIGN_CLASS}]*{_LETTER})(?=[^\s]*[{_SIGN_CLASS}]{_LETTER}|{_LETTER}+[{_SIGN_CLASS}]+(?!\S))[{_SIGN_CLASS}\w]{{3,24}}(?![\w@\-])")
+_MIXED = re.compile(rf"(?<![\w@.\-])(?=[{_SIGN_CLASS}]*{_LETTER})(?=[^\s]*[{_SIGN_CLASS}]{_LETTER}|{_LETTER}+[{_SIGN_CLASS}]+(?!\S))[{_SIGN_CLASS}\w]{{3,24}}(?![\w@\-]|\.\w)")
 _REPEATED = re.compile(rf"{_LETTER}*({_LETTER})\1\1+{_LETTER}*", re.IGNORECASE)
 _ANY_SIGN = re.compile(rf"[{_SIGN_CLASS}]{_LETTER}|{_LETTER}[{_SIGN_CLASS}]")
 _WORDS = re.compile(r"[^\W_]+")
@@ -182,41 +192,69 @@ class Decoder:
         return found
 
 
-def word_features(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
+def beginnings(word: str) -> list[str]:
+    return [word[:k] + "*" for k in PREFIXES if len(word) >= k]
+
+
+def _density(kinds: int, words: int) -> int:
+    """The step of a density, 0 if it is below the sparsest or rests on a single word."""
+    if kinds < 2:
+        return 0
+    return min(STEPS, int(math.log2(max(1.0, kinds * SPARSEST / words))))
+
+
+def _with_decoded(words: list[str], decoder: "Decoder", text: str) -> set[str]:
+    found = set(words)
+    for reading in decoder.candidates(text):
+        found |= {reading, reading[1:], reading[:-1]}
+    return found
 
 
 @dataclass
 class Model:
-    """Weights of features and the curve from a text's best weight to its score."""
+    """Weights of features and the curve from a text's weight to its score."""
 
     decoder: Decoder
     weights: dict[str, float]
     knots: np.ndarray
     values: np.ndarray
-    memory: dict[str, float] = field(default_factory=dict)
+    dense: set[str] = field(default_factory=set)
+    memory: dict[str, tuple[float, tuple[str, ...]]] = field(default_factory=dict)
 
-    def word_weight(self, word: str) -> float:
-        return max((self.weights.get(f, 0.0) for f in word_features(word)), default=0.0)
+    def __post_init__(self) -> None:
+        self.dense = {feature.partition("|")[0] for feature in self.weights if "|" in feature}
 
-    def best_weight(self, text: str | None) -> float:
+    def _word(self, word: str) -> tuple[float, tuple[str, ...]]:
+        own = beginnings(word)
+        weight = max(self.weights.get(f, 0.0) for f in [word, *own])
+        return weight, tuple(f for f in own if f in self.dense)
+
+    def weight(self, text: str | None) -> float:
         if not text or not self.weights:
             return 0.0
-        words = set(_WORDS.findall(text.lower()))
-        words.update(w for reading in self.decoder.candidates(text) for w in (reading, reading[1:], reading[:-1]))
+        words = _WORDS.findall(text.lower())
+        found: list[float] = []
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        get, best = self.memory.get, 0.0
-        for word in words:
-            weight = get(word)
-            if weight is None:
-                weight = self.memory[word] = self.word_weight(word)
-            if weight > best:
-                best = weight
-        return best
+        get, kinds = self.memory.get, Counter()
+        for word in _with_decoded(words, self.decoder, text):
+            known = get(word)
+            if known is None:
+                known = self.memory[word] = self._word(word)
+            if known[0]:
+                found.append(known[0])
+            if known[1]:
+                kinds.update(known[1])
+        dense = [self.weights.get(f"{start}|{_density(n, len(words))}", 0.0) for start, n in kinds.items()]
+        # Beginnings of one word overlap, so only the surest density counts.
+        found.append(max(dense, default=0.0))
+        doubt = 1.0
+        for weight in heapq.nlargest(TOGETHER, found):
+            doubt *= 1.0 - weight
+        return min(-math.log(doubt), MOST)
 
     def score(self, text: str | None) -> float:
-        return float(np.interp(self.best_weight(text), self.knots, self.values))
+        return float(np.interp(self.weight(text), self.knots, self.values))
 
 
 def _lower_bound(hits: int, misses: float) -> float:
@@ -226,44 +264,72 @@ def _lower_bound(hits: int, misses: float) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def _contexts(texts: Iterable[str], decoder: Decoder, among: set[str] | None) -> dict[str, int]:
-    """For every feature its number of distinct contexts, for a beginning that of the words that go on from it."""
+def _contexts(texts: Iterable[str], decoder: Decoder, among: dict[str, float]) -> dict[str, int]:
+    """For every feature its number of distinct contexts; densities count at their own step and below.
+
+    ``among`` gives the features and how many contexts of each are told apart; with more than those a
+    feature is no sign of anything, so the rest need not be kept.
+    """
     seen: dict[str, set[int]] = defaultdict(set)
     for text in texts:
         words = _WORDS.findall(text.lower())
+        kinds: dict[str, set[str]] = defaultdict(set)
         for before, word, after in zip(["", *words[:-1]], words, [*words[1:], ""]):
-            for feature in word_features(word):
-                if among is None or feature in among:
-                    seen[feature].add(hash(word if feature[-1] == "*" else (before, word, after)))
-        for word in decoder.candidates(text):
-            for feature in word_features(word):
-                if among is None or feature in among:
-                    seen[feature].add(hash(word))
-    return {feature: len(contexts) for feature, contexts in seen.items()}
+            if word in among and len(seen[word]) < among[word]:
+                seen[word].add(hash((before, word, after)))
+        for word in _with_decoded(words, decoder, text):
+            for start in beginnings(word):
+                if start in among:
+                    kinds[start].add(word)
+        for start, own in kinds.items():
+            if len(seen[start]) < among[start]:
+                seen[start].update(map(hash, own))
+            mark = hash(frozenset(own))
+            for step in range(1, _density(len(own), len(words)) + 1):
+                seen[f"{start}|{step}"].add(mark)
+    return {feature: len(contexts) for feature, contexts in seen.items() if contexts}
+
+
+def _frequent(texts: Iterable[str], decoder: Decoder) -> set[str]:
+    """Words and beginnings often enough in the texts to become features; keeps contexts of few in memory."""
+    count: Counter = Counter()
+    for text in texts:
+        words = _WORDS.findall(text.lower())
+        count.update(words)
+        count.update(start for word in _with_decoded(words, decoder, text) for start in beginnings(word))
+    return {feature for feature, n in count.items() if n >= MIN_CONTEXTS}
 
 
 def fit(toxic: list[str], clean: list[str], decoder: Decoder) -> Model:
-    """Weights from distinct contexts, and a monotone curve from best weight to the share of toxic texts."""
+    """Weights from distinct contexts, and a monotone curve from a text's weight to the share of toxic ones."""
     toxic, clean = sorted(set(toxic)), sorted(set(clean))
-    here = {f: n for f, n in _contexts(toxic, decoder, None).items() if n >= MIN_CONTEXTS}
-    there = _contexts(clean, decoder, set(here))
+    here = {f: n for f, n in _contexts(toxic, decoder, dict.fromkeys(_frequent(toxic, decoder), math.inf)).items() if n >= (MIN_TEXTS if "|" in f else MIN_CONTEXTS)}
     ratio = max(len(toxic), 1) / max(len(clean), 1)
+    enough = {f: n / ratio + 1 for f, n in here.items() if "|" not in f}
+    for feature in here:
+        enough.setdefault(feature.partition("|")[0], 1)
+    there = _contexts(clean, decoder, enough)
     weights = {}
     for feature, n in here.items():
         weight = _lower_bound(n, there.get(feature, 0) * ratio)
         if weight > 0.6:
             weights[feature] = weight
+    # A text has its own step of density only; the steps below hold for it as well.
+    for feature in [f for f in weights if "|" in f]:
+        start, _, step = feature.partition("|")
+        for above in range(int(step) + 1, STEPS + 1):
+            weights[f"{start}|{above}"] = max(weights.get(f"{start}|{above}", 0.0), weights[feature])
     model = Model(decoder, weights, np.array([0.0, 1.0]), np.array([0.0, 0.0]))
     if not toxic:
         return model
     cells: Counter = Counter()
     for label, texts in ((1, toxic), (0, clean)):
         for text in texts:
-            cells[int(model.best_weight(text) * 50), label] += 1
+            cells[int(model.weight(text) * CELLS), label] += 1
     # Pool neighbours until the share of toxic texts rises with the weight.
     pools: list[list[float]] = []
     for cell in sorted({cell for cell, _ in cells}):
-        pools.append([cell / 50 + 0.01, cells[cell, 1], cells[cell, 0], 1])
+        pools.append([(cell + 0.5) / CELLS, cells[cell, 1], cells[cell, 0], 1])
         while len(pools) > 1 and _share(pools[-2]) >= _share(pools[-1]):
             x, a, b, n = pools.pop()
             last = pools[-1]
