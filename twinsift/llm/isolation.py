@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinsift.llm.session import map_batches, string
+from twinsift.llm.session import hash_share, map_batches, string
 from twinsift.llm.words import SOLID, blocks, find_words, mix, windows
 from twinsift.operators.storage import stage
 
@@ -269,7 +269,8 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     counts = stage(with_counts(docs).withColumn("base_failed", failed), "counts")
     names = _COUNTS + _MORE
-    sample = counts.where(~F.col("base_failed")).orderBy(F.xxhash64(*names), *names).limit(sample_rows).select(*names)
+    passed = counts.where(~F.col("base_failed"))
+    sample = passed.where(hash_share(F.col("doc_id"), sample_rows, passed.count())).orderBy(F.xxhash64(*names), *names).limit(sample_rows).select(*names)
     rows = sample.collect()
     table = {name: np.array([row[name] for row in rows], float) for name in names}
     forest = spark.sparkContext.broadcast(grow(features(table)))

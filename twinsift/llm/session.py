@@ -29,6 +29,15 @@ def string(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def hash_share(key: Column, rows: int, total: int) -> Column:
+    """A condition that keeps about one and a half times ``rows`` of ``total`` rows, picked by the hash of ``key``.
+
+    Sorting what is left and taking ``rows`` then gives a sample without moving the whole table.
+    """
+    cells = 1 << 40
+    return F.pmod(F.xxhash64(key), F.lit(cells)) < min(cells, int(1.5 * cells * rows / max(total, 1)) + 1)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], list], added: list[T.StructField]) -> DataFrame:
     """Append columns computed from each Arrow batch of ``df``. A narrow step: no row moves.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsift.llm.encode import encoder, share_tokenizer
-from twinsift.llm.session import string
+from twinsift.llm.session import hash_share, string
 
 # A block is closed at this many tokens or documents.
 BLOCK_TOKENS = 1 << 18
@@ -75,8 +75,9 @@ class Dictionary:
 
 def train_dictionary(docs: DataFrame, tokenizer: Broadcast, end_id: int) -> Dictionary:
     """Train on the serialized ids of a bounded sample, picked by hash. Too little data gives an empty dictionary."""
+    picked = docs.where(hash_share(F.col("doc_id"), SAMPLE_DOCS, docs.count()))
     sample = (
-        docs.select(string("text").alias("text"))
+        picked.select(string("text").alias("text"))
         .where(F.length("text").between(1, SAMPLE_CHARS))
         .orderBy(F.xxhash64("text"), "text")
         .limit(SAMPLE_DOCS)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinsift.llm.session import map_batches, string
+from twinsift.llm.session import hash_share, map_batches, string
 from twinsift.llm.words import blocks
 
 # Rows of each label, toxic and not, that the classifier is fitted on at most.
@@ -353,13 +353,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_RO
     decoder = Decoder.from_counts(trigram_counts(docs))
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(
-        ~held_out(F.col("doc_id")) & F.length("text").between(1, fit_chars)
-    )
+    marks = marks.where(~held_out(F.col("doc_id")))
+    totals = {row.toxic: row.n for row in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text").between(1, fit_chars))
     texts: dict[int, list[str]] = {}
-    for label in (0, 1):
-        own = usable.join(marks.where(F.col("toxic") == label), "doc_id", "left_semi").select("text").distinct()
-        texts[label] = [r.text for r in own.orderBy(F.xxhash64("text"), "text").limit(fit_rows[1 - label]).collect()]
+    for label, rows in ((1, fit_rows[0]), (0, fit_rows[1])):
+        picked = marks.where((F.col("toxic") == label) & hash_share(F.col("doc_id"), rows, totals.get(label, 0)))
+        own = usable.join(picked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        texts[label] = [r.text for r in own.orderBy(F.xxhash64("doc_id")).limit(rows).collect()]
     return fit(texts[1], texts[0], decoder)
 
 
