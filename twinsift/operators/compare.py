@@ -9,8 +9,13 @@ from twinsift.functions.bits import hamming
 from twinsift.functions.paths import verdict
 from twinsift.functions.raster import pair_scores, raster_hashes
 from twinsift.operators.lookup import HOT_ROWS, expand_join
+from twinsift.operators.storage import stage
+from twinsift.schemas import PSNR_CAP
 
-_FACTS = ["sha256", "pixel_sha256", "phash", "width", "height", "rgba"]
+# Scores of two rasters with the same content.
+_EQUAL = {"pixel_diff_ratio": 0.0, "ssim": 1.0, "psnr": PSNR_CAP}
+
+_FACTS = ["sha256", "pixel_sha256", "phash", "width", "height"]
 
 
 def with_raster_hashes(rasters: DataFrame) -> DataFrame:
@@ -34,34 +39,37 @@ def compare_pairs(
     scores and the highlight are null, which is not the same as a comparison that failed.
     ``pixel_equal_by='ratio'`` derives equality from a difference ratio of zero at tolerance zero.
 
-    Only rasters that occur in a pair are carried, and a record that occurs in very many pairs is
-    spread by the salted join.
+    Facts are joined first. Pixels are fetched only for pairs of equal dimensions and different
+    content (or all of equal dimensions, if highlights are asked for); equal content has known scores.
+    A record that occurs in very many pairs is spread by the salted join.
     """
     if pixel_equal_by not in ("hash", "ratio"):
         raise ValueError("pixel_equal_by must be 'hash' or 'ratio'")
-    joined = pairs
-    for side in ("a", "b"):
-        uses = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
-        facts = rasters.select(F.col("path").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in _FACTS])
-        joined = expand_join(joined, facts.join(uses, side), side, "_n", hot_rows=hot_rows).drop("_n")
-
+    joined = _with_sides(pairs, rasters, _FACTS, hot_rows)
     same_size = (F.col("a_width") == F.col("b_width")) & (F.col("a_height") == F.col("b_height"))
-    joined = joined.withColumn("dims_equal", same_size)
-    # Pairs that cannot be compared hand the scorer nulls instead of pixels.
-    raster = lambda side: F.when(F.col("dims_equal"), F.col(f"{side}_rgba"))
-    scores = pair_scores(raster("a"), raster("b"), F.col("a_width"), F.col("a_height"), tolerance, with_highlight)
-    joined = joined.withColumn("_s", scores)
-    sha_equal = F.col("a_sha256") == F.col("b_sha256")
-    if pixel_equal_by == "hash":
-        equal = F.col("a_pixel_sha256") == F.col("b_pixel_sha256")
-    elif tolerance == 0:
-        equal = F.col("_s.pixel_diff_ratio") == 0
-    else:
-        strict = pair_scores(raster("a"), raster("b"), F.col("a_width"), F.col("a_height"), 0, False)
-        equal = strict["pixel_diff_ratio"] == 0
-    out = joined.select(
+    same_pixels = F.col("a_pixel_sha256") == F.col("b_pixel_sha256")
+    joined = joined.withColumn("dims_equal", same_size).withColumn("_same", F.coalesce(same_pixels, F.lit(False)))
+    needed = F.coalesce("dims_equal", F.lit(False)) & (F.lit(with_highlight) | ~F.col("_same"))
+    joined = stage(joined.withColumn("_needed", needed), "pair-facts")
+
+    nothing = F.struct(
+        *[F.when(F.col("dims_equal"), F.lit(value)).alias(name) for name, value in _EQUAL.items()],
+        F.lit(None).cast("binary").alias("highlight"),
+    )
+    ratio = F.when(F.col("dims_equal"), F.lit(0.0))
+    known = joined.where(~F.col("_needed")).withColumn("_s", nothing).withColumn("_strict", ratio)
+    pixels = _with_sides(joined.where("_needed"), rasters, ["rgba"], hot_rows)
+    size = (F.col("a_rgba"), F.col("b_rgba"), F.col("a_width"), F.col("a_height"))
+    scored = pixels.withColumn("_s", pair_scores(*size, tolerance, with_highlight))
+    strict = F.col("_s.pixel_diff_ratio")
+    if pixel_equal_by == "ratio" and tolerance:
+        strict = pair_scores(*size, 0, False)["pixel_diff_ratio"]
+    scored = scored.withColumn("_strict", strict).drop("a_rgba", "b_rgba")
+
+    equal = F.col("_strict") == 0 if pixel_equal_by == "ratio" else same_pixels
+    out = known.unionByName(scored).select(
         *pairs.columns,
-        sha_equal.alias("sha_equal"),
+        (F.col("a_sha256") == F.col("b_sha256")).alias("sha_equal"),
         "dims_equal",
         F.col("dims_equal").alias("comparable"),
         F.when(F.col("dims_equal"), equal).alias("pixel_equal"),
@@ -72,3 +80,13 @@ def compare_pairs(
         *([F.col("_s.highlight").alias("highlight")] if with_highlight else []),
     )
     return out.withColumn("verdict", verdict("sha_equal", "pixel_equal", "dims_equal", "ssim"))
+
+
+def _with_sides(pairs: DataFrame, rasters: DataFrame, columns: list[str], hot_rows: int) -> DataFrame:
+    """Pairs with columns of both records, prefixed ``a_`` and ``b_``. Only records of a pair are carried."""
+    joined = pairs
+    for side in ("a", "b"):
+        uses = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
+        facts = rasters.select(F.col("path").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        joined = expand_join(joined, facts.join(uses, side), side, "_n", hot_rows=hot_rows).drop("_n")
+    return joined
