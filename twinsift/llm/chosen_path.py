@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     nodes = _roots(classes)
     links = stage(_confirm(_leader_pairs(nodes), texts, shingle), "links")
     known = connected_components(links)
-    pairs, seen = stage_measured(_crossing_pairs(nodes, known, classes, texts, shingle), "pairs", rows=F.count(F.lit(1)))
+    pairs, seen = stage_measured(_crossing_pairs(nodes, known, texts, shingle), "pairs", rows=F.count(F.lit(1)))
     if seen["rows"]:
         links = links.unionByName(_confirm(pairs, texts, shingle))
         known = connected_components(links)
@@ -238,9 +238,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _roots(classes: DataFrame) -> DataFrame:
-    """First level of all trees: ``node``, ``item`` for every node that holds more than one class."""
-    first = classes.select("item", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
-    rows = first.select(F.xxhash64("tree", "token").alias("node"), "item")
+    """First level of all trees: ``node``, ``item``, ``path`` for every node that holds more than one class.
+
+    ``path`` holds the tokens that name the class's children at the further levels of the tree.
+    """
+    first = classes.select("item", "tokens", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
+    at = lambda k: F.pmod(F.col("tree") + k * TREES, F.lit(COORDINATES)).cast("int")
+    path = F.array(*[F.get("tokens", at(k)) for k in range(1, LEVELS)])
+    rows = first.select(F.xxhash64("tree", "token").alias("node"), "item", path.alias("path"))
     return stage(_shared(rows), "nodes")
 
 
@@ -252,6 +257,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _leader_pairs(nodes: DataFrame) -> DataFrame:
     """Every class with the leader of each of its nodes, as far as their sketches agree. One ranking, so leaders recur."""
+    nodes = nodes.select("node", "item")
     leaders = nodes.groupBy("node").agg(F.min_by("item", F.xxhash64("item.rep")).alias("leader"))
     leaders = stage(leaders, "leaders")
     pairs = nodes.join(leaders, "node").where((F.col("item.rep") != F.col("leader.rep")) & _close("item", "leader"))
@@ -263,22 +269,21 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(low.alias("a"), high.alias("b")).distinct()
 
 
-def _crossing_pairs(nodes: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+def _crossing_pairs(nodes: DataFrame, known: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Likely links between different known groups, from the small nodes of all levels."""
     groups = known.select(F.col("node").alias("_rep"), "component")
     rows = nodes.join(groups, F.col("item.rep") == F.col("_rep"), "left").select(
-        "node", "item", F.coalesce("component", F.col("item.rep")).alias("group")
+        "node", "item", "path", F.coalesce("component", F.col("item.rep")).alias("group")
     )
-    tokens = classes.select(F.col("item.rep").alias("_rep"), "tokens")
     found: list[DataFrame] = []
     for level in range(LEVELS):
-        sized = stage(_sizes(rows), "sizes")
-        last = level == LEVELS - 1
-        found.append(_blocks(rows.join(sized if last else sized.where(F.col("outside") <= SMALL), "node")))
-        if last:
+        rows = stage(rows.join(stage(_sizes(rows), "sizes"), "node"), "open")
+        if level == LEVELS - 1:
+            found.append(_blocks(rows))
             break
-        large = sized.where(F.col("outside") > SMALL).select("node")
-        rows, seen = stage_measured(_branch(rows.join(large, "node"), tokens, level), "branches", rows=F.count(F.lit(1)))
+        found.append(_blocks(rows.where(F.col("outside") <= SMALL)))
+        large = rows.where(F.col("outside") > SMALL)
+        rows, seen = stage_measured(_branch(large, level), "branches", rows=F.count(F.lit(1)))
         if not seen["rows"]:
             break
     blocks = found[0]
@@ -433,15 +438,17 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return per_node.where(F.col("outside") > 0)
 
 
-def _branch(rows: DataFrame, tokens: DataFrame, level: int) -> DataFrame:
-    """Send every class of a large node to one or (for a third of the nodes) two children."""
-    pick = lambda k: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(COORDINATES)).cast("int")
+def _branch(rows: DataFrame, level: int) -> DataFrame:
+    """Send every class of a large node to the child its token names; a third of the nodes have two tokens.
+
+    The second token is one that the tree uses half its levels later, under a name of its own.
+    """
+    rows = rows.select("node", "item", "path", "group")
+    child = lambda k, salt: F.xxhash64("node", F.lit(salt), F.get("path", F.lit(k))).alias("node")
     twice = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(3)) == 0
-    chosen = F.when(twice, F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
-    spread = rows.select("node", "item", "group", F.explode(F.array_distinct(chosen)).alias("_at"))
-    met = spread.join(tokens, F.col("item.rep") == F.col("_rep"))
-    child = F.xxhash64("node", "_at", F.get("tokens", F.col("_at")))
-    return _shared(met.select(child.alias("node"), "item", "group"))
+    rest = ["item", "path", "group"]
+    second = rows.where(twice).select(child((level + LEVELS // 2) % (LEVELS - 1), 1), *rest)
+    return _shared(rows.select(child(level, 0), *rest).unionByName(second))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
