@@ -359,7 +359,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_RO
     texts: dict[int, list[str]] = {}
     for label, rows in ((1, fit_rows[0]), (0, fit_rows[1])):
         picked = marks.where((F.col("toxic") == label) & hash_share(F.col("doc_id"), rows, totals.get(label, 0)))
-        own = usable.join(picked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        # About one and a half times as many ids as rows asked for, so they can be sent out.
+        own = usable.join(F.broadcast(picked), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         texts[label] = [r.text for r in own.orderBy(F.xxhash64("doc_id")).limit(rows).collect()]
     return fit(texts[1], texts[0], decoder)
 
