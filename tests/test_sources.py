@@ -66,6 +66,19 @@ def test_image_folder(spark, folder):
     assert {r.path: r.pixel_sha256 is None for r in out.records.collect()}["sub/soft.png"]
 
 
+def test_odd_file_names(spark, folder, tmp_path):
+    root, _, _ = folder
+    names = ["with space.png", "50%.png", "a+b.png", "x#1.png", "x{1}.png", "x[1].png", "é東.png"]
+    for name in names:
+        (root / name).write_bytes((root / "a.png").read_bytes())
+    listed = list_images(spark, str(root))
+    for hashed in (hash_folder(spark, str(root)), hash_listed(listed, str(root), chunk=4)):
+        out = index(hashed)
+        records, skipped = ({r.path for r in df.collect()} for df in (out.records, out.skipped))
+        assert records | skipped == {r.path for r in listed.collect()} and set(names) <= records
+        assert skipped == {"broken.png"}
+
+
 def test_orientation_column(spark, folder):
     root, rgba, _ = folder
     turned = folder_rasters(spark, str(root), orientation=F.lit(6)).where("path = 'b.PNG'").first()

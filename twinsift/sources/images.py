@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -70,6 +71,16 @@ def _to_rgba(data: pd.Series, channels: pd.Series) -> pd.Series:
     return pd.Series([one(r, n) for r, n in zip(data, channels)], dtype=object)
 
 
+def _spelled_out(origin: Column) -> Column:
+    """The image source writes paths percent-encoded, the binary source as they are."""
+    return F.try_url_decode(F.replace(origin, F.lit("+"), F.lit("%2B")))
+
+
+def _literal(uri: str) -> str:
+    """A path that readers take as it is, not as a glob."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", uri)
+
+
 def _decoded(images: DataFrame, root: str, orientation: Column | None) -> DataFrame:
     """``(path, width, height, rgba, error)`` from Spark's image struct (stored as BGR or BGRA)."""
     i = F.col("image")
@@ -84,7 +95,7 @@ def _decoded(images: DataFrame, root: str, orientation: Column | None) -> DataFr
         .when(~i["nChannels"].isin(1, 3, 4), F.concat(F.lit("unsupported channels: "), i["nChannels"].cast("string")))
     )
     return images.select(
-        relative_path(plain_uri(i["origin"]), root_uri(root)).alias("path"),
+        relative_path(plain_uri(_spelled_out(i["origin"])), root_uri(root)).alias("path"),
         width.alias("width"), height.alias("height"), rgba.alias("rgba"), error.alias("error"),
     )
 
@@ -134,10 +145,11 @@ def folder_rasters(
 def hash_files(
     spark: SparkSession, uris: Iterable[str], root: str, orientation: Column | None = None
 ) -> DataFrame:
-    """Hashed rows of one bounded list of files."""
+    """Hashed rows of one bounded list of files. A file that vanishes while it is read is left out."""
     uris = list(uris)
-    files = spark.read.format("binaryFile").load(uris)
-    images = spark.read.format("image").option("dropInvalid", False).load(uris)
+    paths = [_literal(uri) for uri in uris]
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths)
+    images = spark.read.format("image").option("dropInvalid", False).option("ignoreMissingFiles", True).load(paths)
     return _hash(files, images, root, orientation)
 
 
