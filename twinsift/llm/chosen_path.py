@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinsift.llm.session import map_batches, string
+from twinsift.llm.session import give_back, map_batches, string
 from twinsift.llm.words import SOLID, blocks, find_words, mix, windows
 from twinsift.operators.components import connected_components
 from twinsift.operators.storage import stage, stage_measured
@@ -75,6 +75,8 @@ _SKETCH = [
 ]
 _FACTORS = np.random.default_rng(19990517).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RUN = 1 << 16
+# Shingles of sets that stay at hand while pairs are confirmed.
+HELD = 20_000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +166,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, set] = {}
+        size = 0
         for batch in batches:
             a, b, text_a, text_b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "text_a", "text_b"))
             keep = []
@@ -171,14 +174,18 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 sets = []
                 for text in (text_a[i].as_py(), text_b[i].as_py()):
                     if text not in held:
-                        if len(held) >= 64:
+                        if size > HELD:
                             held.clear()
+                            size = 0
                         held[text] = shingle_set(text, shingle)
+                        size += len(held[text])
                     sets.append(held[text])
                 common = len(sets[0] & sets[1])
                 keep.append(100 * common >= PERCENT * (len(sets[0]) + len(sets[1]) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+        held.clear()
+        give_back()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
@@ -351,6 +358,7 @@ def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if keep.any():
                 out = [np.full(int(keep.sum()), block), *(c[keep] for c in columns)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["block", *names])
+    give_back()
 
 
 def _least_hashes(shingle: int):
@@ -374,6 +382,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if pairs:
                 low, high = zip(*[(min(p), max(p)) for p in pairs])
                 yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+    give_back()
 
 
 def _block_links(rows: pa.StructArray) -> list[tuple[int, int]]:
@@ -385,7 +394,7 @@ def _block_links(rows: pa.StructArray) -> list[tuple[int, int]]:
     order = np.argsort(value, kind="stable")
     postings, heads = owner[order], np.append(np.searchsorted(value[order], np.arange(value.max() + 1)), len(value))
     ends = np.cumsum([len(s) for s in sets])
-    found: list[tuple[float, float, int, int]] = []
+    xs, ys, shares, sures = [], [], [], []
     for x in np.flatnonzero(side == 0):
         met = np.flatnonzero(_near_bits(x, n, bits) & (group != group[x]) & _partners(x, side))
         if not len(met):
@@ -395,12 +404,17 @@ def _block_links(rows: pa.StructArray) -> list[tuple[int, int]]:
         at = np.repeat(heads[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
         common = np.bincount(postings[at], minlength=len(sets))[met]
         share = common / (n[x] + n[met] - common)
-        for y, s in zip(met, share):
-            low, sure = WHOLE
-            if max(n[x], n[y]) > DEPTH:
-                s, (low, sure) = _share_of_parts(sets[x], sets[y]), PARTS
-            if s >= low:
-                found.append((-s, sure, x, y))
+        low, sure = np.full(len(met), WHOLE[0]), np.full(len(met), WHOLE[1])
+        for k in np.flatnonzero(np.maximum(n[x], n[met]) > DEPTH):
+            share[k], (low[k], sure[k]) = _share_of_parts(sets[x], sets[met[k]]), PARTS
+        likely = share >= low
+        xs.append(np.full(int(likely.sum()), x))
+        ys.append(met[likely])
+        shares.append(share[likely])
+        sures.append(share[likely] >= sure[likely])
+    if not xs:
+        return []
+    xs, ys, shares, sures = (np.concatenate(part) for part in (xs, ys, shares, sures))
     root: dict[int, int] = {}
 
     def top(g: int) -> int:
@@ -410,11 +424,12 @@ def _block_links(rows: pa.StructArray) -> list[tuple[int, int]]:
         return g
 
     pairs = []
-    for s, sure, x, y in sorted(found):
+    for k in np.argsort(-shares, kind="stable"):
+        x, y = xs[k], ys[k]
         g, h = top(int(group[x])), top(int(group[y]))
         if g != h:
             pairs.append((int(rep[x]), int(rep[y])))
-            if -s >= sure:
+            if sures[k]:
                 root[g] = h
     return pairs
 

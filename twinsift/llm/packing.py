@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.encode import encoder, share_tokenizer
-from twinsift.llm.session import string
+from twinsift.llm.session import give_back, string
 
 CAPACITY = 4096
 # Sequence numbers of a task start at its partition number shifted by this much.
@@ -112,6 +112,7 @@ def pack(
                 yield batch_of(placed)
         if placed := bins.finish():
             yield batch_of(placed)
+        give_back()
 
     schema = ", ".join(f"{name} bigint" for name in _COLUMNS[:-1]) + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), string("text").alias("text")).mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinsift.llm.encode import encoder, share_tokenizer
-from twinsift.llm.session import hash_share, string
+from twinsift.llm.session import give_back, hash_share, string
 
 # A block is closed at this many tokens or documents.
 BLOCK_TOKENS = 1 << 18
@@ -126,6 +126,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
                         yield block.close()
         if block.doc_ids:
             yield block.close()
+        give_back()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, _BLOCKS).write.parquet(f"{path}/blocks")
