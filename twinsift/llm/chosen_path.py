@@ -221,11 +221,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     nodes = _roots(classes)
     links = stage(_confirm(_leader_pairs(nodes), texts, shingle), "links")
-    known = connected_components(links)
-    pairs, seen = stage_measured(_crossing_pairs(nodes, known, texts, shingle), "pairs", rows=F.count(F.lit(1)))
+    pairs, seen = stage_measured(_crossing_pairs(nodes, _first_groups(links), texts, shingle), "pairs", rows=F.count(F.lit(1)))
     if seen["rows"]:
         links = links.unionByName(_confirm(pairs, texts, shingle))
-        known = connected_components(links)
+    known = connected_components(links)
 
     label = F.coalesce(F.col("component"), F.col("rep"))
     grouped = keyed.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
@@ -271,6 +270,20 @@ def _leader_pairs(nodes: DataFrame) -> DataFrame:
     return _ordered(pairs, "item", "leader")
 
 
+def _first_groups(links: DataFrame) -> DataFrame:
+    """Known groups after the leaders: each linked class goes with the class of least rank within one link.
+
+    Classes of one group are surely of one component. The converse need not hold yet: classes that are
+    not known to belong together are only compared once more.
+    """
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    near = links.select(ends).select(F.col("e.a").alias("node"), F.col("e.b").alias("other"))
+    rank = lambda c: F.xxhash64(F.col(c))
+    best = near.groupBy("node").agg(F.min_by("other", rank("other")).alias("least"))
+    group = F.when(rank("least") < rank("node"), F.col("least")).otherwise(F.col("node"))
+    return best.select("node", group.alias("component"))
+
+
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     low, high = F.least(f"{a}.rep", f"{b}.rep"), F.greatest(f"{a}.rep", f"{b}.rep")
     return pairs.select(low.alias("a"), high.alias("b")).distinct()

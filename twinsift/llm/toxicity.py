@@ -59,7 +59,7 @@ TOGETHER, MOST, CELLS = 3, 16.0, 4
 # Rows with this remainder of crc32(doc_id) by 3 never lend a label.
 FOLDS, HELD_OUT = 3, 1
 # Words a worker remembers the weight of.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _SIGNS = 28
 _OTHER, _EDGE = 26, 27
