@@ -169,5 +169,8 @@ def test_vector_adapter(spark):
     df = spark.createDataFrame([(1, [-2.0, -1.0, 0.0, 2.0])], "id int, embedding array<float>")
     r = vector_rasters(df, F.lit("v"), width=2, height=2).first()
     assert [r.rgba[i] for i in range(0, 16, 4)] == [0, 0, 127, 255] and r.rgba[3] == 255
+    close = spark.createDataFrame([(1, [0.1000] * 4), (2, [0.1001] * 4), (3, [0.1000] * 4), (4, [1e-30, 0.0, -1e-30, 9e9])], "id int, embedding array<float>")
+    a, b, c, d = vector_rasters(close, F.col("id").cast("string"), width=2, height=2).orderBy("path").collect()
+    assert a.rgba == b.rgba and a.sha256 == c.sha256 and len({a.sha256, b.sha256, d.sha256}) == 3
     four = vector_rasters(df, F.lit("v"), channels=4, width=1, height=1).first()
     assert list(four.rgba) == [0, 0, 127, 255]

@@ -162,12 +162,14 @@ def _grid(values: str, w: int, h: int) -> tuple[str, str]:
     return f"[{', '.join(tall)}]", f"[{', '.join(cells)}]"
 
 
-_VEC = """vec AS (SELECT vec_id, label, list_transform(embedding, lambda e:
-    least(greatest(floor((e::DOUBLE + 1) * 127.5::DOUBLE), 0), 255)::INTEGER) AS v FROM embeddings)"""
-
-
-def _byte_hex(values: str) -> str:
-    return f"list_aggregate(list_transform({values}, lambda x: printf('%02x', x)), 'string_agg', '')"
+_2_50, _2_60 = "1125899906842624::DOUBLE", "1152921504606846976::DOUBLE"
+_A = f"(e::DOUBLE * {_2_50})"
+_B = f"(({_A} - floor({_A})) * {_2_60})"
+_C = f"(({_B} - floor({_B})) * {_2_60})"
+_VEC = f"""vec AS (SELECT vec_id, label, list_transform(embedding, lambda e:
+    least(greatest(floor((e::DOUBLE + 1) * 127.5::DOUBLE), 0), 255)::INTEGER) AS v,
+    sha256(array_to_string(list_transform(embedding, lambda e: floor({_A})::BIGINT || ':' || floor({_B})::BIGINT || ':'
+        || floor({_C})::BIGINT), ',')) AS own FROM embeddings)"""
 
 
 def _rgba_hex(values: str) -> str:
@@ -180,9 +182,9 @@ def _shaped() -> str:
     return f"""{_VEC},
 t8 AS (SELECT *, 8 AS width, 8 AS height, {tall8} AS tall FROM vec WHERE label < 5),
 t16 AS (SELECT *, 16 AS width, 4 AS height, {tall16} AS tall FROM vec WHERE label >= 5),
-cells AS (SELECT vec_id, width, height, v, {grid8} AS grid FROM t8
-    UNION ALL SELECT vec_id, width, height, v, {grid16} FROM t16),
-img AS (SELECT vec_id, width, height, v, sha256(unhex({_byte_hex('v')})) AS sha256,
+cells AS (SELECT vec_id, width, height, v, own, {grid8} AS grid FROM t8
+    UNION ALL SELECT vec_id, width, height, v, own, {grid16} FROM t16),
+img AS (SELECT vec_id, width, height, v, own AS sha256,
     sha256(unhex({_rgba_hex('v')})) AS pixel_sha256, {_bits('grid')} AS phash FROM cells)"""
 
 
@@ -407,6 +409,8 @@ ORACLES: dict[str, str] = {
         WHERE path NOT IN (SELECT path FROM listing)""",
     "index_after_gc": f"""WITH {_INDEX} SELECT path, size, mtime_ns::BIGINT AS mtime_ns, hash_algo FROM newest
         WHERE path IN (SELECT path FROM listing)""",
+    "text_balance": """SELECT source, count(*) AS inputs, count(text) AS records, count(*) - count(text) AS skipped
+        FROM documents GROUP BY source""",
     "skipped_items": f"WITH {_PAGES} SELECT path, 'no extension' AS reason FROM prow WHERE bad",
     "indexed_pages": f"""WITH {_PAGES} SELECT path, bytes, width, format, sha256,
         CASE WHEN count(*) OVER (PARTITION BY phash) >= 2 THEN pixel_sha256 END AS pixel_sha256,

@@ -392,6 +392,18 @@ def skipped_items(spark, sf_dir):
     return index(_hashed_pages(spark, sf_dir)).skipped
 
 
+def text_balance(spark, sf_dir):
+    """Per source: every document is a record or a skipped item."""
+    docs = _table(spark, sf_dir, "documents")
+    found = index(hashed_texts(docs, _doc_path()), prune=False)
+    source = F.regexp_extract("path", "^(.*)/", 1).alias("source")
+    sides = [df.select(source, F.lit(name).alias("side")) for name, df in (("r", found.records), ("s", found.skipped))]
+    count = lambda name: F.count(F.when(F.col("side") == name, 1))
+    both = sides[0].unionByName(sides[1]).groupBy("source").agg(count("r").alias("records"), count("s").alias("skipped"))
+    inputs = docs.groupBy("source").agg(F.count(F.lit(1)).alias("inputs"))
+    return inputs.join(both, "source", "left").select("source", "inputs", "records", "skipped")
+
+
 def indexed_pages(spark, sf_dir):
     records = index(_hashed_pages(spark, sf_dir)).records
     return _hex(records.select("path", "bytes", "width", "format", "sha256", "pixel_sha256", "phash"))
@@ -490,7 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         find_similar, find_top, find_stats, find_topn_batch, find_neighbours,
         flatten_and_gray, raster_fingerprint, compare_vectors, highlight_vectors,
         latest_index, incremental_hits, incremental_misses, orphan_entries, index_after_gc,
-        skipped_items, indexed_pages, stream_index,
+        text_balance, skipped_items, indexed_pages, stream_index,
         unique_names, page_formats, page_paths, readable_sizes, event_times,
         scan_document, scan_summary, find_document, clean_document,
     )

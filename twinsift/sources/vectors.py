@@ -1,4 +1,8 @@
-"""Vector adapter: numbers in [-1, 1] become raster bytes."""
+"""Vector adapter: numbers in [-1, 1] become raster bytes.
+
+The content hash covers the numbers as they are, the pixel hash the rounded bytes: vectors that round
+to the same raster share pixels but not content.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,24 @@ def vector_bytes(vector: Column | str) -> Column:
     )
 
 
+def exact_text(vector: Column | str) -> Column:
+    """A text that two arrays of floats or doubles share only if all their numbers are equal.
+
+    Multiplying by a power of two is exact, so three whole parts hold every bit of a number in range.
+    """
+    vector = F.col(vector) if isinstance(vector, str) else vector
+
+    def parts(v: Column) -> Column:
+        x = v.cast("double")
+        a = x * 2.0**50
+        b = (a - F.floor(a)) * 2.0**60
+        c = (b - F.floor(b)) * 2.0**60
+        exact = F.concat_ws(":", F.floor(a), F.floor(b), F.floor(c))
+        return F.when(F.abs(x) <= 4096, exact).otherwise(F.coalesce(x.cast("string"), F.lit("null")))
+
+    return F.array_join(F.transform(vector, parts), ",")
+
+
 def _pack(values: Column) -> Column:
     """Array of 0..255 -> bytes."""
     return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
@@ -47,7 +69,7 @@ def vector_rasters(
             as_col(width).cast("int").alias("width"),
             as_col(height).cast("int").alias("height"),
             F.size("_values").cast("bigint").alias("bytes"),
-            F.sha2(raw, 256).alias("sha256"),
+            F.sha2(exact_text(vector), 256).alias("sha256"),
             (gray_rgba(F.col("_values")) if channels == 1 else raw).alias("rgba"),
         )
     )
