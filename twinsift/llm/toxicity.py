@@ -50,7 +50,11 @@ REJECT = 0.7
 # the lengths of word beginnings.
 MIN_CONTEXTS = 8
 MIN_TEXTS = 4
+# More contexts of a feature than these make its weight no surer.
+MOST_CONTEXTS = 300
 PREFIXES = (3, 4, 5, 6)
+# How many times as common in toxic texts as in others a candidate must be at least.
+LIFT = 1.0
 # Densities: steps of two, from one word with a beginning in this many words of a text.
 SPARSEST, STEPS = 1024, 8
 # Signs that are joined, the greatest weight of a text (minus the logarithm of the doubt left) and the
@@ -290,20 +294,34 @@ def _contexts(texts: Iterable[str], decoder: Decoder, among: dict[str, float]) -
     return {feature: len(contexts) for feature, contexts in seen.items() if contexts}
 
 
-def _frequent(texts: Iterable[str], decoder: Decoder) -> set[str]:
-    """Words and beginnings often enough in the texts to become features; keeps contexts of few in memory."""
+def _texts_with(texts: Iterable[str], decoder: Decoder, among: set[str] | None = None) -> Counter:
+    """In how many texts each word and each beginning stands."""
     count: Counter = Counter()
     for text in texts:
-        words = _WORDS.findall(text.lower())
-        count.update(words)
-        count.update(start for word in _with_decoded(words, decoder, text) for start in beginnings(word))
-    return {feature for feature, n in count.items() if n >= MIN_CONTEXTS}
+        words = _with_decoded(_WORDS.findall(text.lower()), decoder, text)
+        own = words | {start for word in words for start in beginnings(word)}
+        count.update(own if among is None else own & among)
+    return count
+
+
+def _candidates(toxic: list[str], clean: list[str], decoder: Decoder) -> set[str]:
+    """Words and beginnings of a few toxic texts or more and of a clearly smaller share of the clean ones.
+
+    Only these get their contexts told apart, which keeps the driver's memory small.
+    """
+    count = _texts_with(toxic, decoder)
+    here = {feature: n for feature, n in count.items() if n >= MIN_TEXTS - 1}
+    there = _texts_with(clean, decoder, set(here))
+    ratio = LIFT * max(len(toxic), 1) / max(len(clean), 1)
+    return {feature for feature, n in here.items() if n >= ratio * there.get(feature, 0)}
 
 
 def fit(toxic: list[str], clean: list[str], decoder: Decoder) -> Model:
     """Weights from distinct contexts, and a monotone curve from a text's weight to the share of toxic ones."""
     toxic, clean = sorted(set(toxic)), sorted(set(clean))
-    here = {f: n for f, n in _contexts(toxic, decoder, dict.fromkeys(_frequent(toxic, decoder), math.inf)).items() if n >= (MIN_TEXTS if "|" in f else MIN_CONTEXTS)}
+    told = dict.fromkeys(_candidates(toxic, clean, decoder), MOST_CONTEXTS)
+    least = lambda feature: MIN_TEXTS if "|" in feature else MIN_CONTEXTS
+    here = {f: n for f, n in _contexts(toxic, decoder, told).items() if n >= least(f)}
     ratio = max(len(toxic), 1) / max(len(clean), 1)
     enough = {f: n / ratio + 1 for f, n in here.items() if "|" not in f}
     for feature in here:
