@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinsift.llm.session import hash_share, map_batches, string
+from twinsift.llm.session import give_back, hash_share, map_batches, string
 from twinsift.llm.words import blocks
 
 # Rows of each label, toxic and not, that the classifier is fitted on at most.
@@ -323,7 +323,8 @@ def fit(toxic: list[str], clean: list[str], decoder: Decoder) -> Model:
     least = lambda feature: MIN_TEXTS if "|" in feature else MIN_CONTEXTS
     here = {f: n for f, n in _contexts(toxic, decoder, told).items() if n >= least(f)}
     ratio = max(len(toxic), 1) / max(len(clean), 1)
-    enough = {f: n / ratio + 1 for f, n in here.items() if "|" not in f}
+    # With so many clean contexts a weight is below the least that counts, so more need not be told apart.
+    enough = {f: 0.7 * n / ratio + 1 for f, n in here.items() if "|" not in f}
     for feature in here:
         enough.setdefault(feature.partition("|")[0], 1)
     there = _contexts(clean, decoder, enough)
@@ -380,7 +381,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_RO
         # About one and a half times as many ids as rows asked for, so they can be sent out.
         own = usable.join(F.broadcast(picked), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         texts[label] = [r.text for r in own.orderBy(F.xxhash64("doc_id")).limit(rows).collect()]
-    return fit(texts[1], texts[0], decoder)
+    model = fit(texts[1], texts[0], decoder)
+    give_back()
+    return model
 
 
 def _apply(docs: DataFrame, model: Model) -> DataFrame:
