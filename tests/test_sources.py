@@ -15,7 +15,7 @@ from twinsift.operators.index import index, latest, read_index, refresh, to_reco
 from twinsift.sources.images import folder_rasters, hash_folder, hash_listed, list_images
 from twinsift.sources.text import hashed_texts, text_raster, text_records
 from twinsift.sources.vectors import vector_rasters
-from twinsift.streaming.ingest import stream_images
+from twinsift.streaming.ingest import open_retries, stream_images
 
 
 def png(pixels):
@@ -115,10 +115,16 @@ def test_image_stream_resumes(spark, folder, tmp_path):
     want = {(r.path, r.sha256, r.pixel_sha256, r.phash) for r in index(hash_folder(spark, str(root))).unpruned.collect()}
     assert {(r.path, r.sha256, r.pixel_sha256, r.phash) for r in got.collect()} == want
     assert [r.path for r in spark.read.option("recursiveFileLookup", True).parquet(at["retry"]).collect()] == ["broken.png"]
+    waiting = lambda: [tuple(r) for r in open_retries(spark, at["retry"], at["index"]).collect()]
+    assert waiting() == [("broken.png", "cannot decode")]
+    assert open_retries(spark, str(tmp_path / "nowhere"), at["index"]).count() == 0
     (root / "late.png").write_bytes((root / "a.png").read_bytes())
     run()
     entries = read_index(spark, at["index"])
     assert entries.count() == 5 and latest(entries).count() == 5
+    mended = entries.limit(1).withColumn("path", F.lit("broken.png"))
+    mended.write.mode("append").parquet(f"{at['index']}/batch=mended")
+    assert waiting() == []
 
 
 def test_text_adapter_equals_builtin_form(spark, sf_dir):

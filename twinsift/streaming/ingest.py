@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from twinsift.functions.paths import plain_uri, relative_path
+from twinsift.operators.index import read_index
 from twinsift.operators.storage import stage
 from twinsift.schemas import DEFAULT_EXTENSIONS, HASH_ALGO, HASH_INDEX_SCHEMA, RECORD_COLUMNS
 from twinsift.sources.images import extension_glob, hash_files, root_uri
@@ -47,6 +49,21 @@ def index_stream(
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
 
 
+def open_retries(spark: SparkSession, retry_path: str, index_path: str) -> DataFrame:
+    """``(path, reason)`` of failed items that no index entry has settled since, one row per path.
+
+    Joined to a listing they are what a batch run hashes again; entries it appends settle them.
+    """
+    try:
+        failed = spark.read.schema("path string, reason string").option("recursiveFileLookup", True).parquet(retry_path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "path string, reason string")
+    once = failed.groupBy("path").agg(F.max("reason").alias("reason"))
+    return once.join(read_index(spark, index_path).select("path").distinct(), "path", "left_anti")
+
+
 def stream_images(
     spark: SparkSession,
     root: str,
