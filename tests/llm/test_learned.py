@@ -24,7 +24,7 @@ def test_toxicity_on_rows_it_never_saw(marked):
     judged = found.where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
     right = sum(r.toxic == r.predicted for r in judged)
     hit = [r.predicted for r in judged if r.toxic]
-    assert right >= 0.98 * len(judged) and sum(hit) >= 0.9 * len(hit)
+    assert right >= 0.98 * len(judged) and sum(hit) >= 0.95 * len(hit)
 
 
 def test_labels_of_held_out_rows_play_no_part(marked):
@@ -34,6 +34,22 @@ def test_labels_of_held_out_rows_play_no_part(marked):
     assert a.exceptAll(b).count() == 0
 
 
+def test_long_texts_shape_the_toxicity_model(llm):
+    random = np.random.default_rng(5)
+    words = ["".join(random.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    rows = []
+    for i in range(120):
+        text = list(random.choice(words, 4000))
+        if i % 4 == 0:
+            for at in range(0, 4000, 200):
+                text[at] = "zorgnak"
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    given = llm.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    assert min(len(text) for _, text, _ in rows) > 20_000
+    found = scores(given.select("doc_id", "text"), given.select("doc_id", "toxic")).collect()
+    assert {r.doc_id for r in found if r.predicted} == {i for i, _, toxic in rows if toxic}
+
+
 def test_disguises_are_restored(marked):
     decoder = Decoder.from_counts(trigram_counts(marked[0]))
     assert [decoder.decode(w) for w in ("1d10t", "st*pid", "m0r0n", "scuuum", "tr@sh")] == ["idiot", "stupid", "moron", "scum", "trash"]

@@ -15,9 +15,10 @@
 Whole words are counted by distinct contexts (the words on both sides), beginnings by the distinct words
 that have them and densities by the distinct sets of those words. So copies of a text count once, and
 one word alone does not speak for its beginning.
-The classifier is fitted on at most ``FIT_ROWS`` rows of each label of at most ``FIT_CHARS``
-characters, picked by hash; only the text of a row is read for its score. Labels are taken from rows
-that are not held out.
+The classifier is fitted on at most ``FIT_ROWS`` ids of each label, picked by hash, whatever the length
+of their texts. Features and contexts of the sample are counted by aggregations, so the driver holds the
+candidates and their counts but no text. Only the text of a row is read for its score. Labels are taken
+from rows that are not held out.
 
 Null and empty texts get the score of a text without any feature, texts are read whole, repeated rows
 are scored each, contradicting labels of a document count as toxic, and with no toxic labels every score
@@ -26,6 +27,7 @@ is 0. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -35,16 +37,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinsift.llm.session import give_back, hash_share, map_batches, string
 from twinsift.llm.words import blocks
+from twinsift.operators.storage import stage
 
 # Rows of each label, toxic and not, that the classifier is fitted on at most.
 FIT_ROWS = (3_000, 9_000)
-FIT_CHARS = 10_000
 REJECT = 0.7
 # Least contexts in toxic texts that a feature needs, the least of a density (each is a whole text), and
 # the lengths of word beginnings.
@@ -62,8 +65,9 @@ SPARSEST, STEPS = 1024, 8
 TOGETHER, MOST, CELLS = 3, 16.0, 4
 # Rows with this remainder of crc32(doc_id) by 3 never lend a label.
 FOLDS, HELD_OUT = 3, 1
-# Words a worker remembers the weight of.
+# Words a worker remembers the weight of, and contexts it holds before it hands them on.
 REMEMBERED = 100_000
+TOLD = 100_000
 
 _SIGNS = 28
 _OTHER, _EDGE = 26, 27
@@ -268,83 +272,130 @@ def _lower_bound(hits: int, misses: float) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def _contexts(texts: Iterable[str], decoder: Decoder, among: dict[str, float]) -> dict[str, int]:
-    """For every feature its number of distinct contexts; densities count at their own step and below.
+def _contexts(text: str, decoder: Decoder, among: set[str]) -> set[tuple[str, str]]:
+    """Features of a text that are ``among`` those given, each with its contexts; densities count at their own step and below."""
+    words = _WORDS.findall(text.lower())
+    found = set()
+    for before, word, after in zip(["", *words[:-1]], words, [*words[1:], ""]):
+        if word in among:
+            found.add((word, f"{before} {after}"))
+    kinds: dict[str, set[str]] = defaultdict(set)
+    for word in _with_decoded(words, decoder, text):
+        for start in beginnings(word):
+            if start in among:
+                kinds[start].add(word)
+    for start, own in kinds.items():
+        found.update((start, word) for word in own)
+        mark = hashlib.blake2b("\0".join(sorted(own)).encode("utf-8", "replace"), digest_size=16).hexdigest()
+        for step in range(1, _density(len(own), len(words)) + 1):
+            found.add((f"{start}|{step}", mark))
+    return found
 
-    ``among`` gives the features and how many contexts of each are told apart; with more than those a
-    feature is no sign of anything, so the rest need not be kept.
-    """
-    seen: dict[str, set[int]] = defaultdict(set)
-    for text in texts:
-        words = _WORDS.findall(text.lower())
-        kinds: dict[str, set[str]] = defaultdict(set)
-        for before, word, after in zip(["", *words[:-1]], words, [*words[1:], ""]):
-            if word in among and len(seen[word]) < among[word]:
-                seen[word].add(hash((before, word, after)))
-        for word in _with_decoded(words, decoder, text):
-            for start in beginnings(word):
-                if start in among:
-                    kinds[start].add(word)
-        for start, own in kinds.items():
-            if len(seen[start]) < among[start]:
-                seen[start].update(map(hash, own))
-            mark = hash(frozenset(own))
-            for step in range(1, _density(len(own), len(words)) + 1):
-                seen[f"{start}|{step}"].add(mark)
-    return {feature: len(contexts) for feature, contexts in seen.items() if contexts}
-
-
-def _texts_with(texts: Iterable[str], decoder: Decoder, among: set[str] | None = None) -> Counter:
-    """In how many texts each word and each beginning stands."""
-    count: Counter = Counter()
-    for text in texts:
-        words = _with_decoded(_WORDS.findall(text.lower()), decoder, text)
-        own = words | {start for word in words for start in beginnings(word)}
-        count.update(own if among is None else own & among)
-    return count
-
-
-def _candidates(toxic: list[str], clean: list[str], decoder: Decoder) -> set[str]:
+
+def _labelled(batch: pa.RecordBatch) -> Iterable[tuple[int, str]]:
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
+def _sides(rows: DataFrame, n) -> DataFrame:
+    """Sums of ``n`` by feature: ``here`` over toxic texts, ``there`` over the others."""
+    side = lambda toxic, name: F.sum(F.when(F.col("toxic") == toxic, n).otherwise(0)).alias(name)
+    return rows.groupBy("feature").agg(side(1, "here"), side(0, "there"))
+
+
+def _candidates(sample: DataFrame, decoder: Broadcast, ratio: float) -> set[str]:
     """Words and beginnings of a few toxic texts or more and of a clearly smaller share of the clean ones.
 
-    Only these get their contexts told apart, which keeps the driver's memory small.
+    Only these get their contexts told apart, and only these reach the driver.
+    """
+
+    def count(batches):
+        for batch in batches:
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for toxic, text in _labelled(batch):
+                words = _with_decoded(_WORDS.findall(text.lower()), decoder.value, text)
+                counts[toxic].update(words | {start for word in words for start in beginnings(word)})
+            for toxic, own in enumerate(counts):
+                yield pa.RecordBatch.from_pydict({
+                    "feature": pa.array(own.keys(), pa.string()), "toxic": pa.array([toxic] * len(own), pa.int32()),
+                    "n": pa.array(own.values(), pa.int64()),
+                })
+        give_back()
+
+    found = _sides(sample.mapInArrow(count, "feature string, toxic int, n bigint"), F.col("n"))
+    found = found.where((F.col("here") >= MIN_TEXTS - 1) & (F.col("here") >= LIFT * ratio * F.col("there")))
+    return {row.feature for row in found.select("feature").collect()}
+
+
+def _told_apart(sample: DataFrame, decoder: Broadcast, candidates: Broadcast) -> DataFrame:
+    """Per feature its number of distinct contexts in toxic texts (``here``) and in others (``there``)."""
+
+    def list_contexts(batches):
+        for batch in batches:
+            seen: tuple[set, set] = (set(), set())
+            for toxic, text in _labelled(batch):
+                seen[toxic].update(_contexts(text, decoder.value, candidates.value))
+                if len(seen[toxic]) > TOLD:
+                    yield _context_rows(seen[toxic], toxic)
+                    seen[toxic].clear()
+            for toxic, own in enumerate(seen):
+                yield _context_rows(own, toxic)
+        give_back()
+
+    rows = sample.mapInArrow(list_contexts, "feature string, toxic int, context string")
+    rows = rows.select("feature", "toxic", F.xxhash64("context").alias("context")).distinct()
+    return _sides(rows, F.lit(1))
+
+
+def _context_rows(own: set[tuple[str, str]], toxic: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "feature": pa.array([f for f, _ in own], pa.string()), "toxic": pa.array([toxic] * len(own), pa.int32()),
+        "context": pa.array([c for _, c in own], pa.string()),
+    })
+
+
+def _cells(sample: DataFrame, model: Model) -> Counter:
+    """How many texts of each label fall into each cell of weight."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches):
+        for batch in batches:
+            own = Counter((int(shared.value.weight(text) * CELLS), toxic) for toxic, text in _labelled(batch))
+            yield pa.RecordBatch.from_pydict({
+                "cell": pa.array([c for c, _ in own], pa.int32()), "toxic": pa.array([t for _, t in own], pa.int32()),
+                "n": pa.array(own.values(), pa.int64()),
+            })
+        give_back()
+
+    rows = sample.mapInArrow(weigh, "cell int, toxic int, n bigint").groupBy("cell", "toxic").agg(F.sum("n").alias("n"))
+    return Counter({(row.cell, row.toxic): row.n for row in rows.collect()})
+
+
+def fit(sample: DataFrame, decoder: Decoder) -> Model:
+    """Weights from distinct contexts, and a monotone curve from a text's weight to the share of toxic ones.
+
+    ``sample`` has ``toxic`` (0 or 1) and ``text``, each pair once. Its texts stay on the executors.
     """
-    count = _texts_with(toxic, decoder)
-    here = {feature: n for feature, n in count.items() if n >= MIN_TEXTS - 1}
-    there = _texts_with(clean, decoder, set(here))
-    ratio = LIFT * max(len(toxic), 1) / max(len(clean), 1)
-    return {feature for feature, n in here.items() if n >= ratio * there.get(feature, 0)}
-
-
-def fit(toxic: list[str], clean: list[str], decoder: Decoder) -> Model:
-    """Weights from distinct contexts, and a monotone curve from a text's weight to the share of toxic ones."""
-    toxic, clean = sorted(set(toxic)), sorted(set(clean))
-    told = dict.fromkeys(_candidates(toxic, clean, decoder), MOST_CONTEXTS)
-    least = lambda feature: MIN_TEXTS if "|" in feature else MIN_CONTEXTS
-    here = {f: n for f, n in _contexts(toxic, decoder, told).items() if n >= least(f)}
-    ratio = max(len(toxic), 1) / max(len(clean), 1)
-    # With so many clean contexts a weight is below the least that counts, so more need not be told apart.
-    enough = {f: 0.7 * n / ratio + 1 for f, n in here.items() if "|" not in f}
-    for feature in here:
-        enough.setdefault(feature.partition("|")[0], 1)
-    there = _contexts(clean, decoder, enough)
+    size = {row.toxic: row.n for row in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ratio = max(size.get(1, 0), 1) / max(size.get(0, 0), 1)
+    empty = Model(decoder, {}, np.array([0.0, 1.0]), np.array([0.0, 0.0]))
+    if not size.get(1):
+        return empty
+    context = sample.sparkSession.sparkContext
+    sent = context.broadcast(decoder)
+    told = _told_apart(sample, sent, context.broadcast(_candidates(sample, sent, ratio)))
+    least = F.when(F.col("feature").contains("|"), MIN_TEXTS).otherwise(MIN_CONTEXTS)
     weights = {}
-    for feature, n in here.items():
-        weight = _lower_bound(n, there.get(feature, 0) * ratio)
+    for row in told.where(F.col("here") >= least).collect():
+        # With more clean contexts than tell, the weight is below the least that counts in any case.
+        weight = _lower_bound(min(row.here, MOST_CONTEXTS), row.there * ratio)
         if weight > 0.6:
-            weights[feature] = weight
+            weights[row.feature] = weight
     # A text has its own step of density only; the steps below hold for it as well.
     for feature in [f for f in weights if "|" in f]:
         start, _, step = feature.partition("|")
         for above in range(int(step) + 1, STEPS + 1):
             weights[f"{start}|{above}"] = max(weights.get(f"{start}|{above}", 0.0), weights[feature])
-    model = Model(decoder, weights, np.array([0.0, 1.0]), np.array([0.0, 0.0]))
-    if not toxic:
-        return model
-    cells: Counter = Counter()
-    for label, texts in ((1, toxic), (0, clean)):
-        for text in texts:
-            cells[int(model.weight(text) * CELLS), label] += 1
+    cells = _cells(sample, Model(decoder, weights, empty.knots, empty.values))
     # Pool neighbours until the share of toxic texts rises with the weight.
     pools: list[list[float]] = []
     for cell in sorted({cell for cell, _ in cells}):
@@ -367,21 +418,23 @@ def held_out(doc_id) -> "F.Column":
     return remainder == HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS) -> Model:
     """The language model over all texts, and the classifier over a bounded sample of labelled rows."""
     decoder = Decoder.from_counts(trigram_counts(docs))
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id")))
     totals = {row.toxic: row.n for row in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text").between(1, fit_chars))
-    texts: dict[int, list[str]] = {}
+    usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") > 0)
+    ids: list[tuple[int, int]] = []
     for label, rows in ((1, fit_rows[0]), (0, fit_rows[1])):
         picked = marks.where((F.col("toxic") == label) & hash_share(F.col("doc_id"), rows, totals.get(label, 0)))
         # About one and a half times as many ids as rows asked for, so they can be sent out.
-        own = usable.join(F.broadcast(picked), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        texts[label] = [r.text for r in own.orderBy(F.xxhash64("doc_id")).limit(rows).collect()]
-    model = fit(texts[1], texts[0], decoder)
+        own = usable.select("doc_id").join(F.broadcast(picked), "doc_id", "left_semi").distinct()
+        ids += [(r.doc_id, label) for r in own.orderBy(F.xxhash64("doc_id")).limit(rows).collect()]
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id bigint, toxic int")
+    sample = usable.join(F.broadcast(chosen), "doc_id").select("toxic", "text").distinct()
+    model = fit(stage(sample, "toxicity-sample"), decoder)
     give_back()
     return model
 
