@@ -10,7 +10,7 @@ from twinsift.llm.isolation import judge
 from twinsift.llm.licenses import scan_licenses
 from twinsift.llm.line_spread import dedup_lines, remove_boilerplate
 from twinsift.llm.packing import Bins, cut, pack, sequences
-from twinsift.llm.pii import find_spans, fit, personal_data, redact
+from twinsift.llm.pii import Model, find_spans, fit, personal_data, redact
 from twinsift.llm.suffixes import contamination, decontaminate, match_items, search, suffix_array
 from twinsift.llm.token_store import read_store, write_store
 from twinsift.operators.storage import scratch_path
@@ -176,6 +176,18 @@ def test_personal_data(docs):
     same(personal_data(docs).drop("spans").collect(), brute.personal_data(rows_of(docs)))
 
 
+def test_spans_cover_long_values(llm):
+    everything = Model([], [], 0.0)
+    key, figures = "aB3_" * 100, "1234567 " * 20_000
+    texts = ["token=" + "x.y1" * 75 + " end", f"see {key} end", f"no {figures.strip()}, end", "call 123 4567 890a now", "is 123 4567a"]
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: {(s.kind, s.start, s.end) for s in r["__spans"]} for r in find_spans(docs, everything).collect()}
+    assert ("secret", 0, 306) in spans[0] and ("key", 4, 404) in spans[1] and ("number", 3, 160_002) in spans[2]
+    assert ("number", 5, 13) in spans[3] and not spans[4]
+    redacted = [r.text for r in redact(docs.where("doc_id < 3"), everything).orderBy("doc_id").collect()]
+    assert redacted == ["[secret] end", "see [key] end", "no [number], end"]
+
+
 def test_redaction(llm, given):
     docs = llm.createDataFrame([(1, "mail a.b@c.de, é 1.2.3.4"), (2, None)], "doc_id bigint, text string")
     assert [r.text for r in redact(docs, None).orderBy("doc_id").collect()] == ["mail [email], é [ip]", None]
