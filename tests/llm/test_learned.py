@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from twinsift.llm.isolation import features, grow, judge
 from twinsift.llm.session import table
-from twinsift.llm.toxicity import Decoder, drop_toxic, held_out, scores, trigram_counts
+from twinsift.llm.toxicity import Decoder, drop_toxic, fit, held_out, scores, trigram_counts
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,14 @@ def test_long_texts_shape_the_toxicity_model(llm):
     assert {r.doc_id for r in found if r.predicted} == {i for i, _, toxic in rows if toxic}
 
 
+def test_contexts_count_in_full_on_both_sides(llm):
+    rows = [(1, f"aa{i} zorgnak bb{i}") for i in range(900)] + [(0, f"cc{i} zorgnak dd{i}") for i in range(600)]
+    rows += [(0, f"ee{i} plain ff{i}") for i in range(2100)]
+    model = fit(llm.createDataFrame(rows, "toxic int, text string"), Decoder.from_counts(np.ones((28, 28, 28))))
+    # 900 contexts against 600 * 900 / 2700: a share of 0.82. Counted to 300 only, it is too low to be kept.
+    assert 0.75 < model.weights["zorgnak"] < 0.82
+
+
 def test_disguises_are_restored(marked):
     decoder = Decoder.from_counts(trigram_counts(marked[0]))
     assert [decoder.decode(w) for w in ("1d10t", "st*pid", "m0r0n", "scuuum", "tr@sh")] == ["idiot", "stupid", "moron", "scum", "trash"]

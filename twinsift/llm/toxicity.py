@@ -53,8 +53,6 @@ REJECT = 0.7
 # the lengths of word beginnings.
 MIN_CONTEXTS = 8
 MIN_TEXTS = 4
-# More contexts of a feature than these make its weight no surer.
-MOST_CONTEXTS = 300
 PREFIXES = (3, 4, 5, 6)
 # How many times as common in toxic texts as in others a candidate must be at least.
 LIFT = 1.0
@@ -386,8 +384,7 @@ def fit(sample: DataFrame, decoder: Decoder) -> Model:
     least = F.when(F.col("feature").contains("|"), MIN_TEXTS).otherwise(MIN_CONTEXTS)
     weights = {}
     for row in told.where(F.col("here") >= least).collect():
-        # With more clean contexts than tell, the weight is below the least that counts in any case.
-        weight = _lower_bound(min(row.here, MOST_CONTEXTS), row.there * ratio)
+        weight = _lower_bound(row.here, row.there * ratio)
         if weight > 0.6:
             weights[row.feature] = weight
     # A text has its own step of density only; the steps below hold for it as well.
