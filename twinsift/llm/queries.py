@@ -15,6 +15,7 @@ from twinsift.llm.isolation import judge
 from twinsift.llm.licenses import scan_licenses
 from twinsift.llm.line_spread import dedup_lines
 from twinsift.llm.packing import pack
+from twinsift.llm.piece_table import render, restore, transform
 from twinsift.llm.pii import personal_data
 from twinsift.llm.session import prepare, table
 from twinsift.llm.suffixes import contamination
@@ -81,6 +82,22 @@ def op10_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = render(transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    kept = made.select(
+        "doc_id", "__n", "__form", "__prefix_chars", "__middle_chars", "__output_sha256", "__output"
+    )
+    return restore(kept, with_text=False).select(
+        "doc_id",
+        F.col("__n").alias("n"),
+        F.col("__form").alias("form"),
+        F.col("__prefix_chars").alias("prefix_chars"),
+        F.col("__middle_chars").alias("middle_chars"),
+        F.col("__output_sha256").alias("output_sha256"),
+        F.col("__restored_sha256").alias("restored_sha256"),
+    )
+
+
 def _ready(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -93,5 +110,6 @@ def _ready(query: Query) -> Query:
 _ALL = [
     op1_token_store, op2_suffix_decontamination, op3_chosen_path, op4_license_index, op5_noisy_channel_toxicity,
     op6_boosted_pii, op7_prefix_targets, op8_site_spread, op9_harmonic_packing, op10_isolation_forest,
+    op13_piece_table,
 ]
 QUERIES: dict[str, Query] = {query.__name__: _ready(query) for query in _ALL}
