@@ -21,6 +21,7 @@ from twinsift.llm.session import prepare, table
 from twinsift.llm.suffixes import contamination
 from twinsift.llm.token_store import read_store, write_store
 from twinsift.llm.toxicity import scores
+from twinsift.llm.whitening import whiten
 from twinsift.operators.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,11 @@ def op10_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return found.select("vec_id", *[F.col(c).alias(c.removeprefix("__")) for c in found.columns if c.startswith("__")])
+
+
 def op13_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = render(transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
     kept = made.select(
@@ -110,6 +116,6 @@ def _ready(query: Query) -> Query:
 _ALL = [
     op1_token_store, op2_suffix_decontamination, op3_chosen_path, op4_license_index, op5_noisy_channel_toxicity,
     op6_boosted_pii, op7_prefix_targets, op8_site_spread, op9_harmonic_packing, op10_isolation_forest,
-    op13_piece_table,
+    op11_whitening, op13_piece_table,
 ]
 QUERIES: dict[str, Query] = {query.__name__: _ready(query) for query in _ALL}
