@@ -18,7 +18,7 @@ def order(rows):
 
 
 def test_all_are_registered():
-    assert set(QUERIES) | {"pipeline"} <= set(contract.queries()) and len(QUERIES) == 12
+    assert set(QUERIES) | {"pipeline"} <= set(contract.queries()) and len(QUERIES) == 13
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -123,6 +123,24 @@ UNION ALL
 SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
 """
 
+_REPEATS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SOLID}') AS w FROM documents),
+v AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 49, 0))) AS i FROM d)
+),
+least_of AS (SELECT win, min(doc_id) AS least_doc FROM v GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM v JOIN least_of ON v.win = least_of.win WHERE doc_id > least_doc
+),
+lists AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN w
+         ELSE list_transform(list_filter(range(len(w)), lambda p : NOT list_contains(ps, p)), lambda p : w[p + 1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id
+"""
+
 _FILL = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
@@ -158,5 +176,6 @@ ORACLES: dict[str, str] = {
     "op3_chosen_path": _NEAR,
     "op7_prefix_targets": _CHAT,
     "op8_site_spread": _SPREAD,
+    "op12_relative_parsing": _REPEATS,
     "op13_piece_table": _FILL,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twinsift.cluster import ship
 from twinsift.llm.chat import digest, examples
 from twinsift.llm.chosen_path import near_duplicates
+from twinsift.llm.factors import remove_repeats
 from twinsift.llm.isolation import judge
 from twinsift.llm.licenses import scan_licenses
 from twinsift.llm.line_spread import dedup_lines
@@ -88,6 +89,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", *[F.col(c).alias(c.removeprefix("__")) for c in found.columns if c.startswith("__")])
 
 
+def op12_relative_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        F.col("__n_removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op13_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = render(transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
     kept = made.select(
@@ -116,6 +127,6 @@ def _ready(query: Query) -> Query:
 _ALL = [
     op1_token_store, op2_suffix_decontamination, op3_chosen_path, op4_license_index, op5_noisy_channel_toxicity,
     op6_boosted_pii, op7_prefix_targets, op8_site_spread, op9_harmonic_packing, op10_isolation_forest,
-    op11_whitening, op13_piece_table,
+    op11_whitening, op12_relative_parsing, op13_piece_table,
 ]
 QUERIES: dict[str, Query] = {query.__name__: _ready(query) for query in _ALL}

@@ -123,3 +123,11 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
         total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
     keep = np.repeat(offsets[:-1] - out[:-1], counts) + np.arange(out[-1])
     return mix(total[keep]), out
+
+
+def runs(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the word runs ``starts[i]`` to ``ends[i]``, of any lengths."""
+    up, down = _power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
