@@ -50,7 +50,7 @@ def mixed(count, seed, words=12):
     return rows
 
 
-@pytest.mark.parametrize("most,block", [(2048, 4096), (2048, 7), (1, 50), (3, 3)])
+@pytest.mark.parametrize("most,block", [(16384, 4096), (2048, 7), (1, 50), (3, 3)])
 def test_mixed_texts(llm, most, block):
     rows = mixed(150, 7)
     assert same(llm.createDataFrame(rows, DOCS), rows, 12, gram=4, most=most, block=block) > 500

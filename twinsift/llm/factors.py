@@ -8,8 +8,8 @@ are long enough, single windows are looked up.
 
 No document can be parsed against all text of a large corpus, nor need it be. The corpus is indexed in reference blocks
 by content: from every window the word run of :data:`GRAM` words with the least hash is taken as its anchor, the same in
-each document that has the window. The words around an anchor that windows with it can cover (a passage) are sent to the
-anchor's block, so a document meets exactly those blocks that can hold a match.
+each document that has the window. The words of all windows with one anchor (a passage) are sent to the anchor's block,
+so a document meets exactly those blocks that can hold a match, and each window is looked for once.
 
 1. Anchors are found in one pass; those of a single document are dropped by a map-side combined aggregate.
 2. Copies of a passage are aggregated to the one of the smallest ``doc_id``. All others match it as a whole; no text moves.
@@ -48,7 +48,7 @@ WINDOW = 50
 GRAM = 16
 # Passages of a reference block, and the most different passages of one anchor that are parsed in one block.
 BLOCK = 4096
-MOST = 2048
+MOST = 16384
 _KEY = ["doc_id", "version"]
 
 
@@ -71,23 +71,28 @@ def least_of_runs(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchors of texts given by word hashes: text, place in the text, gram hash, passage hash, words before and from it."""
-    reach = window - gram
+    """Anchors of texts given by word hashes: text, place in the text, gram hash, passage hash, words before and from it.
+
+    A passage is determined by the words that windows with its anchor can cover, wherever they stand.
+    """
     counts = np.diff(offsets)
     whole = counts >= window
     if not whole.any():
         return tuple(np.zeros(0, kind) for kind in (np.int64, np.int32, np.int64, np.int64, np.int32, np.int32))
     all_grams, _ = windows(hashes, np.array([0, len(hashes)]), gram)
-    best = least_of_runs(all_grams, reach + 1)
+    best = least_of_runs(all_grams, window - gram + 1)
     starts = np.zeros(len(best), np.int8)
     # Only runs of grams that lie within one text count.
     ends = offsets[1:][whole] - window
     np.add.at(starts, offsets[:-1][whole], 1)
     np.subtract.at(starts, (ends + 1)[ends + 1 < len(starts)], 1)
-    chosen = np.unique(best[np.cumsum(starts, dtype=np.int8).astype(bool)]).astype(np.int64)
+    own = np.flatnonzero(np.cumsum(starts, dtype=np.int8))
+    # Windows with the same anchor follow each other.
+    picked = best[own].astype(np.int64)
+    turn = np.flatnonzero(np.diff(picked, prepend=-1))
+    chosen = picked[turn]
+    first, last = own[turn], own[np.append(turn[1:], len(own)) - 1] + window
     text = np.searchsorted(offsets, chosen, side="right") - 1
-    first = np.maximum(offsets[text], chosen - reach)
-    last = np.minimum(offsets[text + 1], chosen + window)
     passage = runs(hashes, first, last) + (chosen - first).astype(np.uint64)
     return (
         text,
