@@ -65,6 +65,8 @@ TOGETHER, MOST, CELLS = 3, 16.0, 4
 FOLDS, HELD_OUT = 3, 1
 # Words a worker remembers the weight of, and contexts it holds before it hands them on.
 REMEMBERED = 100_000
+# Longer words are decoded each time instead of being remembered.
+LONG = 64
 TOLD = 100_000
 
 _SIGNS = 28
@@ -78,8 +80,12 @@ _SIGN_CLASS = re.escape("".join(RESEMBLES))
 _LETTER = r"[^\W\d_]"
 # A disguise: signs next to letters, three of a letter, or single letters set apart by one sign.
 _SPACED = re.compile(rf"(?<![\w{_SIGN_CLASS}])(?:[{_SIGN_CLASS}]|{_LETTER})(?:([ .\-_])(?:[{_SIGN_CLASS}]|{_LETTER}))(?:\1(?:[{_SIGN_CLASS}]|{_LETTER}))+(?![\w{_SIGN_CLASS}])")
-_MIXED = re.compile(rf"(?<![\w@.\-])(?=[{_SIGN_CLASS}]*{_LETTER})(?=[^\s]*[{_SIGN_CLASS}]{_LETTER}|{_LETTER}+[{_SIGN_CLASS}]+(?!\S))[{_SIGN_CLASS}\w]{{3,24}}(?![\w@\-]|\.\w)")
-_REPEATED = re.compile(rf"{_LETTER}*({_LETTER})\1\1+{_LETTER}*", re.IGNORECASE)
+# Runs are found first and tested one by one, each in time linear in its length, however long it is.
+_RUN = re.compile(rf"(?<![.\-])(?<![{_SIGN_CLASS}\w])[{_SIGN_CLASS}\w]{{3,}}+(?!-|\.\w)")
+_BEGINS = re.compile(rf"[{_SIGN_CLASS}]*+{_LETTER}")
+_SIGN_INSIDE = re.compile(rf"[{_SIGN_CLASS}]{_LETTER}")
+_SIGNS_BEHIND = re.compile(rf"{_LETTER}++[{_SIGN_CLASS}]++")
+_LETTERS = re.compile(rf"{_LETTER}{{3,}}+")
 _ANY_SIGN = re.compile(rf"[{_SIGN_CLASS}]{_LETTER}|{_LETTER}[{_SIGN_CLASS}]")
 _WORDS = re.compile(r"[^\W_]+")
 _SINGLE = re.compile(r"(?:^|[^\w])\w[ .\-_]\w[ .\-_]\w(?!\w)")
@@ -104,7 +110,10 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(cells, np.int64)
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
-                codes = np.append(_FOLD[data], _EDGE)
+                # One sign per code point: the further bytes of a letter are left out.
+                first = (data & 0xC0) != 0x80
+                offsets = np.concatenate([[0], np.cumsum(first)])[offsets]
+                codes = np.append(_FOLD[data[first]], _EDGE)
                 # A text's edge parts it from the next one: a trigram over it counts nowhere.
                 cross = np.zeros(len(codes), bool)
                 cross[offsets[1:-1]] = True
@@ -144,6 +153,8 @@ class Decoder:
 
     def decode(self, word: str) -> str:
         word = word.lower()
+        if len(word) > LONG:
+            return self._best(word)
         if word not in self.known:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
@@ -168,10 +179,11 @@ class Decoder:
         return steps
 
     def _best(self, word: str) -> str:
-        paths: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
+        # A path is its cost and a link to its last letters and the path before; only the best one is spelled out.
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(_EDGE, _EDGE): (0.0, None)}
         for options in self._lattice(word):
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in paths.items():
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, before) in paths.items():
                 for letters, extra in options:
                     total, x, y = cost + extra, a, b
                     for letter in letters:
@@ -181,10 +193,11 @@ class Decoder:
                         x, y = y, z
                     held = following.get((x, y))
                     if held is None or total < held[0]:
-                        following[x, y] = (total, text + letters)
+                        following[x, y] = (total, (letters, before))
             paths = following
-        ends = [(cost - self.log_p[a, b, _EDGE], text) for (a, b), (cost, text) in paths.items()]
-        return min(ends)[1]
+        ends = [(cost - self.log_p[a, b, _EDGE], spelled) for (a, b), (cost, spelled) in paths.items()]
+        least = min(cost for cost, _ in ends)
+        return min(_spell(spelled) for cost, spelled in ends if cost == least)
 
     def candidates(self, text: str) -> list[str]:
         """Decoded readings of the disguised words of ``text``."""
@@ -192,12 +205,30 @@ class Decoder:
         if _SINGLE.search(text):
             found += [self.decode(m.group(0).replace(m.group(1), "")) for m in _SPACED.finditer(text)]
         if _ANY_SIGN.search(text):
-            found += [self.decode(m.group(0)) for m in _MIXED.finditer(text)]
+            found += [self.decode(m.group(0)) for m in _RUN.finditer(text) if _mixed(text, m)]
         if _TRIPLE.search(text):
-            found += [self.decode(m.group(0)) for m in _REPEATED.finditer(text)]
+            found += [self.decode(word) for word in _LETTERS.findall(text) if _TRIPLE.search(word)]
         return found
 
 
+def _spell(path: tuple | None) -> str:
+    parts = []
+    while path is not None:
+        letters, path = path
+        parts.append(letters)
+    return "".join(reversed(parts))
+
+
+def _mixed(text: str, run: re.Match) -> bool:
+    """Whether a run of letters and signs is a disguised word: a sign before a letter, or signs that end it."""
+    word = run.group(0)
+    if not _BEGINS.match(word):
+        return False
+    if _SIGN_INSIDE.search(word):
+        return True
+    return bool(_SIGNS_BEHIND.fullmatch(word)) and text[run.end() : run.end() + 1].strip() == ""
+
+
 def beginnings(word: str) -> list[str]:
     return [word[:k] + "*" for k in PREFIXES if len(word) >= k]
 
