@@ -14,7 +14,7 @@ from twinsift.operators.group import scan
 from twinsift.operators.index import index, latest, read_index, refresh, to_records
 from twinsift.sources.images import folder_rasters, hash_folder, hash_listed, list_images
 from twinsift.sources.text import hashed_texts, text_raster, text_records
-from twinsift.sources.vectors import vector_rasters
+from twinsift.sources.vectors import hashed_vectors, vector_rasters
 from twinsift.streaming.ingest import open_retries, stream_images
 
 
@@ -137,13 +137,13 @@ def test_text_adapter_equals_builtin_form(spark, sf_dir):
     want = {}
     for r in cells.collect():
         want.setdefault(r.doc_id, [0] * 72)[r.c] = r["count"]
-    got = docs.select("doc_id", text_raster("text").alias("r")).collect()
+    got = docs.select("doc_id", "text", text_raster("text").alias("r")).collect()
     assert len(got) == docs.count()
     for r in got:
         counts = want.get(r.doc_id, [0] * 72)
         grid = [v * 255 // max(counts) for v in counts] if max(counts) > 255 else counts
         assert list(r.r.gray) == grid
-        assert r.r.pixel_sha256 == hashlib.sha256(",".join(map(str, counts)).encode()).hexdigest()
+        assert r.r.pixel_sha256 == hashlib.sha256(" ".join(t for t in r.text.split(" ") if t).encode()).hexdigest()
         assert r.r.phash == kernels.grid_bits(np.array([grid], np.uint8))[0]
 
 
@@ -171,12 +171,33 @@ def test_no_text_is_lost(spark):
     assert text_records(df, F.col("name")).count() == 2
 
 
+def test_different_texts_are_never_planned(spark):
+    texts = ["above", "narrow", "man bites dog", "dog bites man", "man  bites dog ", "Man bites dog"]
+    rows = [(f"{i}.txt", text) for i, text in enumerate(texts)]
+    plan = plan_clean(text_records(spark.createDataFrame(rows, "name string, text string"), F.col("name")), "pixel").plan
+    assert [(r.path, r.keeper) for r in plan.collect()] == [("2.txt", "4.txt")]
+
+
+VECTORS = "id int, embedding array<float>"
+
+
 def test_vector_adapter(spark):
-    df = spark.createDataFrame([(1, [-2.0, -1.0, 0.0, 2.0])], "id int, embedding array<float>")
+    df = spark.createDataFrame([(1, [-1.0, -0.5, 0.0, 1.0])], VECTORS)
     r = vector_rasters(df, F.lit("v"), width=2, height=2).first()
-    assert [r.rgba[i] for i in range(0, 16, 4)] == [0, 0, 127, 255] and r.rgba[3] == 255
-    close = spark.createDataFrame([(1, [0.1000] * 4), (2, [0.1001] * 4), (3, [0.1000] * 4), (4, [1e-30, 0.0, -1e-30, 9e9])], "id int, embedding array<float>")
+    assert [r.rgba[i] for i in range(0, 16, 4)] == [0, 63, 127, 255] and r.rgba[3] == 255 and r.error is None
+    close = spark.createDataFrame([(1, [0.1000] * 4), (2, [0.1001] * 4), (3, [0.1000] * 4), (4, [1e-30, 0.0, -1e-30, 1e-9])], VECTORS)
     a, b, c, d = vector_rasters(close, F.col("id").cast("string"), width=2, height=2).orderBy("path").collect()
     assert a.rgba == b.rgba and a.sha256 == c.sha256 and len({a.sha256, b.sha256, d.sha256}) == 3
     four = vector_rasters(df, F.lit("v"), channels=4, width=1, height=1).first()
-    assert list(four.rgba) == [0, 0, 127, 255]
+    assert list(four.rgba) == [0, 63, 127, 255]
+
+
+def test_vectors_without_a_raster_are_skipped(spark):
+    nan = float("nan")
+    rows = [[5.0] * 64, [9.0] * 64, None, [], [nan] * 64, [None] + [0.0] * 63, [0.5] * 64, [0.5] * 64, [-1.0] * 63 + [1.0]]
+    out = index(hashed_vectors(spark.createDataFrame(list(enumerate(rows)), VECTORS), F.col("id").cast("string")), prune=False)
+    skipped = {r.path: r.reason for r in out.skipped.collect()}
+    assert skipped == {"2": "no vector", "3": "no vector", **dict.fromkeys("0145", "entries outside [-1, 1]")}
+    records = {r.path: r.pixel_sha256 for r in out.records.collect()}
+    assert sorted(records) == ["6", "7", "8"] and records["6"] == records["7"] != records["8"]
+    assert [r.path for r in plan_clean(out.records, "pixel").plan.collect()] == ["7"]

@@ -19,7 +19,7 @@ _WHERE = {
     "operators.names": ["unique_paths"],
     "sources.images": ["folder_rasters", "hash_folder", "list_images"],
     "sources.text": ["hashed_texts", "text_records"],
-    "sources.vectors": ["vector_rasters"],
+    "sources.vectors": ["hashed_vectors", "vector_rasters"],
     "streaming.ingest": ["index_stream", "open_retries", "stream_images"],
 }
 _MODULE_OF = {name: module for module, names in _WHERE.items() for name in names}

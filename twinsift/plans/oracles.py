@@ -34,8 +34,8 @@ def _hashed(name: str, source: str, key: str) -> str:
 {name}_raw AS (SELECT {key}, list(v ORDER BY c) AS counts FROM {name}_full GROUP BY {key}),
 {name}_grid AS (SELECT {key}, counts, CASE WHEN list_max(counts) > 255
     THEN list_transform(counts, lambda v: v * 255 // list_max(counts)) ELSE counts END AS gray FROM {name}_raw),
-{name} AS (SELECT {key}, gray, sha256(array_to_string(counts, ',')) AS pixel_sha256, {_bits('gray')} AS phash
-    FROM {name}_grid)"""
+{name} AS (SELECT {key}, gray, sha256(trim(regexp_replace(text, ' +', ' ', 'g'), ' ')) AS pixel_sha256,
+    {_bits('gray')} AS phash FROM {name}_grid JOIN {source} USING ({key}))"""
 
 
 _DOC_PATH = "printf('%s/%08d', source, doc_id)"
@@ -44,12 +44,12 @@ rec AS (SELECT doc_id, {_DOC_PATH} AS path, strlen(d.text)::BIGINT AS bytes, d.n
     1 AS height, 'txt' AS format, sha256(d.text) AS sha256, f.pixel_sha256, f.phash, f.gray
     FROM documents d JOIN fp f USING (doc_id))"""
 _TWO = f"""{_hashed('fp', 'documents', 'doc_id')},
-base AS (SELECT doc_id, {_DOC_PATH} AS p, d.text, d.n_chars, f.pixel_sha256, f.phash
+base AS (SELECT doc_id, {_DOC_PATH} AS p, d.text, d.n_chars, d.lang, f.pixel_sha256, f.phash
     FROM documents d JOIN fp f USING (doc_id)),
 rec AS (SELECT p AS path, strlen(text)::BIGINT AS bytes, n_chars::INTEGER AS width, 1 AS height,
         'txt' AS format, sha256(text) AS sha256, pixel_sha256, phash FROM base
-    UNION ALL SELECT 'reversed/' || p, strlen(text)::BIGINT, n_chars::INTEGER, 1, 'txt',
-        sha256(array_to_string(list_reverse(string_split(text, ' ')), ' ')), pixel_sha256, phash FROM base)"""
+    UNION ALL SELECT 'spaced/' || p, strlen(replace(text, ' ', '  '))::BIGINT, n_chars::INTEGER, 1, 'txt',
+        sha256(replace(text, ' ', '  ')), pixel_sha256, phash FROM base WHERE lang = 'en')"""
 _PRUNED = """pruned AS (SELECT * REPLACE (CASE WHEN count(*) OVER (PARTITION BY phash) >= 2
     THEN pixel_sha256 END AS pixel_sha256) FROM rec)"""
 
@@ -253,9 +253,14 @@ hit AS (SELECT n.* FROM newest n JOIN listing l ON l.path = n.path AND l.size =
     WHERE n.hash_algo = 'dhash-1')"""
 _PAGES = f"""{_hashed('pf', 'page_text', 'page_id')},
 prow AS (SELECT regexp_replace(url, '^https?://', '') AS path, strlen(html)::BIGINT AS bytes, length(html)::INTEGER AS width,
-    'html' AS format, sha256(html) AS sha256, pixel_sha256, phash,
-    regexp_extract(url, '\\.([^./]+)$', 1) = '' AS bad FROM pages JOIN pf USING (page_id))"""
+    'html' AS format, sha256(html) AS sha256, pixel_sha256, phash
+    FROM pages JOIN pf USING (page_id) WHERE html IS NOT NULL)"""
 _PAGES = f"page_text AS (SELECT page_id, html AS text FROM pages), {_PAGES}"
+_SCALED = """scaled AS (SELECT printf('vector/%06d', vec_id) AS path, list_transform(embedding, lambda e: e::DOUBLE * 2.5::DOUBLE) AS v
+    FROM embeddings),
+shown AS (SELECT *, len(list_filter(v, lambda x: abs(x) > 1)) = 0 AS inside FROM scaled)"""
+_SKIPPED = f"""{_SCALED}, skip AS (SELECT path, 'entries outside [-1, 1]' AS reason FROM shown WHERE NOT inside
+    UNION ALL SELECT regexp_replace(url, '^https?://', ''), 'no text' FROM pages WHERE html IS NULL)"""
 
 
 def _sizes(n: str) -> str:
@@ -281,7 +286,7 @@ def _report(strictness: str, threshold: str, groups: str, images: bool) -> str:
     'producer': {{'app': 'twinsift', 'appVersion': '1', 'decoder': 'spark-image', 'hashAlgo': 'dhash-1'}},
     'root': 'documents', 'strictness': '{strictness}', 'threshold': {threshold}}})::VARCHAR AS json""",
         """SELECT 'stats', '', to_json({'kind': 'scan', 'section': 'stats', 'scanned': (SELECT count(*) FROM rec),
-    'skipped': (SELECT count(*) FROM prow WHERE bad), 'groups': count(*), 'duplicates': sum(n_members - 1)::BIGINT,
+    'skipped': (SELECT count(*) FROM skip), 'groups': count(*), 'duplicates': sum(n_members - 1)::BIGINT,
     'reclaimableBytes': sum(reclaimable_bytes)::BIGINT})::VARCHAR FROM g""",
         f"""SELECT 'group', {pad}, to_json({{'kind': 'scan', 'section': 'group', 'id': group_id, 'strictness': '{strictness}',
     'memberCount': n_members, 'keeper': keeper, 'reclaimableBytes': reclaimable_bytes,
@@ -289,7 +294,7 @@ def _report(strictness: str, threshold: str, groups: str, images: bool) -> str:
         f"""SELECT 'member', {pad} || ' ' || path, to_json({{'kind': 'scan', 'section': 'member', 'id': group_id,
     'path': path}})::VARCHAR FROM g_m""",
         """SELECT 'skipped', path, to_json({'kind': 'scan', 'section': 'skipped', 'path': path,
-    'reason': 'no extension'})::VARCHAR FROM prow WHERE bad""",
+    'reason': reason})::VARCHAR FROM skip""",
     ]
     if images:
         parts.append(
@@ -312,7 +317,7 @@ def _line(kind: str, section: str, key: str, body: str, source: str) -> str:
 
 
 def _find_report() -> str:
-    counts = """'scanned': (SELECT count(*) FROM rec), 'skipped': (SELECT count(*) FROM prow WHERE bad),
+    counts = """'scanned': (SELECT count(*) FROM rec), 'skipped': (SELECT count(*) FROM skip),
     'matched': (SELECT count(*) FROM top)"""
     match = """'path': path, 'bytes': bytes, 'width': width, 'height': height, 'format': format, 'tier': tier,
     'hammingDistance': hamming"""
@@ -321,19 +326,22 @@ def _find_report() -> str:
         _line("find", "query", "''", _IMAGE, "FROM one"),
         _line("find", "stats", "''", counts, ""),
         _line("find", "match", f"({_RANK}) || ' ' || lpad(hamming::VARCHAR, 2, '0') || ' ' || path", match, "FROM top"),
-        _line("find", "skipped", "path", "'path': path, 'reason': 'no extension'", "FROM prow WHERE bad"),
+        _line("find", "skipped", "path", "'path': path, 'reason': reason", "FROM skip"),
     ]
-    return f"{_find_top(24, 25)}, {_PAGES} " + " UNION ALL ".join(parts)
+    return f"{_find_top(24, 25)}, {_SKIPPED} " + " UNION ALL ".join(parts)
 
 
 def _clean_report() -> str:
-    counts = """'scanned': (SELECT count(*) FROM rec), 'groups': (SELECT count(*) FROM g), 'planned': count(*),
-    'rejected': 0, 'reclaimableBytes': sum(bytes)::BIGINT"""
+    counts = """'scanned': (SELECT count(*) FROM rec), 'groups': (SELECT count(*) FROM g), 
+    'planned': count(*) FILTER (WHERE starts_with(path, 'src0/')), 'rejected': count(*) FILTER (WHERE NOT starts_with(path, 'src0/')),
+    'reclaimableBytes': coalesce(sum(bytes) FILTER (WHERE starts_with(path, 'src0/')), 0)::BIGINT"""
     target = "'path': path, 'groupId': group_id, 'bytes': bytes, 'keeper': keeper"
+    key = "lpad(group_id::VARCHAR, 20, '0') || ' ' || path"
     parts = [
         _line("clean", "head", "''", f"{_HEAD}, 'strictness': 'pixel', 'dryRun': true", ""),
         _line("clean", "stats", "''", counts, "FROM g_m WHERE NOT is_keeper"),
-        _line("clean", "planned", "lpad(group_id::VARCHAR, 20, '0') || ' ' || path", target, "FROM g_m WHERE NOT is_keeper"),
+        _line("clean", "planned", key, target, "FROM g_m WHERE NOT is_keeper AND starts_with(path, 'src0/')"),
+        _line("clean", "rejected", key, target, "FROM g_m WHERE NOT is_keeper AND NOT starts_with(path, 'src0/')"),
     ]
     return f"WITH {_TWO}, {_PRUNED}, {_grouped('pruned', 'pixel_sha256')} " + " UNION ALL ".join(parts)
 
@@ -345,8 +353,10 @@ ORACLES: dict[str, str] = {
     "text_fingerprint": f"""WITH {_REC} SELECT path, bytes, width, height, sha256, pixel_sha256,
         {_hex('phash')} AS phash FROM rec""",
     "gray_grid_hash": f"""WITH {_REC} SELECT path, list_sum(gray)::INTEGER AS total, {_hex('phash')} AS phash FROM rec""",
-    "phash_codec": f"""WITH {_REC} SELECT path, {_hex('phash')} AS hex, {_hex('phash')} AS round_trip,
-        true AS path_is_invalid, bit_count(phash)::INTEGER AS ones, NULL::INTEGER AS no_distance FROM rec""",
+    "phash_codec": f"""WITH {_REC}, o AS (SELECT *, substr(sha256, 1, 10 + width % 12) AS other FROM rec)
+        SELECT path, {_hex('phash')} AS hex, {_hex('phash')} AS round_trip,
+        length(other) > 16 AS other_is_invalid, bit_count(phash)::INTEGER AS ones, CASE WHEN length(other) <= 16
+        THEN bit_count(xor(phash, ('0x' || other)::UBIGINT)) END::INTEGER AS distance FROM o""",
     "pixel_prune": f"WITH {_TWO}, {_PRUNED} SELECT path, pixel_sha256, {_hex('phash')} AS phash FROM pruned",
     "exact_groups": f"WITH {_REC}, {_grouped('rec', 'sha256')} {_EQUAL_GROUPS}",
     "exact_members": f"WITH {_REC}, {_grouped('rec', 'sha256')} {_MEMBERS}",
@@ -369,14 +379,16 @@ ORACLES: dict[str, str] = {
     "deletion_plan": f"""WITH {_TWO}, {_PRUNED}, {_grouped('pruned', 'pixel_sha256')}
         SELECT path, group_id, bytes, keeper FROM g_m WHERE NOT is_keeper""",
     "deletion_plan_lookup": f"""WITH {_TWO}, {_grouped('rec', 'pixel_sha256')}
-        SELECT path, group_id, CASE WHEN starts_with(path, 'reversed/') THEN 0 ELSE bytes END::BIGINT AS bytes, keeper
+        SELECT path, group_id, CASE WHEN starts_with(path, 'spaced/') THEN 0 ELSE bytes END::BIGINT AS bytes, keeper
         FROM g_m WHERE NOT is_keeper""",
     "retained_set": f"""WITH {_TWO}, {_PRUNED}, {_grouped('pruned', 'pixel_sha256')}
         SELECT path, bytes, sha256, {_hex('phash')} AS phash FROM rec
         WHERE path NOT IN (SELECT path FROM g_m WHERE NOT is_keeper)""",
     "clean_stats": f"""WITH {_TWO}, {_PRUNED}, {_grouped('pruned', 'pixel_sha256')}
         SELECT (SELECT count(*) FROM rec)::BIGINT AS scanned, (SELECT count(*) FROM g)::BIGINT AS groups,
-        count(*)::BIGINT AS planned, sum(bytes)::BIGINT AS reclaimable_bytes, 0::BIGINT AS rejected
+        count(*) FILTER (WHERE starts_with(path, 'src0/'))::BIGINT AS planned,
+        coalesce(sum(bytes) FILTER (WHERE starts_with(path, 'src0/')), 0)::BIGINT AS reclaimable_bytes,
+        count(*) FILTER (WHERE NOT starts_with(path, 'src0/'))::BIGINT AS rejected
         FROM g_m WHERE NOT is_keeper""",
     "reconcile_groups": f"""WITH RECURSIVE {_REC}, {_grouped('rec', 'sha256', 'ge')},
         rest AS (SELECT * FROM rec WHERE path NOT IN (SELECT path FROM ge_m WHERE NOT is_keeper)),
@@ -411,10 +423,14 @@ ORACLES: dict[str, str] = {
         WHERE path IN (SELECT path FROM listing)""",
     "text_balance": """SELECT source, count(*) AS inputs, count(text) AS records, count(*) - count(text) AS skipped
         FROM documents GROUP BY source""",
-    "skipped_items": f"WITH {_PAGES} SELECT path, 'no extension' AS reason FROM prow WHERE bad",
+    "skipped_items": f"WITH {_SKIPPED} SELECT path, reason FROM skip",
+    "indexed_vectors": f"""WITH {_SCALED}, b AS (SELECT path, list_transform(v, lambda x:
+            least(greatest(floor((x + 1) * 127.5::DOUBLE), 0), 255)::INTEGER) AS v FROM shown WHERE inside)
+        SELECT path, 64::BIGINT AS bytes, 8 AS width, 8 AS height, 'vector' AS format,
+        sha256(unhex({_rgba_hex('v')})) AS pixel_sha256 FROM b""",
     "indexed_pages": f"""WITH {_PAGES} SELECT path, bytes, width, format, sha256,
         CASE WHEN count(*) OVER (PARTITION BY phash) >= 2 THEN pixel_sha256 END AS pixel_sha256,
-        {_hex('phash')} AS phash FROM prow WHERE NOT bad""",
+        {_hex('phash')} AS phash FROM prow""",
     "stream_index": f"""WITH {_REC} SELECT path, bytes, width, height, format, sha256, pixel_sha256,
         {_hex('phash')} AS phash FROM rec""",
     "unique_names": """SELECT doc_id, source || '.txt' AS name, CASE WHEN n = 1 THEN source || '.txt'
@@ -425,13 +441,13 @@ ORACLES: dict[str, str] = {
         FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([^./]+)$', 1)) AS ext FROM pages)""",
     "page_paths": f"""SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 8) ELSE url END AS path,
         {_SAFE.format('url')} AS url_is_safe, {_SAFE.format("regexp_replace(url, '^https?://', '')")} AS path_is_safe,
-        false AS parent_is_safe FROM pages""",
+        {_SAFE.format("regexp_replace(regexp_replace(url, '^https?://', ''), '/(en|de)/', '/../', 'g')")} AS parent_is_safe FROM pages""",
     "readable_sizes": f"""WITH o AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders),
         p AS (SELECT o_orderkey, cents, cents * o_orderkey * 1000 AS big FROM o)
         SELECT o_orderkey, {_sizes('o_orderkey')} AS small, {_sizes('cents')} AS medium, {_sizes('big')} AS large FROM p""",
     "event_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events",
-    "scan_document": f"""WITH {_REC}, {_PAGES}, {_grouped('rec', 'sha256')}
+    "scan_document": f"""WITH {_REC}, {_SKIPPED}, {_grouped('rec', 'sha256')}
         {_report('exact', 'NULL', _EQUAL_GROUPS, True)}""",
-    "scan_summary": f"""WITH RECURSIVE {_REC}, {_PAGES}, {_near(4)}
+    "scan_summary": f"""WITH RECURSIVE {_REC}, {_SKIPPED}, {_near(4)}
         {_report('perceptual', '4', _NEAR_GROUPS, False)}""",
 }

@@ -23,7 +23,7 @@ from twinsift.operators.report import clean_report, find_report, scan_report
 from twinsift.operators.storage import scratch_path, stage, stage_measured
 from twinsift.schemas import HASH_ALGO
 from twinsift.sources.text import balanced, hashed_texts, text_raster, text_records
-from twinsift.sources.vectors import vector_rasters
+from twinsift.sources.vectors import hashed_vectors, vector_rasters
 from twinsift.streaming.ingest import index_stream
 
 GROUP_OUTPUT = ["group_id", "keeper", "n_members", "reclaimable_bytes", "auto_deletable", "max_hamming"]
@@ -43,13 +43,11 @@ def _documents(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return text_records(docs, _doc_path(), width=F.col("n_chars"), **options)
 
 
-def _with_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and their token-reversed twins: other bytes, same raster. Separates the tiers."""
-    docs = balanced(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text"))
-    backwards = F.array_join(F.reverse(F.split("text", " ")), " ")
-    both = docs.withColumn("side", F.lit("")).unionByName(
-        docs.withColumn("text", backwards).withColumn("side", F.lit("reversed/"))
-    )
+def _with_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and a twin of each English one with wider spaces: other bytes, same pixels. Separates the tiers."""
+    docs = balanced(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang", "text"))
+    spaced = docs.where("lang = 'en'").withColumn("text", F.replace("text", F.lit(" "), F.lit("  ")))
+    both = docs.withColumn("side", F.lit("")).unionByName(spaced.withColumn("side", F.lit("spaced/")))
     return text_records(both, F.concat(F.col("side"), _doc_path()), width=F.col("n_chars"))
 
 
@@ -91,21 +89,22 @@ def gray_grid_hash(spark, sf_dir):
 
 
 def phash_codec(spark, sf_dir):
-    docs = _documents(spark, sf_dir).select("path", "phash")
+    docs = _documents(spark, sf_dir).select("path", "phash", "sha256", "width")
     text = phash_hex("phash")
-    zero = F.lit("0")
+    # Hex texts of 10 to 21 digits: those of more than 16 are no fingerprint.
+    other = F.substring(F.col("sha256"), F.lit(1), 10 + F.pmod("width", F.lit(12)))
     return docs.select(
         "path",
         text.alias("hex"),
         phash_hex(phash_from_hex(F.concat(F.lit("+000"), F.upper(text)))).alias("round_trip"),
-        phash_from_hex(F.col("path")).isNull().alias("path_is_invalid"),
-        hamming_hex(text, zero).alias("ones"),
-        hamming_hex(text, F.col("path")).alias("no_distance"),
+        phash_from_hex(other).isNull().alias("other_is_invalid"),
+        hamming_hex(text, F.lit("0")).alias("ones"),
+        hamming_hex(text, other).alias("distance"),
     )
 
 
 def pixel_prune(spark, sf_dir):
-    pruned = prune_pixel_hash(_index(spark, sf_dir, _with_reversed))
+    pruned = prune_pixel_hash(_index(spark, sf_dir, _with_spaced))
     return _hex(pruned.select("path", "pixel_sha256", "phash"))
 
 
@@ -129,11 +128,11 @@ def conversation_groups(spark, sf_dir):
 
 
 def pixel_groups(spark, sf_dir):
-    return _groups(scan(prune_pixel_hash(_index(spark, sf_dir, _with_reversed)), "pixel"))
+    return _groups(scan(prune_pixel_hash(_index(spark, sf_dir, _with_spaced)), "pixel"))
 
 
 def pixel_members(spark, sf_dir):
-    return scan(prune_pixel_hash(_index(spark, sf_dir, _with_reversed)), "pixel").members.select(*MEMBER_OUTPUT)
+    return scan(prune_pixel_hash(_index(spark, sf_dir, _with_spaced)), "pixel").members.select(*MEMBER_OUTPUT)
 
 
 def perceptual_groups_t4(spark, sf_dir):
@@ -193,7 +192,7 @@ def scan_stats(spark, sf_dir):
 
 
 def _clean(spark, sf_dir):
-    return plan_clean(prune_pixel_hash(_index(spark, sf_dir, _with_reversed)))
+    return plan_clean(prune_pixel_hash(_index(spark, sf_dir, _with_spaced)))
 
 
 def deletion_plan(spark, sf_dir):
@@ -202,9 +201,9 @@ def deletion_plan(spark, sf_dir):
 
 def deletion_plan_lookup(spark, sf_dir):
     """The plan of groups whose records are only partly known: unknown paths count zero bytes."""
-    records = _index(spark, sf_dir, _with_reversed)
+    records = _index(spark, sf_dir, _with_spaced)
     grouping = scan(records, "pixel")
-    known = records.where(~F.col("path").startswith("reversed/"))
+    known = records.where(~F.col("path").startswith("spaced/"))
     return plan_deletions(known, grouping.groups, grouping.members)
 
 
@@ -212,8 +211,13 @@ def retained_set(spark, sf_dir):
     return _hex(_clean(spark, sf_dir).retained.select("path", "bytes", "sha256", "phash"))
 
 
+def _clean_below(spark, sf_dir):
+    """A plan for one folder: targets outside it are refused."""
+    return plan_clean(prune_pixel_hash(_index(spark, sf_dir, _with_spaced)), root="src0")
+
+
 def clean_stats(spark, sf_dir):
-    return _clean(spark, sf_dir).stats()
+    return _clean_below(spark, sf_dir).stats()
 
 
 def reconcile_groups(spark, sf_dir):
@@ -232,18 +236,18 @@ def _first_record(records: DataFrame) -> DataFrame:
 
 def find_similar(spark, sf_dir):
     """Everything like the record with the smallest path, itself left out."""
-    records = _index(spark, sf_dir, _with_reversed)
+    records = _index(spark, sf_dir, _with_spaced)
     query = _first_record(records).first()
     return find(query, records, 16, query_path=query["path"]).matches
 
 
 def find_top(spark, sf_dir):
-    records = _index(spark, sf_dir, _with_reversed)
+    records = _index(spark, sf_dir, _with_spaced)
     return find(_first_record(records), records, 24, top=25).matches
 
 
 def find_stats(spark, sf_dir):
-    records = _index(spark, sf_dir, _with_reversed)
+    records = _index(spark, sf_dir, _with_spaced)
     return find(_first_record(records), records, 24, top=25).stats()
 
 
@@ -380,16 +384,28 @@ def index_after_gc(spark, sf_dir):
 
 
 def _hashed_pages(spark, sf_dir) -> DataFrame:
-    """Pages as hashed rows; a page whose URL has no extension counts as unreadable."""
-    ext = extension(F.col("url"))
-    pages = _table(spark, sf_dir, "pages")
+    """All pages as hashed rows; one without html is skipped."""
     path = F.regexp_replace("url", "^https?://", "")
-    rows = text_records(pages, path, text="html", format="html")
-    return rows.withColumn("error", F.when(extension("path") == "", F.lit("no extension")))
+    return hashed_texts(_table(spark, sf_dir, "pages"), path, text="html", format="html")
+
+
+def _hashed_vectors(spark, sf_dir) -> DataFrame:
+    """Vectors scaled up, as hashed rows: some then leave the range that a raster can show."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    scaled = vectors.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double") * 2.5))
+    return hashed_vectors(scaled, F.format_string("vector/%06d", "vec_id"))
 
 
 def skipped_items(spark, sf_dir):
-    return index(_hashed_pages(spark, sf_dir)).skipped
+    """What could not be indexed, of every kind of source, with the reason."""
+    pages, vectors = (index(make(spark, sf_dir), prune=False).skipped for make in (_hashed_pages, _hashed_vectors))
+    return pages.unionByName(vectors)
+
+
+def indexed_vectors(spark, sf_dir):
+    """Vectors within range become records, the others do not share pixels with anything."""
+    records = index(_hashed_vectors(spark, sf_dir), prune=False).records
+    return records.select("path", "bytes", "width", "height", "format", "pixel_sha256")
 
 
 def text_balance(spark, sf_dir):
@@ -451,7 +467,7 @@ def page_paths(spark, sf_dir):
     return pages.select(
         "page_id", path.alias("path"), path_is_safe("url").alias("url_is_safe"),
         path_is_safe(F.regexp_replace("url", "^https?://", "")).alias("path_is_safe"),
-        path_is_safe(F.concat(F.lit("a/../"), F.col("page_id").cast("string"))).alias("parent_is_safe"),
+        path_is_safe(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "/(en|de)/", "/../")).alias("parent_is_safe"),
     )
 
 
@@ -471,23 +487,23 @@ def event_times(spark, sf_dir):
 def scan_document(spark, sf_dir):
     """The full tagged report of an exact scan as JSON lines."""
     records = _index(spark, sf_dir)
-    skipped = index(_hashed_pages(spark, sf_dir)).skipped
+    skipped = skipped_items(spark, sf_dir)
     return scan_report(scan(records, "exact"), skipped, "documents", records)
 
 
 def find_document(spark, sf_dir):
-    records = _index(spark, sf_dir, _with_reversed)
-    skipped = index(_hashed_pages(spark, sf_dir)).skipped
+    records = _index(spark, sf_dir, _with_spaced)
+    skipped = skipped_items(spark, sf_dir)
     return find_report(find(_first_record(records), records, 24, top=25), skipped, "documents")
 
 
 def clean_document(spark, sf_dir):
-    return clean_report(_clean(spark, sf_dir), "documents")
+    return clean_report(_clean_below(spark, sf_dir), "documents")
 
 
 def scan_summary(spark, sf_dir):
     records = _index(spark, sf_dir)
-    skipped = index(_hashed_pages(spark, sf_dir)).skipped
+    skipped = skipped_items(spark, sf_dir)
     return scan_report(scan(records, "perceptual", 4), skipped, "documents")
 
 
@@ -502,7 +518,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         find_similar, find_top, find_stats, find_topn_batch, find_neighbours,
         flatten_and_gray, raster_fingerprint, compare_vectors, highlight_vectors,
         latest_index, incremental_hits, incremental_misses, orphan_entries, index_after_gc,
-        text_balance, skipped_items, indexed_pages, stream_index,
+        text_balance, skipped_items, indexed_pages, indexed_vectors, stream_index,
         unique_names, page_formats, page_paths, readable_sizes, event_times,
         scan_document, scan_summary, find_document, clean_document,
     )

@@ -1,7 +1,9 @@
 """Text adapter: any table of texts becomes records with a 9x8 token raster.
 
-Each token falls into one of 72 cells by hash. The pixel hash covers the token counts of the cells as
-they are; a cell's gray value is its count, scaled to the fullest cell where that holds over 255.
+Each token falls into one of 72 cells by hash; a cell's gray value is its token count, scaled to the
+fullest cell where that holds over 255. The cells only serve the fingerprint. The pixel hash decides
+what a clean-up removes, so it covers the tokens themselves, in order: texts share it only if they
+are equal up to the number of spaces between tokens and around them.
 """
 
 from __future__ import annotations
@@ -51,9 +53,8 @@ def _text_raster(text: pa.Array) -> pa.Array:
     counts = counts.reshape(rows, GRID_CELLS)
     most = counts.max(axis=1, keepdims=True, initial=0)
     gray = np.where(most > 255, counts * 255 // np.maximum(most, 1), counts).astype(np.uint8)
-    digests = [
-        hashlib.sha256(",".join(map(str, row)).encode()).hexdigest() for row in counts.tolist()
-    ]
+    single = pc.utf8_trim(pc.replace_substring_regex(pc.fill_null(text, ""), " +", " "), characters=" ")
+    digests = [hashlib.sha256(row.encode()).hexdigest() for row in single.to_pylist()]
     phash = kernels.grid_bits(gray) if rows else np.array([], dtype=np.int64)
     return pa.StructArray.from_arrays(
         [
