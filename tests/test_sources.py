@@ -12,7 +12,7 @@ from twinsift.functions import kernels
 from twinsift.operators.clean import plan_clean
 from twinsift.operators.group import scan
 from twinsift.operators.index import index, latest, read_index, refresh, to_records
-from twinsift.sources.images import folder_rasters, hash_folder, hash_listed, list_images
+from twinsift.sources.images import _list_level, folder_rasters, hash_folder, hash_listed, list_everything, list_images
 from twinsift.sources.text import hashed_texts, text_raster, text_records
 from twinsift.sources.vectors import hashed_vectors, vector_rasters
 from twinsift.streaming.ingest import open_retries, stream_images
@@ -79,6 +79,44 @@ def test_odd_file_names(spark, folder, tmp_path):
         assert skipped == {"broken.png"}
 
 
+def test_no_file_is_lost(spark, folder):
+    root, rgba, _ = folder
+    one = (root / "a.png").read_bytes()
+    for name in ("_x.png", ".x.png", "_a=b.png", ".hid/y.png", "_sub/deep/z.png", "_sub/_w.png"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(one)
+    (root / ".bad.png").write_bytes(b"no image")
+    (root / "gone.png").write_bytes(one)
+    (root / "_gone.png").write_bytes(one)
+    listed = list_everything(spark, str(root)).collect()
+    files = {r.path for r in listed}
+    assert files == {str(p.relative_to(root)) for p in root.rglob("*") if p.suffix.lower() == ".png"}
+    assert not [r for r in listed if r.error]
+    listing = spark.createDataFrame(listed, "path string, uri string, size long, mtime_ns long, error string").where("error IS NULL").drop("error")
+    (root / "gone.png").unlink()
+    (root / "_gone.png").unlink()
+    hashed = hash_listed(listing, str(root), chunk=5).collect()
+    assert len(hashed) == listing.count() and {r.path for r in hashed} == {r.path for r in listed if not r.error}
+    reasons = {r.path: r.error for r in hashed if r.error}
+    assert reasons == {"gone.png": "vanished", "_gone.png": "vanished", "broken.png": "cannot decode", ".bad.png": "cannot decode"}
+    pixels = {r.path: (r.pixel_sha256, r.sha256, r.format) for r in hashed if not r.error}
+    assert pixels["_x.png"] == pixels[".x.png"] == pixels[".hid/y.png"] == pixels["_sub/_w.png"] == pixels["a.png"]
+
+    whole = index(hash_folder(spark, str(root)))
+    records, skipped = ([r.path for r in df.collect()] for df in (whole.unpruned, whole.skipped))
+    assert sorted(records + skipped) == sorted(files - {"gone.png", "_gone.png"})
+    assert sorted(skipped) == [".bad.png", "broken.png"]
+
+
+def test_folders_that_cannot_be_listed_are_reported(spark, folder):
+    root, _, _ = folder
+    asked = spark.createDataFrame([(f"file:{root}/sub",), (f"file:{root}/closed",), (f"file:{root}/a.png",)], "uri string")
+    found = _list_level(asked, str(root), False).collect()
+    assert sorted(r.path for r in found if not r.error) == ["sub/copy.png", "sub/soft.png"]
+    assert {r.path: r.error.split(":")[0] for r in found if r.error} == {"closed": "cannot list", "a.png": "cannot list"}
+    assert [(r.path, r.error) for r in _list_level(asked.limit(1), str(root), True).collect()] == [("sub", "too deep")]
+
+
 def test_orientation_column(spark, folder):
     root, rgba, _ = folder
     turned = folder_rasters(spark, str(root), orientation=F.lit(6)).where("path = 'b.PNG'").first()

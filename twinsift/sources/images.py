@@ -1,19 +1,29 @@
-"""Image folders: listing, decoding through Spark's image source, hashing."""
+"""Image folders: listing, decoding through Spark's image source, hashing.
+
+No file is lost silently. Spark's file sources hide names that begin with ``_`` or ``.``, end a whole job over
+a folder they may not read, and refuse a list of paths if one of them is gone. So folders are listed here on
+the executors, level by level, with every name and an ``error`` for what cannot be listed; files with hidden
+names are decoded from a copy; and each path asked for comes back with hashes or with a reason.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinsift.functions.paths import extension, has_extension, normalize_ext, plain_uri, relative_path
 from twinsift.functions.raster import raster_hashes, reorient
-from twinsift.operators.storage import scratch_path
+from twinsift.operators.storage import scratch_path, stage_measured
 from twinsift.schemas import DEFAULT_EXTENSIONS, RECORD_COLUMNS
 
 # Paths handed to one read of missing files.
@@ -31,17 +41,97 @@ def _reader(spark: SparkSession, fmt: str, extensions: Iterable[str], recurse: b
     return reader.option("recursiveFileLookup", True) if recurse else reader
 
 
+# Stores that executors list themselves; others are listed by Spark, which leaves hidden names out.
+LISTED_SCHEMES = ("file", "s3", "s3a", "gs", "hdfs")
+# Deeper folders are reported, not followed: a link may lead back up.
+MAX_DEPTH = 64
+VANISHED = "vanished"
+_LISTED = "path string, uri string, size bigint, mtime_ns bigint, is_folder boolean, error string"
+
+
 def list_images(
     spark: SparkSession, root: str, extensions: Iterable[str] = DEFAULT_EXTENSIONS, recurse: bool = True
 ) -> DataFrame:
     """``(path, uri, size, mtime_ns)`` of the image files below ``root``; no content is read."""
+    return list_everything(spark, root, extensions, recurse).where("error IS NULL").drop("error")
+
+
+def list_everything(
+    spark: SparkSession, root: str, extensions: Iterable[str] = DEFAULT_EXTENSIONS, recurse: bool = True
+) -> DataFrame:
+    """:func:`list_images` and, with an ``error`` instead of a size, the folders that could not be listed.
+
+    Each level of folders is one narrow job whose tasks list a share of them, so the driver sees counts only.
+    """
     extensions = list(extensions)
+    if root_uri(root).split(":", 1)[0] not in LISTED_SCHEMES:
+        found = _listed_by_spark(spark, root, extensions, recurse)
+        return found.withColumn("error", F.lit(None).cast("string"))
+    folders = spark.createDataFrame([(root_uri(root),)], "uri string")
+    found, waiting = None, 1
+    for depth in range(MAX_DEPTH + 1):
+        spread = folders.repartition(min(waiting, spark.sparkContext.defaultParallelism * 4))
+        level, seen = stage_measured(
+            _list_level(spread, root, depth == MAX_DEPTH), "listing", folders=F.count(F.when(F.col("is_folder"), 1))
+        )
+        files = level.where(~F.col("is_folder") & (F.col("error").isNotNull() | has_extension("path", extensions)))
+        found = files if found is None else found.unionByName(files)
+        waiting = seen["folders"]
+        if not recurse or not waiting:
+            break
+        folders = level.where("is_folder").select("uri")
+    return found.drop("is_folder")
+
+
+def _list_level(folders: DataFrame, root: str, last: bool) -> DataFrame:
+    """What lies directly in ``folders``, files and folders; a folder that cannot be listed has an ``error``."""
+    base = root_uri(root).rstrip("/") + "/"
+
+    def entries(uri: str) -> list[tuple]:
+        below = lambda u: u[len(base) :] if u.startswith(base) else u
+        if last:
+            return [(below(uri), uri, None, None, False, "too deep")]
+        try:
+            store, path = open_store(uri)
+            inside = store.get_file_info(fs.FileSelector(path))
+        except OSError as error:
+            return [(below(uri), uri, None, None, False, f"cannot list: {type(error).__name__}")]
+        rows = []
+        for item in inside:
+            own = f"{uri.rstrip('/')}/{item.base_name}"
+            # Whole milliseconds, as Spark's readers give them.
+            changed = None if item.mtime_ns is None else item.mtime_ns // 1_000_000 * 1_000_000
+            error = None if item.type in (fs.FileType.File, fs.FileType.Directory) else VANISHED
+            rows.append((below(own), own, item.size, changed, item.type == fs.FileType.Directory, error))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+        names = [part.split(" ")[0] for part in _LISTED.split(", ")]
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                columns = list(zip(*entries(uri))) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return folders.mapInArrow(run, _LISTED)
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a plain (not percent-encoded) URI and the path in it."""
+    scheme, rest = uri.split(":", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    authority, _, path = rest.lstrip("/").partition("/")
+    store, prefix = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}/")
+    return store, f"{prefix.rstrip('/')}/{path}"
+
+
+def _listed_by_spark(spark: SparkSession, root: str, extensions: list[str], recurse: bool) -> DataFrame:
     files = _reader(spark, "binaryFile", extensions, recurse).load(root)
-    uri = plain_uri("path")
     return (
         files.where(has_extension("path", extensions))
         .select(
-            relative_path(uri, root_uri(root)).alias("path"),
+            relative_path(plain_uri("path"), root_uri(root)).alias("path"),
             F.col("path").alias("uri"),
             F.col("length").alias("size"),
             (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"),
@@ -49,6 +139,11 @@ def list_images(
     )
 
 
+def is_hidden(path: Column) -> Column:
+    """Whether Spark's readers leave a file out for its own name."""
+    return F.regexp_extract(path, "[^/]*$", 0).rlike(r"^(\.|_(?!.*=))")
+
+
 def root_uri(root: str) -> str:
     if "://" in root or root.startswith("file:"):
         scheme, rest = root.split(":", 1)
@@ -114,7 +209,8 @@ def _hash(files: DataFrame, images: DataFrame, root: str, orientation: Column |
         "path", "bytes",
         F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"),
         normalize_ext(extension("path")).alias("format"), "sha256", "pixel_sha256", "phash",
-        F.when(F.col("width").isNull(), "cannot decode").otherwise(F.col("error")).alias("error"),
+        # A file of which one of the two readers saw nothing went away in between.
+        F.when(F.col("width").isNull(), VANISHED).otherwise(F.col("error")).alias("error"),
     )
 
 
@@ -125,11 +221,30 @@ def hash_folder(
     recurse: bool = True,
     orientation: Column | None = None,
 ) -> DataFrame:
-    """Hashed rows (record columns and ``error``) of every image below ``root``."""
+    """Hashed rows (record columns and ``error``) of every image below ``root``.
+
+    Visible files are read by folder, without their paths passing the driver. Folders that cannot be listed, files with
+    hidden names or below hidden folders, and files that came or went meanwhile, come from a listing.
+    """
     extensions = list(extensions)
     files = _reader(spark, "binaryFile", extensions, recurse).load(root)
     images = _reader(spark, "image", extensions, recurse).option("dropInvalid", False).load(root)
-    return _hash(files, images, root, orientation)
+    seen = _hash(files, images, root, orientation)
+    listing = list_everything(spark, root, extensions, recurse)
+    shut = _failed(listing.where("error IS NOT NULL"), F.col("error"))
+    hidden = listing.where(F.col("error").isNull() & F.col("path").rlike(r"(^|/)(\.|_(?![^/]*=))"))
+    return seen.unionByName(hash_listed(hidden, root, orientation=orientation)).unionByName(shut)
+
+
+def _failed(rows: DataFrame, reason: Column) -> DataFrame:
+    """Hashed rows of items of which nothing but a ``path`` (and perhaps a size) is known."""
+    size = F.coalesce(F.col("size"), F.lit(0)) if "size" in rows.columns else F.lit(0)
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "path", size.cast("bigint").alias("bytes"), F.lit(0).alias("width"), F.lit(0).alias("height"),
+        normalize_ext(extension("path")).alias("format"), F.lit("").alias("sha256"), none.alias("pixel_sha256"),
+        F.lit(None).cast("bigint").alias("phash"), reason.alias("error"),
+    )
 
 
 def folder_rasters(
@@ -145,25 +260,51 @@ def folder_rasters(
 def hash_files(
     spark: SparkSession, uris: Iterable[str], root: str, orientation: Column | None = None
 ) -> DataFrame:
-    """Hashed rows of one bounded list of files. A file that vanishes while it is read is left out."""
+    """Hashed rows of one bounded list of files; one that is gone, or goes while it is read, has the reason ``vanished``."""
     uris = list(uris)
+    asked = spark.createDataFrame([(uri,) for uri in uris], "uri string")
+    asked = asked.select(relative_path(plain_uri("uri"), root_uri(root)).alias("path")).distinct()
+    found = _read_present(spark, uris, root, orientation)
+    lost = asked if found is None else asked.join(found.select("path"), "path", "left_anti")
+    lost = _failed(lost, F.lit(VANISHED))
+    return lost if found is None else found.unionByName(lost)
+
+
+def _read_present(spark: SparkSession, uris: list[str], root: str, orientation: Column | None) -> DataFrame | None:
+    """Hashed rows of those files that exist. Readers refuse a list with a missing path, so it is halved then."""
     paths = [_literal(uri) for uri in uris]
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths)
-    images = spark.read.format("image").option("dropInvalid", False).option("ignoreMissingFiles", True).load(paths)
+    try:
+        files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths)
+        images = spark.read.format("image").option("dropInvalid", False).option("ignoreMissingFiles", True).load(paths)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        half = len(uris) // 2
+        parts = [_read_present(spark, part, root, orientation) for part in (uris[:half], uris[half:]) if half and part]
+        parts = [part for part in parts if part is not None]
+        return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
     return _hash(files, images, root, orientation)
 
 
-def hash_listed(misses: DataFrame, root: str, chunk: int = CHUNK) -> DataFrame:
-    """Hashed rows of listed files, read in bounded chunks of explicit paths.
+def hash_listed(misses: DataFrame, root: str, chunk: int = CHUNK, orientation: Column | None = None) -> DataFrame:
+    """Hashed rows of listed files, one for each, read in bounded chunks of explicit paths.
 
     File sources cannot take a join as a path filter, so reading "all files, joined to the misses"
-    would open every file. The driver sees one chunk of paths at a time, never content.
+    would open every file. The driver sees one chunk of paths at a time, never content. Files with
+    hidden names are copied on the executors and read under another name.
     """
     spark = misses.sparkSession
     out = scratch_path(spark, "hashed-files")
+    open_ = misses.where(~is_hidden(F.col("path")))
     wrote = False
-    for uris in _chunks((r.uri for r in misses.select("uri").toLocalIterator(prefetchPartitions=True)), chunk):
-        hash_files(spark, uris, root).write.mode("append").parquet(out)
+    for uris in _chunks((r.uri for r in open_.select("uri").toLocalIterator(prefetchPartitions=True)), chunk):
+        hash_files(spark, uris, root, orientation).write.mode("append").parquet(out)
+        wrote = True
+    hidden, seen = stage_measured(
+        _copies(misses.where(is_hidden(F.col("path"))), scratch_path(spark, "copies")), "copies", rows=F.count(F.lit(1))
+    )
+    if seen["rows"]:
+        _hash_copies(hidden, orientation).write.mode("append").parquet(out)
         wrote = True
     if wrote:
         return spark.read.parquet(out)
@@ -172,6 +313,51 @@ def hash_listed(misses: DataFrame, root: str, chunk: int = CHUNK) -> DataFrame:
     return spark.createDataFrame([], fields)
 
 
+def _copies(hidden: DataFrame, folder: str) -> DataFrame:
+    """Copy each file to ``folder`` under the hash of its path: ``(path, folder, copy, error)``."""
+    folder = root_uri(folder)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, target = open_store(folder)
+        for batch in batches:
+            names, errors = [], []
+            for path, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = f"{hashlib.sha256(path.encode()).hexdigest()}.{path.rsplit('.', 1)[-1]}"
+                error = None
+                try:
+                    source, at = open_store(uri)
+                    with source.open_input_stream(at) as given:
+                        store.create_dir(target, recursive=True)
+                        # A task that is tried again writes the same bytes under the same name.
+                        with store.open_output_stream(f"{target}/{name}") as taken:
+                            while block := given.read(1 << 20):
+                                taken.write(block)
+                except FileNotFoundError:
+                    error = VANISHED
+                except OSError as problem:
+                    error = f"cannot read: {type(problem).__name__}"
+                names.append(name)
+                errors.append(error)
+            columns = [batch.column(0), pa.array([folder] * len(names)), pa.array(names, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "folder", "copy", "error"])
+
+    return hidden.select("path", "uri").mapInArrow(copy, "path string, folder string, copy string, error string")
+
+
+def _hash_copies(copied: DataFrame, orientation: Column | None) -> DataFrame:
+    spark = copied.sparkSession
+    lost = _failed(copied.where("error IS NOT NULL"), F.col("error"))
+    good = copied.where("error IS NULL")
+    folder = good.select("folder").first()
+    if folder is None:
+        return lost
+    files = spark.read.format("binaryFile").load(folder.folder)
+    images = spark.read.format("image").option("dropInvalid", False).load(folder.folder)
+    hashed = _hash(files, images, folder.folder, orientation).withColumnRenamed("path", "copy")
+    named = good.select("path", "copy").join(hashed, "copy").drop("copy")
+    return named.withColumn("format", normalize_ext(extension("path"))).select(*lost.columns).unionByName(lost)
+
+
 def _chunks(items: Iterable[str], size: int) -> Iterator[list[str]]:
     part: list[str] = []
     for item in items:
