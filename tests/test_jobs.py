@@ -12,7 +12,7 @@ from twinsift.functions.paths import (
     has_extension, human_size, inside_root, normalize_ext, now_rfc3339, parse_extensions, plain_uri, relative_path, verdict,
 )
 from twinsift.operators.clean import plan_clean, plan_deletions, reconcile
-from twinsift.operators.find import find, find_batch
+from twinsift.operators.find import _heads, find, find_batch
 from twinsift.operators.group import prune_pixel_hash, scan
 from twinsift.operators.index import cache_hits, cache_misses, collect_garbage, index, latest, orphans, read_index, refresh
 from twinsift.operators.names import unique_paths
@@ -77,6 +77,27 @@ def test_find_batch_equals_single_finds(spark):
     assert best == {k: [(m.path, m.tier, m.hamming) for m in v[:3]] for k, v in singles.items() if v}
 
 
+def test_find_batch_meets_heads_only(spark):
+    """5,000 records on one fingerprint: as many contents, then one content."""
+    rows = [rec(f"p{i:04d}", i, sha=f"s{i}", pixel=f"x{i // 2}", phash=7) for i in range(5_000)]
+    rows += [rec(f"q{i:04d}", i, sha="same", pixel="same", phash=3) for i in range(5_000)]
+    pool = records(spark, rows)
+    assert _heads(pool, ["phash"], 3).count() == 8 and _heads(pool, ["sha256", "phash"], 3).count() == 5_004
+    queries = pool.select(
+        F.col("path").alias("query_id"), "sha256", "pixel_sha256", "phash", F.col("path").alias("query_path")
+    )
+    found = find_batch(queries, pool, 1, top=3)
+    answers = {}
+    for r in found.collect():
+        answers.setdefault(r.query_id, []).append((r["rank"], r.path, r.tier, r.hamming))
+    assert len(answers) == 10_000
+    # Each joined to at most four rows of each tier, against 5,000 or 10,000 before.
+    want = [(1, "p0000", "pixel", 0), (2, "p0002", "perceptual", 0), (3, "p0003", "perceptual", 0)]
+    assert sorted(answers["p0001"]) == want
+    assert sorted(answers["q0001"]) == [(n + 1, p, "exact", 0) for n, p in enumerate(["q0000", "q0002", "q0003"])]
+    assert sorted(answers["p4000"])[0] == (1, "p4001", "pixel", 0)
+
+
 def test_pixel_prune_hides_cross_size_twins_from_scan_only(spark):
     """Equal bytes at other dimensions: find sees the pixel tier, a pruned scan has no group."""
     rows = [rec("a", w=8, h=4, sha="1", pixel="P", phash=1), rec("b", w=4, h=8, sha="2", pixel="P", phash=6)]

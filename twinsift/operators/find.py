@@ -87,8 +87,15 @@ def find_batch(
     ``queries`` has ``query_id``, ``sha256``, ``pixel_sha256``, ``phash`` and ``query_path`` (null
     where the query is not one of the records). Copies among the queries are looked up once. The
     tiers are three equi-joins that exclude each other: content hash, pixel hash, and the banded
-    join of distinct fingerprints. With ``top`` each stage hands on only the best rows per query
-    (``top + 1``, as a query may have to leave itself out), cut down before the shuffle.
+    join of distinct fingerprints.
+
+    With ``top`` no join meets the records themselves, but tables of heads: of all records with one
+    content (pixel) hash and fingerprint, and of all with one fingerprint, the first ``top + 1`` paths
+    (a query may have to leave itself out). All records behind a head are at the same distance from
+    any query and come later in path order, and those before it are as good or better in tier, so
+    nothing that ranks is lost. Matches of a fingerprint are cut to ``top + 1`` before they meet the
+    queries that have it: at most ``3 (top + 1)`` rows for each content asked for, however many
+    records share its hashes. Heads are cut before the shuffle, so a hot hash stays small.
     """
     content = ["sha256", "pixel_sha256", "phash"]
     distinct = stage(queries.select(*content).distinct(), "query-contents").select(
@@ -97,8 +104,9 @@ def find_batch(
     other_sha = F.col("sha256") != F.col("q_sha256")
     other_pixel = ~F.coalesce(F.col("pixel_sha256") == F.col("q_pixel_sha256"), F.lit(False))
 
-    exact = records.join(distinct, F.col("sha256") == F.col("q_sha256")).withColumn("tier", F.lit("exact"))
-    pixel = records.join(
+    by_sha, by_pixel, by_phash = (_heads(records, keys, top) for keys in (["sha256", "phash"], ["pixel_sha256", "phash"], ["phash"]))
+    exact = by_sha.join(distinct, F.col("sha256") == F.col("q_sha256")).withColumn("tier", F.lit("exact"))
+    pixel = by_pixel.join(
         distinct, (F.col("pixel_sha256") == F.col("q_pixel_sha256")) & other_sha
     ).withColumn("tier", F.lit("pixel"))
 
@@ -108,9 +116,12 @@ def find_batch(
     )
     near = hamming_join(asked, known, threshold, seen["rows"])
     near = near.select(F.col("p_phash").alias("q_phash"), F.col("b_phash").alias("phash"))
+    by_query = by_phash.join(near, "phash")
+    if top is not None:
+        nearest = Window.partitionBy("q_phash").orderBy(hamming("phash", "q_phash"), "path")
+        by_query = _first(by_query, nearest, top + 1)
     perceptual = (
-        records.join(near, "phash")
-        .join(distinct, "q_phash")
+        by_query.join(distinct, "q_phash")
         .where(other_sha & other_pixel)
         .withColumn("tier", F.lit("perceptual"))
     )
@@ -122,7 +133,7 @@ def find_batch(
     order = [tier_rank("tier"), F.col("hamming"), F.col("path")]
     if top is not None:
         per_content = Window.partitionBy(*[f"q_{c}" for c in content]).orderBy(*order)
-        hits = hits.withColumn("_n", F.row_number().over(per_content)).where(F.col("_n") <= top + 1).drop("_n")
+        hits = _first(hits, per_content, top + 1)
 
     same = [F.col(c).eqNullSafe(F.col(f"q_{c}")) for c in content]
     answered = queries.join(hits, same)
@@ -134,6 +145,18 @@ def find_batch(
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", *MATCH_COLUMNS)
 
 
+def _first(rows: DataFrame, window, n: int) -> DataFrame:
+    """The first ``n`` rows of each window; Spark cuts each task's share before it shuffles."""
+    return rows.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= n).drop("_n")
+
+
+def _heads(records: DataFrame, keys: list[str], top: int | None) -> DataFrame:
+    """The records that can rank among the best ``top`` by their first key; all of them without ``top``."""
+    if top is None:
+        return records
+    return _first(records.where(F.col(keys[0]).isNotNull()), Window.partitionBy(*keys).orderBy("path"), top + 1)
+
+
 def find_stats(records: DataFrame, matches: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """One row: records searched, skipped, matches reported."""
     one = F.lit(1).alias("_one")
