@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tests.helpers import brute_components, brute_pairs, distance, rec, records
 from twinsift.functions.bits import signed64
-from twinsift.operators import components
+from twinsift.operators import components, group
 from twinsift.operators.components import connected_components
 from twinsift.operators.diameter import max_hamming
-from twinsift.operators.group import fingerprint_components, prune_pixel_hash, scan
-from twinsift.operators.hamming import choose_bands, layout, similar_pairs
+from twinsift.operators.group import _merge_dense, fingerprint_components, prune_pixel_hash, scan
+from twinsift.operators.hamming import _volume, choose_bands, layout, region_links, similar_pairs, split_radius
 from twinsift.operators.lookup import expand_join
 from twinsift.operators.positions import with_position
 
@@ -197,9 +197,52 @@ def test_hot_band_keys_are_split_exactly(spark, threshold):
     assert set(got) == brute_pairs(values, threshold)
 
 
-@pytest.mark.parametrize("hot_rows,short", [(3, 10**6), (10**6, 10**6), (3, 0)])
-def test_components_equal_union_find(spark, monkeypatch, hot_rows, short):
+@pytest.mark.parametrize("threshold,hot_bucket", [(8, 10**6), (10, 10**6), (10, 40)])
+def test_two_sided_bands_equal_brute_force(spark, threshold, hot_bucket):
+    """Layouts of a billion rows: wide bands, keys flipped on both sides, pairs that meet at many keys."""
+    assert any(split_radius(b.width, b.radius, 10**9)[1] for b in choose_bands(threshold, 10**9))
+    values = clustered(random.Random(threshold), 60, 6)
+    pairs = similar_pairs(frame(spark, values), threshold, 10**9, hot_bucket=hot_bucket).collect()
+    got = [(r.a, r.b, r.distance) for r in pairs]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(values, threshold)
+
+
+def test_two_sided_bands_cost_less():
+    """Candidates of a row at 1e9 rows and 10 bits, against the one-sided layout with the fewest."""
+    rows = 10**9
+    met = lambda bands, shares: sum(
+        _volume(b.width, p) * _volume(b.width, q) * rows / 2**b.width for b, (p, q) in zip(bands, shares)
+    )
+    chosen = choose_bands(10, rows)
+    two = met(chosen, [split_radius(b.width, b.radius, rows) for b in chosen])
+    one_sided = [layout(n, 10) for n in range(2, 12)]
+    one_sided = [bands for bands in one_sided if max(b.volume for b in bands) <= 5_000]
+    one = min(met(bands, [(b.radius, 0) for b in bands]) for bands in one_sided)
+    assert two < one / 2 and one > 1_400_000
+
+
+def test_dense_neighbours_take_linear_work(spark):
+    """Two balls of fingerprints, near each other: heads link them, so no row of one meets all rows of the other."""
+    rng = random.Random(3)
+    base, far = rng.getrandbits(64), sum(1 << b for b in (1, 9, 22, 35, 48, 60))
+    values = {}
+    for label, centre in ((0, base), (1, base ^ far), (2, ~base & (2**64 - 1))):
+        for _ in range(3_000):
+            values[signed64(centre ^ sum(1 << b for b in rng.sample(range(64), 2)))] = label
+    table = spark.createDataFrame(list(values.items()), "phash long, region int")
+    links = region_links(table, "region", 6, len(values))
+    assert [tuple(r) for r in links.collect()] == [(0, 1)]
+    merged = table.select("phash", F.col("region").cast("bigint").alias("component"))
+    after = _merge_dense(merged, 6, len(values), 10**6).groupBy("component").count().collect()
+    assert len(after) == 2
+    left = similar_pairs(table.withColumn("region", F.col("region") % 2), 6, len(values), differ_in="region")
+    assert left.count() > 0
+
+
+@pytest.mark.parametrize("hot_rows,short,last", [(3, 10**6, 0), (10**6, 10**6, 0), (3, 0, 0), (3, 0, 50), (3, 0, 10**6)])
+def test_components_equal_union_find(spark, monkeypatch, hot_rows, short, last):
     monkeypatch.setattr(components, "SHORT_TABLE", short)
+    monkeypatch.setattr(components, "LAST_EDGES", last)
     rng = random.Random(2)
     nodes = list(range(120))
     edges = [(i, i + 1) for i in range(0, 39)]  # a long chain
@@ -214,8 +257,9 @@ def test_components_equal_union_find(spark, monkeypatch, hot_rows, short):
     assert {frozenset(g) for g in found.values()} == want
 
 
-@pytest.mark.parametrize("threshold", [2, 4, 10])
-def test_merge_first_gives_the_same_components(spark, threshold):
+@pytest.mark.parametrize("threshold,dense", [(2, 256), (4, 2), (10, 2), (10, 256)])
+def test_merge_first_gives_the_same_components(spark, monkeypatch, threshold, dense):
+    monkeypatch.setattr(group, "DENSE", dense)
     values = clustered(random.Random(threshold), 200, 8)
     df = frame(spark, values)
     want = brute_components(values, [(a, b) for a, b, _ in brute_pairs(values, threshold)])

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from twinsift.operators.components import connected_components
 from twinsift.operators.diameter import max_hamming
-from twinsift.operators.hamming import HOT_BUCKET, similar_pairs
+from twinsift.operators.hamming import HOT_BUCKET, region_links, similar_pairs
 from twinsift.operators.lookup import HOT_ROWS, expand_join
 from twinsift.operators.positions import with_position
 from twinsift.operators.storage import stage, stage_measured
 from twinsift.schemas import DEFAULT_THRESHOLD, HASH_BITS, check_strictness
 
+# Regions of so many fingerprints merge with their neighbours by heads before rows are paired.
+DENSE = 256
+
 GROUP_COLUMNS = [
     "group_id", "strictness", "keeper", "first_path", "n_members", "reclaimable_bytes",
     "auto_deletable", "max_hamming",
@@ -124,8 +127,9 @@ def fingerprint_components(
 
     ``component`` is one of the component's fingerprints. First crowded regions merge at linear cost:
     fingerprints that agree outside a window of ``threshold`` bits are within the threshold for
-    certain, so each links to the smallest of its window key. Pairs are then formed between different
-    merged regions only. Each task reduces its pairs to pairs of regions before anything is written,
+    certain, so each links to the smallest of its window key. Regions that hold many fingerprints then
+    merge with their neighbours by one head per band key and region. Pairs are formed between regions
+    that are still different. Each task reduces its pairs to pairs of regions before anything is written,
     so a dense cluster lists neither its own pairs nor all pairs with its neighbours.
     """
     only = fingerprints.select("phash")
@@ -136,6 +140,7 @@ def fingerprint_components(
         return only.withColumn("component", F.col("phash"))
 
     merged = stage(_label(only, connected_components(_window_links(only, threshold, hot_rows), hot_rows)), "merged")
+    merged = _merge_dense(merged, threshold, rows, hot_rows)
     across = similar_pairs(merged, threshold, rows, differ_in="component", hot_bucket=hot_bucket)
     links = across.select(
         F.least("a_component", "b_component").alias("a"), F.greatest("a_component", "b_component").alias("b")
@@ -150,6 +155,20 @@ def fingerprint_components(
     return labelled.select("phash", F.coalesce("top", "component").alias("component"))
 
 
+def _merge_dense(merged: DataFrame, threshold: int, rows: int, hot_rows: int) -> DataFrame:
+    """``merged`` with regions of ``DENSE`` fingerprints or more joined, as far as their heads link them."""
+    sizes = merged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    dense, seen = stage_measured(sizes.where(F.col("n") >= DENSE), "dense-regions", regions=F.count(F.lit(1)))
+    if seen["regions"] < 2:
+        return merged
+    inside = expand_join(merged, dense, "component", "n", max_weight=rows, hot_rows=hot_rows)
+    links = region_links(inside.select("phash", "component"), "component", threshold, rows)
+    joined = connected_components(links, hot_rows).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    joined = joined.join(dense, "component")
+    moved = expand_join(merged, joined, "component", "n", how="left", max_weight=rows, hot_rows=hot_rows)
+    return stage(moved.select("phash", F.coalesce("to", "component").alias("component")), "merged")
+
+
 def _window_links(fingerprints: DataFrame, threshold: int, hot_rows: int) -> DataFrame:
     """Edges from each fingerprint to the smallest one that agrees outside a window of bits."""
     keys = []

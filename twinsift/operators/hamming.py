@@ -1,9 +1,12 @@
 """Exact similarity joins on 64-bit fingerprints.
 
 Two fingerprints within ``T`` bits must be close in at least one of ``m`` bands: with radii chosen so
-that ``sum(radius + 1) = T + 1``, exceeding every radius would already cost more than ``T`` bits. So
-one side is expanded to every band key within the radius, the other keeps its own band keys, and the
-pair meets in a plain equi-join that verifies the full distance. Nothing approximate is involved.
+that ``sum(radius + 1) = T + 1``, exceeding every radius would already cost more than ``T`` bits. A band's
+radius is split over both sides: each row is expanded to every band key within its side's share, and
+the pair meets in a plain equi-join that verifies the full distance. Two small balls of keys hold far
+fewer rows than one of the whole radius, so bands can be wide, and wide bands have few candidates.
+A pair may then meet at several keys: it is kept where the probe side has flipped the lowest of the
+bits that differ. Nothing approximate is involved.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ BLOCK_ROWS = 8_192
 # A verified candidate costs about this share of a shuffled probe row.
 _CANDIDATE_COST = 0.05
 # Longest list of bit flips kept as a literal in the plan.
-_MAX_FLIPS = 5_000
+_MAX_FLIPS = 6_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ class Band:
 
     @property
     def volume(self) -> int:
-        return sum(comb(self.width, r) for r in range(self.radius + 1))
+        return _volume(self.width, self.radius)
 
     def flips(self) -> list[int]:
         """All xor patterns of the band with at most ``radius`` bits, as BIGINT values."""
@@ -55,6 +58,23 @@ class Band:
         ]
 
 
+def _volume(width: int, radius: int) -> int:
+    return sum(comb(width, r) for r in range(radius + 1))
+
+
+def _side_cost(width: int, probe: int, build: int, rows: int) -> float:
+    """Rows and candidates of one band, for each row of a table of ``rows``."""
+    keys, own = _volume(width, probe), _volume(width, build)
+    return keys + own - 1 + _CANDIDATE_COST * rows * keys * own / 2**width
+
+
+def split_radius(width: int, radius: int, rows: int) -> tuple[int, int] | None:
+    """The cheapest shares of probe and build side in a band's radius; None where each is too large a list."""
+    shares = [(radius - build, build) for build in range(radius // 2 + 1)]
+    shares = [pair for pair in shares if _volume(width, pair[0]) <= _MAX_FLIPS]
+    return min(shares, key=lambda pair: _side_cost(width, *pair, rows), default=None)
+
+
 def _radii(count: int, threshold: int) -> list[int]:
     share, extra = divmod(threshold + 1, count)
     return [share - 1 + (i < extra) for i in range(count)]
@@ -71,7 +91,7 @@ def layout(count: int, threshold: int) -> list[Band]:
 
 
 def _cost(bands: list[Band], rows: int) -> float:
-    return sum(b.volume * (1 + _CANDIDATE_COST * rows / 2**b.width) for b in bands)
+    return sum(_side_cost(b.width, *split_radius(b.width, b.radius, rows), rows) for b in bands)
 
 
 def choose_bands(threshold: int, rows: int) -> list[Band] | None:
@@ -80,7 +100,7 @@ def choose_bands(threshold: int, rows: int) -> list[Band] | None:
     More rows ask for wider bands (fewer candidates), fewer rows for narrow bands (fewer probes).
     """
     options = [layout(count, threshold) for count in range(2, threshold + 2)] or [layout(1, 0)]
-    options = [bands for bands in options if max(b.volume for b in bands) <= _MAX_FLIPS]
+    options = [bands for bands in options if all(split_radius(b.width, b.radius, rows) for b in bands)]
     if not options:
         return None
     best = min(options, key=lambda bands: _cost(bands, rows))
@@ -139,21 +159,52 @@ def _bigints(values: list[int]) -> Column:
     return F.expr("array(" + ", ".join(f"{v}L" if v >= 0 else f"({v + 1}L - 1L)" for v in values) + ")")
 
 
-def _explode_near(df: DataFrame, bands: list[Band], level: int, threshold: int) -> DataFrame:
-    """One row per usable band and per key within the band's radius."""
-    df = _explode_own(df, bands, level, threshold, "p")
-    _, wide, narrow_radius, wide_radius = _pieces(level, bands, threshold, "p")
-    flips = F
+def _shares(bands: list[Band], level: int, threshold: int, side: str, rows: int) -> list[tuple[Column, Band, int, int]]:
+    """Cases of band and radius at a level, the first that holds applies: condition, band, shares of both sides.
+
+    A band too wide for its radius at a deeper level is flipped by the probe side alone, as far as it must.
+    """
+    _, wide, narrow_radius, wide_radius = _pieces(level, bands, threshold, side)
+    cases = []
     for b in bands:
-        here = F.col(f"p_band{level}") == b.number
+        here = F.col(f"{side}_band{level}") == b.number
         for condition, radius in ((here & wide, wide_radius), (here, narrow_radius)):
-            values = Band(b.number, b.shift, b.width, max(radius, 0)).flips()
-            flips = flips.when(condition, _bigints(values))
-    key = f"p_key{level}"
+            radius = max(radius, 0)
+            cases.append((condition, b, *(split_radius(b.width, radius, rows) or (radius - radius // 2, radius // 2))))
+    return cases
+
+
+def _explode_near(df: DataFrame, bands: list[Band], level: int, threshold: int, side: str, rows: int) -> DataFrame:
+    """One row per usable band and per key within the side's share of the band's radius."""
+    df = _explode_own(df, bands, level, threshold, side)
+    cases = [(condition, b, shares[side == "b"]) for condition, b, *shares in _shares(bands, level, threshold, side, rows)]
+    if not any(radius for _, _, radius in cases):
+        return df
+    flips = F
+    for condition, b, radius in cases:
+        flips = flips.when(condition, _bigints(Band(b.number, b.shift, b.width, radius).flips()))
+    key = f"{side}_key{level}"
     df = df.withColumn("_flip", F.explode(flips))
     return df.withColumn(key, F.col(key).bitwiseXOR(F.col("_flip"))).drop("_flip")
 
 
+def _first_meeting(bands: list[Band], level: int, threshold: int, rows: int) -> Column:
+    """Whether the probe side has flipped the lowest bits that differ in this band: true at one key for each pair."""
+    cases = _shares(bands, level, threshold, "p", rows)
+    if not any(build for *_, build in cases):
+        return F.lit(True)
+    kept = F
+    for condition, b, probe, _ in cases:
+        place = lambda v: F.shiftrightunsigned(v.bitwiseAND(F.lit(signed64(b.mask)).cast("bigint")), b.shift)  # noqa: B023, E731
+        differ = place(F.col("p_phash").bitwiseXOR(F.col("b_phash")))
+        flipped = place(F.col(f"p_key{level}").bitwiseXOR(F.col("p_phash")))
+        rest = differ
+        for _ in range(probe):
+            rest = rest.bitwiseAND(rest - 1)
+        kept = kept.when(condition, flipped.bitwiseXOR(rest) == differ)
+    return kept
+
+
 def _first_match(bands: list[Band], level: int, threshold: int) -> Column:
     """First usable band in which the pair is within the radius: the pair is kept there only."""
     share, extra = divmod(threshold + 1, len(bands) - level)
@@ -208,10 +259,11 @@ def hamming_join(
     pairs: DataFrame | None = None
     for level in range(len(bands)):
         # A short table may sit in one file; its expansion and the candidates are what takes time.
-        p = _explode_near(p.repartition(tasks, "p_phash"), bands, level, threshold)
-        b = _explode_own(b, bands, level, threshold, "b")
+        p = _explode_near(p.repartition(tasks, "p_phash"), bands, level, threshold, "p", rows)
+        b = _explode_near(b, bands, level, threshold, "b", rows)
         keys += [f"band{level}", f"key{level}"]
         accept = accept & (_first_match(bands, level, threshold) == F.col(f"p_band{level}"))
+        accept = accept & _first_meeting(bands, level, threshold, rows)
         hot = None if level == 0 and rows <= hot_bucket else _hot_keys(b, keys, hot_bucket)
         if hot is None:
             return _join_all(pairs, _meet(p, b, keys, accept).select(*out), distance)
@@ -274,6 +326,26 @@ def _block_join(p: DataFrame, b: DataFrame, on: tuple[str, ...], accept: Column,
     return pairs.drop("p_block", "b_block")
 
 
+def region_links(regions: DataFrame, label: str, threshold: int, rows: int) -> DataFrame:
+    """Some of the pairs ``(a, b)`` of labels that have fingerprints within ``threshold`` bits.
+
+    In each band key a region is represented by one row, its head, which meets all rows of the other
+    regions there. The work grows with rows times regions of a key, never with pairs of rows.
+    """
+    bands = choose_bands(threshold, rows)
+    if bands is None:
+        return regions.select(F.col(label).alias("a"), F.col(label).alias("b")).limit(0)
+    sides = []
+    for side in "pb":
+        own = regions.select(F.col("phash").alias(f"{side}_phash"), F.col(label).alias(f"{side}_label"))
+        sides.append(_explode_near(own, bands, 0, threshold, side, rows))
+    p, b = sides
+    heads = b.groupBy("b_band0", "b_key0", "b_label").agg(F.min("b_phash").alias("b_phash"))
+    near = (hamming("p_phash", "b_phash") <= threshold) & (F.col("p_label") != F.col("b_label"))
+    met = _meet(p, heads, ["band0", "key0"], near)
+    return met.select(F.least("p_label", "b_label").alias("a"), F.greatest("p_label", "b_label").alias("b")).distinct()
+
+
 def similar_pairs(
     fingerprints: DataFrame,
     threshold: int,
