@@ -81,11 +81,11 @@ _LETTER = r"[^\W\d_]"
 # A disguise: signs next to letters, three of a letter, or single letters set apart by one sign.
 _SPACED = re.compile(rf"(?<![\w{_SIGN_CLASS}])(?:[{_SIGN_CLASS}]|{_LETTER})(?:([ .\-_])(?:[{_SIGN_CLASS}]|{_LETTER}))(?:\1(?:[{_SIGN_CLASS}]|{_LETTER}))+(?![\w{_SIGN_CLASS}])")
 # Runs are found first and tested one by one, each in time linear in its length, however long it is.
-_RUN = re.compile(rf"(?<![.\-])(?<![{_SIGN_CLASS}\w])[{_SIGN_CLASS}\w]{{3,}}+(?!-|\.\w)")
+_RUN = re.compile(rf"(?<![.\-{_SIGN_CLASS}\w])(?=[^\W\d]*+[{_SIGN_CLASS}])[{_SIGN_CLASS}\w]{{3,}}+(?!-|\.\w)")
 _BEGINS = re.compile(rf"[{_SIGN_CLASS}]*+{_LETTER}")
 _SIGN_INSIDE = re.compile(rf"[{_SIGN_CLASS}]{_LETTER}")
 _SIGNS_BEHIND = re.compile(rf"{_LETTER}++[{_SIGN_CLASS}]++")
-_LETTERS = re.compile(rf"{_LETTER}{{3,}}+")
+_LETTERS = re.compile(rf"{_LETTER}++")
 _ANY_SIGN = re.compile(rf"[{_SIGN_CLASS}]{_LETTER}|{_LETTER}[{_SIGN_CLASS}]")
 _WORDS = re.compile(r"[^\W_]+")
 _SINGLE = re.compile(r"(?:^|[^\w])\w[ .\-_]\w[ .\-_]\w(?!\w)")
@@ -139,6 +139,11 @@ class Decoder:
     sign_cost: float = 0.5
     run_cost: float = 0.5
     known: dict[str, str] = field(default_factory=dict)
+    table: list = field(init=False)
+
+    def __post_init__(self) -> None:
+        # Plain lists are read one number at a time several times faster than an array.
+        self.table = self.log_p.tolist()
 
     @classmethod
     def from_counts(cls, counts: np.ndarray) -> "Decoder":
@@ -181,6 +186,7 @@ class Decoder:
     def _best(self, word: str) -> str:
         # A path is its cost and a link to its last letters and the path before; only the best one is spelled out.
         paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(_EDGE, _EDGE): (0.0, None)}
+        table = self.table
         for options in self._lattice(word):
             following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, before) in paths.items():
@@ -189,13 +195,13 @@ class Decoder:
                     for letter in letters:
                         z = self._code(letter)
                         # The step from the edge has no trigram of its own.
-                        total -= self.log_p[x, y, z] if (x, y) != (_EDGE, _EDGE) else 0.0
+                        total -= table[x][y][z] if x != _EDGE or y != _EDGE else 0.0
                         x, y = y, z
                     held = following.get((x, y))
                     if held is None or total < held[0]:
                         following[x, y] = (total, (letters, before))
             paths = following
-        ends = [(cost - self.log_p[a, b, _EDGE], spelled) for (a, b), (cost, spelled) in paths.items()]
+        ends = [(cost - table[a][b][_EDGE], spelled) for (a, b), (cost, spelled) in paths.items()]
         least = min(cost for cost, _ in ends)
         return min(_spell(spelled) for cost, spelled in ends if cost == least)
 
@@ -207,7 +213,7 @@ class Decoder:
         if _ANY_SIGN.search(text):
             found += [self.decode(m.group(0)) for m in _RUN.finditer(text) if _mixed(text, m)]
         if _TRIPLE.search(text):
-            found += [self.decode(word) for word in _LETTERS.findall(text) if _TRIPLE.search(word)]
+            found += [self.decode(word) for word in _drawn_out(text)]
         return found
 
 
@@ -219,6 +225,23 @@ def _spell(path: tuple | None) -> str:
     return "".join(reversed(parts))
 
 
+def _drawn_out(text: str) -> Iterable[str]:
+    """Words with a letter three times or more in a row; each is looked at once."""
+    end = 0
+    for triple in _TRIPLE.finditer(text):
+        if triple.start() < end:
+            continue
+        start = triple.start()
+        while start > end and _is_letter(text[start - 1]):
+            start -= 1
+        end = _LETTERS.match(text, start).end()
+        yield text[start:end]
+
+
+def _is_letter(sign: str) -> bool:
+    return sign.isalnum() and not sign.isdecimal()
+
+
 def _mixed(text: str, run: re.Match) -> bool:
     """Whether a run of letters and signs is a disguised word: a sign before a letter, or signs that end it."""
     word = run.group(0)
