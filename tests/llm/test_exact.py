@@ -1,5 +1,6 @@
 """Operators with exact results, against brute force on odd rows and on the smallest table."""
 
+import numpy as np
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -9,7 +10,7 @@ from twinsift.llm.chosen_path import keep_one, near_duplicates
 from twinsift.llm.isolation import judge
 from twinsift.llm.licenses import scan_licenses
 from twinsift.llm.line_spread import dedup_lines, remove_boilerplate
-from twinsift.llm.packing import Bins, cut, pack, sequences
+from twinsift.llm.packing import Bins, pack, sequences
 from twinsift.llm.pii import Model, find_spans, fit, personal_data, redact
 from twinsift.llm.suffixes import contamination, decontaminate, match_items, search, suffix_array
 from twinsift.llm.token_store import read_store, write_store
@@ -79,18 +80,41 @@ def test_packing_keeps_ids(llm, given):
         assert (len(joined), zlib.crc32(joined)) == (4 * n, crc)
 
 
-def test_bins_have_no_gap():
-    bins, lengths = Bins(3, 64), [1, 5, 63, 64, 65, 130, 7, 7, 7]
-    placed = [p for i, n in enumerate(lengths) for part in cut(n, 64) for p in bins.add((i, part), part)] + bins.finish()
-    assert sum(part for (_, part), _, _ in placed) == sum(lengths)
-    by = {}
-    for (_, part), sequence, offset in placed:
-        by.setdefault(sequence, []).append((offset, part))
+@pytest.mark.parametrize("most_short", [0, 1, 64])
+@pytest.mark.parametrize("seed", range(6))
+def test_bins_have_no_gap(seed, most_short):
+    random = np.random.default_rng(seed)
+    lengths = [[1, 5, 63, 64, 65, 130, 7, 7, 7], [33] * 50, [1] * 130, [64] * 3][seed] if seed < 4 else random.integers(1, 150, 400).tolist()
+    bins, placed = Bins(3, 64, most_short), []
+    for i, n in enumerate(lengths):
+        placed += bins.add(i, 0, n)
+        assert len(bins.short) <= most_short + 1 and len(bins.open) < 16
+        assert all(len(b.pieces) < k for k, b in bins.open.items())
+    placed += bins.finish()
+    by, parts_of = {}, {}
+    for doc, start, length, sequence, offset in placed:
+        by.setdefault(sequence, []).append((offset, length))
+        parts_of.setdefault(doc, []).append((start, length))
+    for doc, n in enumerate(lengths):
+        parts = sorted(parts_of[doc])
+        assert [s for s, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) == n
     for parts in by.values():
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
         total = sum(n for _, n in parts)
         assert total & (total - 1) == 0
+    assert len(placed) <= len(lengths) + len(by)
+
+
+def test_full_class_bins_hold_a_fixed_number_of_documents():
+    bins = Bins(0, 60)
+    placed = [p for i in range(12) for p in bins.add(i, 0, 20)]
+    assert [[p[0] for p in placed if p[3] == s] for s in range(4)] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11]]
+
+
+def test_documents_mostly_stay_whole(llm, given):
+    found = pack(given, WORDS).where("doc_tokens <= 4096").groupBy("doc_id").count().collect()
+    assert sum(r["count"] for r in found) <= 1.5 * len(found)
 
 
 @pytest.mark.parametrize("query_bytes", [45, 8 << 20])
