@@ -212,6 +212,16 @@ def sequential_names(bases):
     return out
 
 
+def test_struck_numbers_are_passed_block_by_block(spark):
+    rng = random.Random(5)
+    bases = [f"a ({rng.randint(2, 60)}).png" for _ in range(30)] + ["a.png"] * 40 + ["b.png"] * 3
+    df = spark.createDataFrame(list(enumerate(bases)), "i long, base string")
+    want = sequential_names(bases)
+    for block_ranks in (1, 7, 100):
+        got = unique_paths(df, "base", "i", block_ranks=block_ranks).orderBy("i").collect()
+        assert [r.path for r in got] == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_unique_paths_equal_sequential_naming(spark, seed):
     rng = random.Random(seed)

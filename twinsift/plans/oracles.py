@@ -436,6 +436,15 @@ ORACLES: dict[str, str] = {
     "unique_names": """SELECT doc_id, source || '.txt' AS name, CASE WHEN n = 1 THEN source || '.txt'
         ELSE source || ' (' || n || ').txt' END AS path
         FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)""",
+    "taken_names": """WITH named AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 3 THEN doc_id % 47 + 2 END AS k FROM documents),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY doc_id) AS n FROM named),
+        numbers AS (SELECT source, unnest(generate_series(1, count(*) + 48)) AS k FROM documents GROUP BY source),
+        free AS (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY k) AS n
+            FROM numbers ANTI JOIN (SELECT source, k FROM named WHERE k IS NOT NULL) USING (source, k))
+        SELECT doc_id, source || ' (' || k || ').txt' AS name,
+            source || ' (' || k || CASE WHEN n = 1 THEN ').txt' ELSE ') (' || n || ').txt' END AS path FROM ranked WHERE k IS NOT NULL
+        UNION ALL SELECT doc_id, source || '.txt', source || CASE WHEN f.k = 1 THEN '.txt' ELSE ' (' || f.k || ').txt' END
+        FROM ranked r JOIN free f USING (source, n) WHERE r.k IS NULL""",
     "page_formats": """SELECT page_id, ext, CASE ext WHEN 'jpg' THEN 'jpeg' WHEN 'tif' THEN 'tiff' ELSE ext END AS format,
         ext IN ('html', 'htm') AS listed
         FROM (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([^./]+)$', 1)) AS ext FROM pages)""",

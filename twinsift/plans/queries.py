@@ -452,6 +452,18 @@ def unique_names(spark, sf_dir):
     return unique_paths(names, "name", "doc_id").select("doc_id", "name", "path")
 
 
+def taken_names(spark, sf_dir):
+    """The same, where a tenth of the documents came before the others, under names that bear a number already."""
+    docs = _table(spark, sf_dir, "documents")
+    early = F.col("doc_id") % 10 == 3
+    number = F.when(early, F.format_string(" (%d)", F.col("doc_id") % 47 + 2)).otherwise("")
+    names = docs.select(
+        "doc_id", F.concat("source", number, F.lit(".txt")).alias("name"),
+        F.when(early, F.col("doc_id") - (1 << 60)).otherwise(F.col("doc_id")).alias("turn"),
+    )
+    return unique_paths(names, "name", "turn").select("doc_id", "name", "path")
+
+
 def page_formats(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").withColumn("plain", F.regexp_replace("url", "[?#].*$", ""))
     return pages.select(
@@ -519,7 +531,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flatten_and_gray, raster_fingerprint, compare_vectors, highlight_vectors,
         latest_index, incremental_hits, incremental_misses, orphan_entries, index_after_gc,
         text_balance, skipped_items, indexed_pages, indexed_vectors, stream_index,
-        unique_names, page_formats, page_paths, readable_sizes, event_times,
+        unique_names, taken_names, page_formats, page_paths, readable_sizes, event_times,
         scan_document, scan_summary, find_document, clean_document,
     )
 }
