@@ -131,19 +131,19 @@ def _large(sets: DataFrame, stats: DataFrame, hot_rows: int, hot_bucket: int) ->
 
 
 def _wider_by_bands(live: DataFrame, hot_bucket: int) -> DataFrame:
-    gap = live.agg(F.max("gap")).first()[0]
-    rows = live.count()
-    if gap is None:
-        gap, rows = 0, 0
-    mirrored = live.select(
-        "component", F.col("phash").bitwiseXOR(F.col("varying")).alias("phash"), "varying", "gap"
-    )
-    pairs = hamming_join(
-        mirrored, live.select("component", "phash"), max(gap, 0), rows, on=("component",),
-        keep=hamming("p_phash", "b_phash") <= F.col("p_gap"), hot_bucket=hot_bucket,
-    )
-    width = (F.bit_count("p_varying") - F.col("distance")).cast("int")
-    return pairs.groupBy(F.col("p_component").alias("component")).agg(F.max(width).alias("max_hamming"))
+    """One join per gap that occurs, so a group is searched no further than its own gap asks for."""
+    # One row per gap, of which there are at most _MAX_COMPLEMENT + 1.
+    sizes = live.groupBy("gap").count().orderBy("gap").collect()
+    wider = live.select("component", F.lit(None).cast("int").alias("max_hamming")).where(F.lit(False))
+    for gap, rows in sizes:
+        group = live.where(F.col("gap") == gap)
+        mirrored = group.select("component", F.col("phash").bitwiseXOR(F.col("varying")).alias("phash"), "varying")
+        pairs = hamming_join(
+            mirrored, group.select("component", "phash"), gap, rows, on=("component",), hot_bucket=hot_bucket
+        )
+        width = (F.bit_count("p_varying") - F.col("distance")).cast("int")
+        wider = wider.union(pairs.groupBy(F.col("p_component").alias("component")).agg(F.max(width).alias("max_hamming")))
+    return wider
 
 
 def _wider_by_blocks(live: DataFrame, hot_rows: int) -> DataFrame:
