@@ -1,6 +1,7 @@
 """Adapters and the image folder, batch and streaming."""
 
 import hashlib
+import os
 import struct
 import zlib
 
@@ -12,10 +13,10 @@ from twinsift.functions import kernels
 from twinsift.operators.clean import plan_clean
 from twinsift.operators.group import scan
 from twinsift.operators.index import index, latest, read_index, refresh, to_records
-from twinsift.sources.images import _list_level, folder_rasters, hash_folder, hash_listed, list_everything, list_images
+from twinsift.sources.images import _list_level, folder_rasters, hash_folder, hash_listed, keep_contents, list_everything, list_images
 from twinsift.sources.text import hashed_texts, text_raster, text_records
 from twinsift.sources.vectors import hashed_vectors, vector_rasters
-from twinsift.streaming.ingest import open_retries, stream_images
+from twinsift.streaming.ingest import follow_images, open_retries, stream_images
 
 
 def png(pixels):
@@ -102,12 +103,32 @@ def test_no_file_is_lost(spark, folder):
     pixels = {r.path: (r.pixel_sha256, r.sha256, r.format) for r in hashed if not r.error}
     assert pixels["_x.png"] == pixels[".x.png"] == pixels[".hid/y.png"] == pixels["_sub/_w.png"] == pixels["a.png"]
 
+    turned = {r.path: (r.width, r.height) for r in hash_folder(spark, str(root), orientation=F.lit(6)).collect()}
+    assert turned["_x.png"] == turned["a.png"] == (12, 10)
     whole = index(hash_folder(spark, str(root)))
     records, skipped = ([r.path for r in df.collect()] for df in (whole.unpruned, whole.skipped))
     assert sorted(records + skipped) == sorted(files - {"gone.png", "_gone.png"})
     assert sorted(skipped) == [".bad.png", "broken.png"]
 
 
+def test_each_content_is_opened_and_decoded_once(spark, folder, tmp_path):
+    root, _, _ = folder
+    one = (root / "a.png").read_bytes()
+    for i in range(30):
+        (root / f"again{i}.png").write_bytes(one)
+    listed = list_images(spark, str(root))
+    kept = keep_contents(listed, str(tmp_path / "store")).collect()
+    # 35 files, four contents: four files to decode and no draft left behind.
+    assert not list((tmp_path / "store" / "drafts").glob("[0-9a-f]*"))
+    assert len(kept) == 35 and {r.sha256 for r in kept} == {p.name for p in (tmp_path / "store" / "kept").glob("[0-9a-f]*")}
+    assert len({r.sha256 for r in kept}) == 4
+    by_path = {tuple(r) for r in hash_listed(listed, str(root), chunk=7, orientation=F.lit(1)).collect()}
+    by_content = [tuple(r) for r in hash_listed(listed, str(root)).collect()]
+    in_waves = [tuple(r) for r in hash_listed(listed, str(root), wave_bytes=2_000).collect()]
+    assert len(by_content) == len(in_waves) == 35 and set(by_content) == set(in_waves) == by_path
+    assert hash_listed(listed.limit(0), str(root)).count() == 0
+
+
 def test_folders_that_cannot_be_listed_are_reported(spark, folder):
     root, _, _ = folder
     asked = spark.createDataFrame([(f"file:{root}/sub",), (f"file:{root}/closed",), (f"file:{root}/a.png",)], "uri string")
@@ -165,6 +186,31 @@ def test_image_stream_resumes(spark, folder, tmp_path):
     assert waiting() == []
 
 
+def test_changed_and_failed_files_are_offered_again(spark, folder, tmp_path):
+    root, _, _ = folder
+    at = [str(tmp_path / k) for k in ("index", "retry", "offers", "checkpoint")]
+    follow = lambda: sorted((r.path, r.attempt) for r in follow_images(spark, str(root), *at, attempts=3).collect())
+    now = lambda: {r.path: r.sha256 for r in latest(read_index(spark, at[0])).collect()}
+    digest = lambda name: hashlib.sha256((root / name).read_bytes()).hexdigest()
+    assert follow() == [(name, 1) for name in ("a.png", "b.PNG", "broken.png", "sub/copy.png", "sub/soft.png")]
+    assert now() == {name: digest(name) for name in ("a.png", "b.PNG", "sub/copy.png", "sub/soft.png")}
+    old = (root / "sub" / "soft.png").stat()
+    kept, one = (root / "sub" / "soft.png").read_bytes(), (root / "a.png").read_bytes()
+    (root / "sub" / "soft.png").write_bytes(one)
+    # Changed in place, failed the first time; nothing else.
+    assert follow() == [("broken.png", 2), ("sub/soft.png", 1)]
+    assert now()["sub/soft.png"] == digest("a.png") and "broken.png" not in now()
+    # A version that was there before is put back; the third attempt is the last.
+    (root / "sub" / "soft.png").write_bytes(kept)
+    os.utime(root / "sub" / "soft.png", ns=(old.st_mtime_ns, old.st_mtime_ns))
+    assert follow() == [("broken.png", 3), ("sub/soft.png", 1)]
+    assert now()["sub/soft.png"] == hashlib.sha256(kept).hexdigest()
+    assert follow() == []
+    (root / "broken.png").write_bytes(one)
+    assert follow() == [("broken.png", 1)]
+    assert now()["broken.png"] == digest("a.png") and follow() == []
+
+
 def test_text_adapter_equals_builtin_form(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cell = F.transform(

@@ -37,7 +37,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete the intermediate tables of this application. Results that still read them fail afterwards."""
-    folder = f"{scratch_root(spark)}/twinsift-{spark.sparkContext.applicationId}"
+    return remove(spark, f"{scratch_root(spark)}/twinsift-{spark.sparkContext.applicationId}")
+
+
+def remove(spark: SparkSession, folder: str) -> bool:
+    """Delete one folder that this application has made."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -2,15 +2,17 @@
 
 No file is lost silently. Spark's file sources hide names that begin with ``_`` or ``.``, end a whole job over
 a folder they may not read, and refuse a list of paths if one of them is gone. So folders are listed here on
-the executors, level by level, with every name and an ``error`` for what cannot be listed; files with hidden
-names are decoded from a copy; and each path asked for comes back with hashes or with a reason.
+the executors, level by level, with every name and an ``error`` for what cannot be listed; listed files are
+decoded by content, whatever their names; and each path asked for comes back with hashes or with a reason.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterable, Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -23,11 +25,17 @@ from pyspark.sql import types as T
 
 from twinsift.functions.paths import extension, has_extension, normalize_ext, plain_uri, relative_path
 from twinsift.functions.raster import raster_hashes, reorient
-from twinsift.operators.storage import scratch_path, stage_measured
+from twinsift.operators.lookup import expand_join
+from twinsift.operators.storage import remove, scratch_path, stage_measured
 from twinsift.schemas import DEFAULT_EXTENSIONS, RECORD_COLUMNS
 
-# Paths handed to one read of missing files.
+# Paths handed to one read of missing files, where executors cannot open the store themselves.
 CHUNK = 20_000
+# Content kept at a time while listed files are hashed, and files a task opens.
+WAVE_BYTES = 1 << 40
+FILES_A_TASK = 256
+_HASHED = "path string, bytes bigint, width int, height int, format string, sha256 string, " \
+    "pixel_sha256 string, phash bigint, error string"
 
 
 def extension_glob(extensions: Iterable[str]) -> str:
@@ -286,76 +294,127 @@ def _read_present(spark: SparkSession, uris: list[str], root: str, orientation:
     return _hash(files, images, root, orientation)
 
 
-def hash_listed(misses: DataFrame, root: str, chunk: int = CHUNK, orientation: Column | None = None) -> DataFrame:
-    """Hashed rows of listed files, one for each, read in bounded chunks of explicit paths.
+def hash_listed(
+    misses: DataFrame, root: str, chunk: int = CHUNK, orientation: Column | None = None, wave_bytes: int = WAVE_BYTES
+) -> DataFrame:
+    """Hashed rows of listed files, one for each, by content where the executors can open the store.
 
-    File sources cannot take a join as a path filter, so reading "all files, joined to the misses"
-    would open every file. The driver sees one chunk of paths at a time, never content. Files with
-    hidden names are copied on the executors and read under another name.
+    Each file is opened once, by a task, which hashes it and keeps its content under that hash; the image
+    source then decodes every *distinct* content once, whatever the names. The driver sees no path. Contents
+    are kept for one wave of at most about ``wave_bytes`` only, so a first index of a large folder needs no
+    second copy of it. Other stores are read in chunks of explicit paths, and so are visible files if there is an
+    ``orientation``, which may look at the origin of an image.
+    """
+    if root_uri(root).split(":", 1)[0] not in LISTED_SCHEMES:
+        return _hash_by_path(misses, root, chunk, orientation)
+    if orientation is None:
+        return _hash_by_content(misses, wave_bytes)
+    hidden = is_hidden(F.col("path"))
+    seen = _hash_by_path(misses.where(~hidden), root, chunk, orientation)
+    return seen.unionByName(_hash_by_content(misses.where(hidden), wave_bytes, orientation))
+
+
+def _hash_by_path(misses: DataFrame, root: str, chunk: int, orientation: Column | None) -> DataFrame:
+    """File sources cannot take a join as a path filter, so the driver hands them one chunk of paths at a time.
+
+    Names that Spark hides have no reader here and are reported.
     """
     spark = misses.sparkSession
+    hidden = is_hidden(F.col("path"))
     out = scratch_path(spark, "hashed-files")
-    open_ = misses.where(~is_hidden(F.col("path")))
-    wrote = False
-    for uris in _chunks((r.uri for r in open_.select("uri").toLocalIterator(prefetchPartitions=True)), chunk):
+    _failed(misses.where(hidden), F.lit("hidden name")).write.parquet(out)
+    for uris in _chunks((r.uri for r in misses.where(~hidden).select("uri").toLocalIterator(prefetchPartitions=True)), chunk):
         hash_files(spark, uris, root, orientation).write.mode("append").parquet(out)
-        wrote = True
-    hidden, seen = stage_measured(
-        _copies(misses.where(is_hidden(F.col("path"))), scratch_path(spark, "copies")), "copies", rows=F.count(F.lit(1))
+    return spark.read.schema(_HASHED).parquet(out)
+
+
+def _hash_by_content(misses: DataFrame, wave_bytes: int, orientation: Column | None = None) -> DataFrame:
+    spark = misses.sparkSession
+    asked, seen = stage_measured(
+        misses.select("path", "uri", "size"), "asked-files", rows=F.count(F.lit(1)), bytes=F.sum("size")
     )
-    if seen["rows"]:
-        _hash_copies(hidden, orientation).write.mode("append").parquet(out)
-        wrote = True
-    if wrote:
-        return spark.read.parquet(out)
-    fields = "path string, bytes long, width int, height int, format string, sha256 string, " \
-        "pixel_sha256 string, phash long, error string"
-    return spark.createDataFrame([], fields)
-
-
-def _copies(hidden: DataFrame, folder: str) -> DataFrame:
-    """Copy each file to ``folder`` under the hash of its path: ``(path, folder, copy, error)``."""
+    out = scratch_path(spark, "hashed-files")
+    _failed(asked.limit(0), F.lit(VANISHED)).write.parquet(out)
+    waves = max(1, ceil(seen["bytes"] / wave_bytes)) if seen["rows"] else 0
+    for wave in range(waves):
+        part = asked.where(F.pmod(F.xxhash64("path"), F.lit(waves)) == wave)
+        # A row of names stands for megabytes of content, so tasks are cut by the number of files.
+        tasks = min(ceil(seen["rows"] / waves / FILES_A_TASK), 100_000)
+        folder = scratch_path(spark, "contents")
+        kept, told = stage_measured(
+            keep_contents(part.repartition(max(tasks, 1)), folder), "content-hashes",
+            rows=F.count(F.lit(1)), good=F.count(F.when(F.col("error").isNull(), 1)),
+        )
+        _failed(kept.where("error IS NOT NULL"), F.col("error")).write.mode("append").parquet(out)
+        if told["good"]:
+            hashed = _decode_contents(kept.where("error IS NULL"), folder, told["good"], orientation)
+            hashed.write.mode("append").parquet(out)
+        remove(spark, folder)
+    return spark.read.schema(_HASHED).parquet(out)
+
+
+def keep_contents(files: DataFrame, folder: str) -> DataFrame:
+    """Hash each file and keep its content in ``folder/kept`` under the hash: ``(path, bytes, sha256, error)``.
+
+    Copies of one content share one file there. A task that is tried again writes the same bytes to the same name.
+    """
     folder = root_uri(folder)
 
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(uri: str, store: fs.FileSystem, target: str) -> tuple[int | None, str | None, str | None]:
+        digest, size = hashlib.sha256(), 0
+        draft = f"{target}/drafts/{uuid.uuid4().hex}"
+        try:
+            source, at = open_store(uri)
+            with source.open_input_stream(at) as given, store.open_output_stream(draft) as taken:
+                while block := given.read(1 << 20):
+                    digest.update(block)
+                    size += len(block)
+                    taken.write(block)
+        except FileNotFoundError:
+            return None, None, VANISHED
+        except OSError as problem:
+            return None, None, f"cannot read: {type(problem).__name__}"
+        name = f"{target}/kept/{digest.hexdigest()}"
+        there = lambda: store.get_file_info(name).type == fs.FileType.File
+        if there():
+            store.delete_file(draft)
+            return size, digest.hexdigest(), None
+        try:
+            store.move(draft, name)
+        except OSError:
+            # Some stores do not rename onto a file that another task has just put there.
+            if not there():
+                raise
+        return size, digest.hexdigest(), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, target = open_store(folder)
+        for below in ("drafts", "kept"):
+            store.create_dir(f"{target}/{below}", recursive=True)
         for batch in batches:
-            names, errors = [], []
-            for path, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = f"{hashlib.sha256(path.encode()).hexdigest()}.{path.rsplit('.', 1)[-1]}"
-                error = None
-                try:
-                    source, at = open_store(uri)
-                    with source.open_input_stream(at) as given:
-                        store.create_dir(target, recursive=True)
-                        # A task that is tried again writes the same bytes under the same name.
-                        with store.open_output_stream(f"{target}/{name}") as taken:
-                            while block := given.read(1 << 20):
-                                taken.write(block)
-                except FileNotFoundError:
-                    error = VANISHED
-                except OSError as problem:
-                    error = f"cannot read: {type(problem).__name__}"
-                names.append(name)
-                errors.append(error)
-            columns = [batch.column(0), pa.array([folder] * len(names)), pa.array(names, pa.string()), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "folder", "copy", "error"])
-
-    return hidden.select("path", "uri").mapInArrow(copy, "path string, folder string, copy string, error string")
-
-
-def _hash_copies(copied: DataFrame, orientation: Column | None) -> DataFrame:
-    spark = copied.sparkSession
-    lost = _failed(copied.where("error IS NOT NULL"), F.col("error"))
-    good = copied.where("error IS NULL")
-    folder = good.select("folder").first()
-    if folder is None:
-        return lost
-    files = spark.read.format("binaryFile").load(folder.folder)
-    images = spark.read.format("image").option("dropInvalid", False).load(folder.folder)
-    hashed = _hash(files, images, folder.folder, orientation).withColumnRenamed("path", "copy")
-    named = good.select("path", "copy").join(hashed, "copy").drop("copy")
-    return named.withColumn("format", normalize_ext(extension("path"))).select(*lost.columns).unionByName(lost)
+            found = [one(uri, store, target) for uri in batch.column(1).to_pylist()]
+            sizes, hashes, errors = zip(*found) if found else ((), (), ())
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "bytes", "sha256", "error"])
+
+    return files.select("path", "uri").mapInArrow(run, "path string, bytes bigint, sha256 string, error string")
+
+
+def _decode_contents(kept: DataFrame, folder: str, rows: int, orientation: Column | None) -> DataFrame:
+    """Hashed rows of kept files. Each content is decoded once; its hashes go to all of its names."""
+    inside = f"{root_uri(folder)}/kept"
+    images = kept.sparkSession.read.format("image").option("dropInvalid", False).load(inside)
+    rasters = _decoded(images, inside, orientation).withColumn("_h", raster_hashes("rgba", "width", "height"))
+    rasters = rasters.select(
+        F.col("path").alias("sha256"), "width", "height", F.col("error").alias("_why"), "_h.pixel_sha256", "_h.phash"
+    )
+    uses = kept.groupBy("sha256").agg(F.count(F.lit(1)).alias("_n"))
+    # A third of all files may be copies of one content: the salted join spreads them.
+    joined = expand_join(kept, rasters.join(uses, "sha256"), "sha256", "_n", how="left", max_weight=rows)
+    return joined.select(
+        "path", "bytes", "width", "height", normalize_ext(extension("path")).alias("format"),
+        "sha256", "pixel_sha256", "phash", F.col("_why").alias("error"),
+    )
 
 
 def _chunks(items: Iterable[str], size: int) -> Iterator[list[str]]:
