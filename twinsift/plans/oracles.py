@@ -239,6 +239,8 @@ FROM p"""
 
 # --- index life cycle ---------------------------------------------------------
 
+_EDITED = f"""(SELECT {_DOC_PATH} AS path, CASE WHEN doc_id % 5 = 2 THEN text || ' (edited)' ELSE text END AS text,
+    (doc_id % 5 = 2)::BIGINT AS edits, (doc_id % 7 = 0)::BIGINT AS fails FROM documents)"""
 _LISTING = f"""listing AS (SELECT {_DOC_PATH} AS path, strlen(text)::BIGINT AS size, doc_id * 1000000 AS mtime_ns
     FROM documents)"""
 _INDEX = f"""{_REC}, {_LISTING},
@@ -359,6 +361,8 @@ ORACLES: dict[str, str] = {
         THEN bit_count(xor(phash, ('0x' || other)::UBIGINT)) END::INTEGER AS distance FROM o""",
     "pixel_prune": f"WITH {_TWO}, {_PRUNED} SELECT path, pixel_sha256, {_hex('phash')} AS phash FROM pruned",
     "exact_groups": f"WITH {_REC}, {_grouped('rec', 'sha256')} {_EQUAL_GROUPS}",
+    "exact_display": f"""WITH {_REC}, {_grouped('rec', 'sha256')} SELECT row_number() OVER (ORDER BY group_id, NOT is_keeper, path) - 1
+        AS place, group_id, path, is_keeper FROM g_m""",
     "exact_members": f"WITH {_REC}, {_grouped('rec', 'sha256')} {_MEMBERS}",
     "conversation_groups": f"""WITH RECURSIVE turn AS (SELECT printf('%s/%d/%d', role, conv_id, turn) AS path, text
             FROM conversations), {_hashed('tf', 'turn', 'path')},
@@ -433,6 +437,9 @@ ORACLES: dict[str, str] = {
         {_hex('phash')} AS phash FROM prow""",
     "stream_index": f"""WITH {_REC} SELECT path, bytes, width, height, format, sha256, pixel_sha256,
         {_hex('phash')} AS phash FROM rec""",
+    "refreshed_index": f"""SELECT path, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256, 1 + edits AS entries FROM {_EDITED}""",
+    "stream_changes": f"""SELECT path, strlen(text)::BIGINT AS size, sha256(text) AS sha256, 1 + edits + fails AS offers,
+        fails * (1 + edits) AS failures FROM {_EDITED}""",
     "unique_names": """SELECT doc_id, source || '.txt' AS name, CASE WHEN n = 1 THEN source || '.txt'
         ELSE source || ' (' || n || ').txt' END AS path
         FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)""",

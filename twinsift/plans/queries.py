@@ -17,14 +17,15 @@ from twinsift.operators.compare import compare_pairs, with_raster_hashes
 from twinsift.operators.find import find, find_batch
 from twinsift.operators.group import prune_pixel_hash, scan
 from twinsift.operators.hamming import similar_pairs
-from twinsift.operators.index import cache_hits, cache_misses, collect_garbage, index, latest, orphans, read_index, to_records
+from twinsift.operators.index import cache_hits, cache_misses, collect_garbage, index, latest, orphans, read_index, refresh, to_records
 from twinsift.operators.names import unique_paths
+from twinsift.operators.positions import with_position
 from twinsift.operators.report import clean_report, find_report, scan_report
 from twinsift.operators.storage import scratch_path, stage, stage_measured
 from twinsift.schemas import HASH_ALGO
 from twinsift.sources.text import balanced, hashed_texts, text_raster, text_records
 from twinsift.sources.vectors import hashed_vectors, vector_rasters
-from twinsift.streaming.ingest import index_stream
+from twinsift.streaming.ingest import index_stream, last_offers, offer, offered
 
 GROUP_OUTPUT = ["group_id", "keeper", "n_members", "reclaimable_bytes", "auto_deletable", "max_hamming"]
 MEMBER_OUTPUT = ["group_id", "path", "bytes", "is_keeper"]
@@ -123,6 +124,13 @@ def exact_members(spark, sf_dir):
     return scan(_index(spark, sf_dir), "exact").members.select(*MEMBER_OUTPUT)
 
 
+def exact_display(spark, sf_dir):
+    """The member rows in the order in which a report shows them: by group, keeper first, then by path."""
+    members = scan(_index(spark, sf_dir), "exact").display_members()
+    placed, _ = with_position(members, ["group_id", "rank_key"], "place")
+    return placed.select("place", "group_id", "path", "is_keeper")
+
+
 def conversation_groups(spark, sf_dir):
     return _groups(scan(_index(spark, sf_dir, _turns), "perceptual", 12))
 
@@ -383,6 +391,68 @@ def index_after_gc(spark, sf_dir):
     return kept.select("path", "size", "mtime_ns", "hash_algo")
 
 
+def _edited(docs: DataFrame) -> DataFrame:
+    """The documents as they are after a fifth of them was edited, with a listing's columns."""
+    edited = F.col("doc_id") % 5 == 2
+    text = F.when(edited, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))
+    time = F.col("doc_id") * 1_000_000 + F.when(edited, 1).otherwise(0)
+    return _listed(docs.withColumn("text", text), time)
+
+
+def _listed(docs: DataFrame, time: Column) -> DataFrame:
+    size = F.octet_length("text").cast("bigint")
+    return docs.select("doc_id", _doc_path().alias("path"), size.alias("size"), time.alias("mtime_ns"), "text")
+
+
+def _content_rows(found: DataFrame) -> DataFrame:
+    """Hashed rows by content alone, of items with ``text`` and ``size``."""
+    return found.select(
+        "path", F.col("size").alias("bytes"), F.length("text").alias("width"), F.lit(1).alias("height"),
+        F.lit("txt").alias("format"), F.sha2("text", 256).alias("sha256"), F.lit(None).cast("string").alias("pixel_sha256"),
+        F.lit(None).cast("bigint").alias("phash"), F.lit(None).cast("string").alias("error"),
+        *[c for c in ("size", "mtime_ns", "offered_at", "attempt") if c in found.columns],
+    )
+
+
+def _two_versions(spark, sf_dir) -> list[DataFrame]:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return [_listed(docs, F.col("doc_id") * 1_000_000), _edited(docs)]
+
+
+def refreshed_index(spark, sf_dir):
+    """An index kept by two refreshes, with an edit of a fifth of the documents in between: only those are hashed again."""
+    at = scratch_path(spark, "refreshed-index")
+    for version in _two_versions(spark, sf_dir):
+        hash_items = lambda misses, v=version: _content_rows(misses.join(v.select("path", "text"), "path")).drop("size", "mtime_ns")
+        found = refresh(version.select("path", "size", "mtime_ns"), at, hash_items)
+    entries = read_index(spark, at).groupBy("path").agg(F.count(F.lit(1)).alias("entries"))
+    return found.unpruned.select("path", "bytes", "sha256").join(entries, "path")
+
+
+def stream_changes(spark, sf_dir):
+    """Documents followed by a stream over three rounds: a fifth is edited, and a seventh fails to be read at first."""
+    at = {name: f"{scratch_path(spark, 'stream-changes')}/{name}" for name in ("index", "retry", "offers", "checkpoint")}
+    before, after = _two_versions(spark, sf_dir)
+    for version in (before, after, after):
+        offer(version.select("path", "size", "mtime_ns"), at["offers"], at["retry"], at["index"])
+
+        def hash_batch(batch: DataFrame, texts=version.select("path", "doc_id", "text")) -> DataFrame:
+            found = last_offers(batch).join(texts, "path")
+            fails = (F.col("doc_id") % 7 == 0) & (F.col("attempt") == 1)
+            found = found.withColumn("text", F.when(~fails, F.col("text")))
+            return _content_rows(found).withColumn("error", F.when(F.col("sha256").isNull(), "cannot read"))
+
+        stream = offered(spark, at["offers"])
+        index_stream(stream, hash_batch, at["index"], at["retry"], at["checkpoint"]).awaitTermination()
+    counts = []
+    for name, kind in (("offers", "offers"), ("retry", "failures")):
+        rows = spark.read.schema("path string").option("recursiveFileLookup", True).parquet(at[name])
+        counts.append(rows.groupBy("path").agg(F.count(F.lit(1)).alias(kind)))
+    newest = latest(read_index(spark, at["index"])).select("path", "size", "sha256")
+    out = newest.join(counts[0], "path").join(counts[1], "path", "left")
+    return out.select("path", "size", "sha256", "offers", F.coalesce("failures", F.lit(0)).alias("failures"))
+
+
 def _hashed_pages(spark, sf_dir) -> DataFrame:
     """All pages as hashed rows; one without html is skipped."""
     path = F.regexp_replace("url", "^https?://", "")
@@ -523,7 +593,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         sha256_content, text_fingerprint, gray_grid_hash, phash_codec, pixel_prune,
-        exact_groups, exact_members, conversation_groups, pixel_groups, pixel_members,
+        exact_groups, exact_members, exact_display, conversation_groups, pixel_groups, pixel_members,
         perceptual_groups_t4, perceptual_members_t4, perceptual_groups,
         hamming_pairs_t4, hamming_pairs_t10, keepers, scan_stats,
         deletion_plan, deletion_plan_lookup, retained_set, clean_stats, reconcile_groups,
@@ -531,6 +601,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flatten_and_gray, raster_fingerprint, compare_vectors, highlight_vectors,
         latest_index, incremental_hits, incremental_misses, orphan_entries, index_after_gc,
         text_balance, skipped_items, indexed_pages, indexed_vectors, stream_index,
+        refreshed_index, stream_changes,
         unique_names, taken_names, page_formats, page_paths, readable_sizes, event_times,
         scan_document, scan_summary, find_document, clean_document,
     )
