@@ -257,6 +257,28 @@ def test_orientation(spark, code, corner):
     assert out[0] == corner and len(out) == 24
 
 
+@pytest.mark.parametrize("strip_pixels", [1, 300, 900])
+def test_strips_give_the_scores_of_whole_rasters(spark, strip_pixels):
+    rng = np.random.default_rng(4)
+    big = rng.integers(0, 256, (50, 37, 4)).astype(np.uint8)
+    near = big.copy()
+    near[20:31, 5:9, 1] ^= 3
+    rasters = {"a": big, "b": near, "c": rng.integers(0, 256, (50, 37, 4)).astype(np.uint8), "d": big.copy()}
+    rasters |= {"flat": big[:4], "flat2": near[20:24], "e": big[:16, :16], "f": near[16:32, :16]}
+    df = with_raster_hashes(frame(spark, rasters)).withColumn("sha256", F.concat(F.lit("sha-"), "path"))
+    df = df.withColumn("rgba", F.when(F.col("path") == "f", F.lit(b"1234")).otherwise(F.col("rgba")))
+    asked = [("a", "b"), ("a", "c"), ("a", "b"), ("a", "d"), ("flat", "flat2"), ("e", "f"), ("a", "e")]
+    pairs = spark.createDataFrame(asked, "a string, b string")
+    rows = lambda **options: sorted(compare_pairs(pairs, df, 2, True, "ratio", **options).collect())
+    whole, strips, once = rows(), rows(strip_pixels=strip_pixels, hot_rows=1), rows(in_one_pass=True)
+    assert len(whole) == len(asked) and [r.ssim for r in whole if (r.a, r.b) == ("e", "f")] == [None]
+    assert whole == once
+    for x, y in zip(whole, strips):
+        x, y = x.asDict(), y.asDict()
+        pairs_of = [(x.pop(name), y.pop(name)) for name in ("ssim", "psnr")]
+        assert all(p is q is None or abs(p - q) < 1e-11 for p, q in pairs_of) and x == y
+
+
 def test_compare_pairs(spark):
     same, other = gray(8, 8, lambda x, y: x * 20), gray(8, 8, lambda x, y: x * 20 + (y == 0) * 9)
     rasters = {"a": same, "b": other, "c": gray(16, 4, 7), "d": same.copy()}

@@ -98,12 +98,17 @@ def diff_ratio(a: np.ndarray, b: np.ndarray, tolerance: int) -> np.ndarray:
     return mask.sum(axis=1) / mask.shape[1]
 
 
-def psnr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def squared_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per raster, the exact sum of squared differences of red, green and blue."""
     gap = a[..., :3].astype(np.int64) - b[..., :3].astype(np.int64)
-    gap = gap.reshape(len(a), -1)
-    if gap.shape[1] == 0:
+    return (gap * gap).reshape(len(a), -1).sum(axis=1)
+
+
+def psnr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    samples = a[0, ..., :3].size if len(a) else 0
+    if samples == 0:
         return np.full(len(a), PSNR_CAP)
-    mse = (gap * gap).sum(axis=1).astype(np.float64) / gap.shape[1]
+    mse = squared_gaps(a, b).astype(np.float64) / samples
     with np.errstate(divide="ignore"):
         db = 10.0 * np.log10(255.0 * 255.0 / mse)
     return np.where(mse == 0, PSNR_CAP, np.minimum(db, PSNR_CAP))
@@ -124,6 +129,14 @@ def ssim(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     n, h, w = a.shape
     if h == 0 or w == 0:
         return np.ones(n)
+    flat = ssim_windows(a, b).reshape(n, -1)
+    # cumsum adds strictly left to right, which fixes the last bit of the mean.
+    return np.clip(flat.cumsum(axis=1)[:, -1] / flat.shape[1], 0.0, 1.0)
+
+
+def ssim_windows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of every window of two gray stacks (n, h, w); one window if a side is shorter than a window."""
+    n, h, w = a.shape
     wh, ww = (h, w) if h < SSIM_WINDOW or w < SSIM_WINDOW else (SSIM_WINDOW, SSIM_WINDOW)
     x, y = a.astype(np.int64), b.astype(np.int64)
     area = float(wh * ww)
@@ -132,12 +145,9 @@ def ssim(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     vx = _box_sums(x * x, wh, ww) / area - mx * mx
     vy = _box_sums(y * y, wh, ww) / area - my * my
     cxy = _box_sums(x * y, wh, ww) / area - mx * my
-    score = ((2.0 * mx * my + SSIM_C1) * (2.0 * cxy + SSIM_C2)) / (
+    return ((2.0 * mx * my + SSIM_C1) * (2.0 * cxy + SSIM_C2)) / (
         (mx * mx + my * my + SSIM_C1) * (vx + vy + SSIM_C2)
     )
-    flat = score.reshape(n, -1)
-    # cumsum adds strictly left to right, which fixes the last bit of the mean.
-    return np.clip(flat.cumsum(axis=1)[:, -1] / flat.shape[1], 0.0, 1.0)
 
 
 def highlight(a: np.ndarray, b: np.ndarray, tolerance: int) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinsift.functions import kernels
-from twinsift.schemas import RASTER_HASH_SCHEMA, SCORE_SCHEMA
+from twinsift.schemas import RASTER_HASH_SCHEMA, SCORE_SCHEMA, STRIP_SCHEMA
 
 # Pixels stacked into one NumPy call; larger stacks only cost memory.
 _STACK_PIXELS = 1 << 20
@@ -94,12 +94,14 @@ def _scorer(tolerance: int, with_highlight: bool):
             fb = kernels.flatten_on_white(_stack(b, rows, w, h))
             ratio = kernels.diff_ratio(fa, fb, tolerance)
             ssim = kernels.ssim(kernels.to_gray(fa), kernels.to_gray(fb))
+            strict = kernels.diff_ratio(fa, fb, 0) if tolerance else ratio
             psnr = kernels.psnr(fa, fb)
             shown = kernels.highlight(fa, fb, tolerance) if with_highlight else None
             for k, i in enumerate(rows):
                 out["pixel_diff_ratio"][i] = float(ratio[k])
                 out["ssim"][i] = float(ssim[k])
                 out["psnr"][i] = float(psnr[k])
+                out["strict_ratio"][i] = float(strict[k])
                 if shown is not None:
                     out["highlight"][i] = shown[k].tobytes()
         return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
@@ -107,6 +109,24 @@ def _scorer(tolerance: int, with_highlight: bool):
     return scores
 
 
+def _strip_scorer(tolerance: int, with_highlight: bool):
+    @F.pandas_udf(STRIP_SCHEMA)
+    def sums(a: pd.Series, b: pd.Series, width: pd.Series, own: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y, w, n in zip(a, b, width, own):
+            fa, fb = (kernels.flatten_on_white(np.frombuffer(raw, np.uint8).reshape(1, -1, w, 4)) for raw in (x, y))
+            # Windows reach into the rows of the next strip; all other sums cover a strip's own rows.
+            tall = fa.shape[1] >= kernels.SSIM_WINDOW
+            ssim = kernels.ssim_windows(kernels.to_gray(fa), kernels.to_gray(fb)).sum() if tall else 0.0
+            fa, fb = fa[:, :n], fb[:, :n]
+            unequal, differing = (int(kernels.differs(fa, fb, t).sum()) for t in (0, tolerance))
+            shown = kernels.highlight(fa, fb, tolerance).tobytes() if with_highlight else None
+            rows.append((differing, unequal, int(kernels.squared_gaps(fa, fb)[0]), float(ssim), shown))
+        return pd.DataFrame(rows, columns=STRIP_SCHEMA.fieldNames())
+
+    return sums
+
+
 @F.pandas_udf(T.BinaryType())
 def _reorient(
     rgba: pd.Series, width: pd.Series, height: pd.Series, orientation: pd.Series
@@ -143,10 +163,25 @@ def pair_scores(
     a: Column | str, b: Column | str, width: Column | str, height: Column | str,
     tolerance: int = 0, with_highlight: bool = False,
 ) -> Column:
-    """Struct (pixel_diff_ratio, ssim, psnr, highlight) of two rasters of the same dimensions."""
+    """Struct (pixel_diff_ratio, ssim, psnr, highlight, strict_ratio) of two rasters of the same dimensions.
+
+    ``strict_ratio`` is the difference ratio at tolerance zero.
+    """
+    return _scorer(_checked(tolerance), with_highlight)(a, b, width, height)
+
+
+def strip_sums(
+    a: Column | str, b: Column | str, width: Column | str, own: Column | str,
+    tolerance: int = 0, with_highlight: bool = False,
+) -> Column:
+    """Sums over one strip of two rasters: its ``own`` rows, and up to seven rows of the next strip for the windows."""
+    return _strip_scorer(_checked(tolerance), with_highlight)(a, b, width, own)
+
+
+def _checked(tolerance: int) -> int:
     if not 0 <= tolerance <= 255:
         raise ValueError("tolerance must lie in 0..255")
-    return _scorer(tolerance, with_highlight)(a, b, width, height)
+    return tolerance
 
 
 def reorient(

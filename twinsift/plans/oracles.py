@@ -215,6 +215,27 @@ SELECT a, b, sha_equal, dims_equal, dims_equal AS comparable,
         WHEN score >= 0.9 THEN 'similar' ELSE 'different' END AS verdict FROM s"""
 
 
+def _mosaics() -> str:
+    mean = lambda e: f"list_avg(list_transform(spot, lambda i: ({e})::DOUBLE))"
+    return f"""WITH {_VEC}, pic AS (SELECT vec_id // 4 AS tile, flatten(list(v ORDER BY vec_id)) AS v FROM vec GROUP BY ALL),
+p AS (SELECT a.tile AS a, b.tile AS b, a.v AS x, b.v AS y, len(a.v) = len(b.v) AS same, len(a.v) // 16 AS h,
+        CASE WHEN len(a.v) < 128 THEN len(a.v) // 16 ELSE 8 END AS wh, CASE WHEN len(a.v) < 128 THEN 16 ELSE 8 END AS ww
+    FROM pic a JOIN pic b ON b.tile = a.tile + 1),
+down AS (SELECT *, unnest(range(h - wh + 1)) AS oy FROM p WHERE same),
+win AS (SELECT *, unnest(range(16 - ww + 1)) AS ox FROM down),
+pos AS (SELECT a, b, x, y, list_transform(range(wh * ww), lambda i: (oy + i // ww) * 16 + ox + i % ww + 1) AS spot FROM win),
+q AS (SELECT a, b, {mean('x[i]')} AS mx, {mean('y[i]')} AS my, {mean('x[i] * x[i]')} AS xx, {mean('y[i] * y[i]')} AS yy,
+        {mean('x[i] * y[i]')} AS xy FROM pos),
+s AS (SELECT a, b, least(greatest(avg((2 * mx * my + 6.5025::DOUBLE) * (2 * (xy - mx * my) + 58.5225::DOUBLE)
+        / ((mx * mx + my * my + 6.5025::DOUBLE) * ((xx - mx * mx) + (yy - my * my) + 58.5225::DOUBLE))), 0), 1) AS ssim FROM q GROUP BY a, b),
+whole AS (SELECT a, b, same, x, y, range(1, len(x) + 1) AS spot FROM p),
+t AS (SELECT a, b, same, {mean('(x[i] - y[i]) * (x[i] - y[i])')} AS mse,
+        {mean('CASE WHEN abs(x[i] - y[i]) > 20 THEN 1 ELSE 0 END')} AS ratio FROM whole)
+SELECT a::BIGINT AS a, b::BIGINT AS b, same AS comparable, CASE WHEN same THEN round(ratio, 6) END AS pixel_diff_ratio,
+    CASE WHEN same THEN round(CASE WHEN mse = 0 THEN 100::DOUBLE ELSE least(10 * log10(65025::DOUBLE / mse), 100) END, 6) END AS psnr,
+    CASE WHEN same THEN round(ssim, 6) END AS ssim FROM t LEFT JOIN s USING (a, b)"""
+
+
 def _flatten() -> str:
     chan = lambda k: (
         f"CASE WHEN v[i * 4 + 4] = 255 THEN v[i * 4 + {k}] ELSE "
@@ -416,6 +437,7 @@ ORACLES: dict[str, str] = {
     "raster_fingerprint": f"""WITH {_shaped()} SELECT vec_id, width, height, 64::BIGINT AS bytes, sha256, pixel_sha256,
         {_hex('phash')} AS phash FROM img""",
     "compare_vectors": _compare(),
+    "compare_mosaics": _mosaics(),
     "highlight_vectors": _HIGHLIGHT,
     "latest_index": f"""WITH {_INDEX} SELECT path, size, mtime_ns::BIGINT AS mtime_ns, hash_algo, sha256,
         indexed_at::BIGINT AS indexed_at FROM newest""",

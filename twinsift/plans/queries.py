@@ -320,7 +320,7 @@ def _vector_pairs(spark, sf_dir) -> DataFrame:
 
 def compare_vectors(spark, sf_dir):
     rasters = with_raster_hashes(_vectors(spark, sf_dir, shaped=True))
-    out = compare_pairs(_vector_pairs(spark, sf_dir), rasters, tolerance=20)
+    out = compare_pairs(_vector_pairs(spark, sf_dir), rasters, tolerance=20, in_one_pass=True)
     return out.select(
         F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"),
         "sha_equal", "dims_equal", "comparable", "pixel_equal",
@@ -330,6 +330,22 @@ def compare_vectors(spark, sf_dir):
     )
 
 
+def compare_mosaics(spark, sf_dir):
+    """Four vectors at a time as a picture of 16 columns, each compared with the next in strips: many windows a pair."""
+    four = _table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("tile")).agg(
+        F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("_v")
+    )
+    four = four.select("tile", F.flatten(F.col("_v.embedding")).alias("embedding"))
+    rasters = vector_rasters(four, F.col("tile").cast("string"), width=16, height=F.floor(F.size("_values") / 16))
+    following = four.select((F.col("tile") - 1).alias("tile"), F.col("tile").alias("next"))
+    pairs = four.select("tile").join(following, "tile").select(F.col("tile").cast("string").alias("a"), F.col("next").cast("string").alias("b"))
+    out = compare_pairs(pairs, with_raster_hashes(rasters), tolerance=20, strip_pixels=128)
+    return out.select(
+        F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "comparable",
+        *[F.round(c, 6).alias(c) for c in ("pixel_diff_ratio", "psnr", "ssim")],
+    )
+
+
 def highlight_vectors(spark, sf_dir):
     rasters = with_raster_hashes(_vectors(spark, sf_dir))
     out = compare_pairs(_vector_pairs(spark, sf_dir), rasters, tolerance=20, with_highlight=True)
@@ -598,7 +614,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         hamming_pairs_t4, hamming_pairs_t10, keepers, scan_stats,
         deletion_plan, deletion_plan_lookup, retained_set, clean_stats, reconcile_groups,
         find_similar, find_top, find_stats, find_topn_batch, find_neighbours,
-        flatten_and_gray, raster_fingerprint, compare_vectors, highlight_vectors,
+        flatten_and_gray, raster_fingerprint, compare_vectors, compare_mosaics, highlight_vectors,
         latest_index, incremental_hits, incremental_misses, orphan_entries, index_after_gc,
         text_balance, skipped_items, indexed_pages, indexed_vectors, stream_index,
         refreshed_index, stream_changes,

@@ -70,6 +70,18 @@ SCORE_SCHEMA = T.StructType(
         T.StructField("ssim", T.DoubleType(), True),
         T.StructField("psnr", T.DoubleType(), True),
         T.StructField("highlight", T.BinaryType(), True),
+        T.StructField("strict_ratio", T.DoubleType(), True),
+    ]
+)
+
+# Sums over one strip of a pair; those of all strips give the scores of the pair.
+STRIP_SCHEMA = T.StructType(
+    [
+        T.StructField("differing", T.LongType(), True),
+        T.StructField("unequal", T.LongType(), True),
+        T.StructField("squares", T.LongType(), True),
+        T.StructField("ssim_sum", T.DoubleType(), True),
+        T.StructField("highlight", T.BinaryType(), True),
     ]
 )
 
